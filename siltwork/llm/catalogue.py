@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltwork.llm import packing, seen, survivor
+from siltwork.llm import leakage, packing, seen, survivor
 from siltwork.session import cut, table
 
 
@@ -41,8 +42,23 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p6_packed(spark, d), table(spark, d, "pack_container"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id").distinct()
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """For each leaked item: the documents that hold it, and its best alignment."""
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+    return found.groupBy("item_id").agg(
+        F.count_distinct("doc_id").alias("n_docs"), F.max("score").alias("best_score"), F.max("longest_run").alias("longest_run")
+    )
+
+
+QUERIES = (p4_found, p4_error_rates, p5_found, p5_fused, p5_sources, p6_packed, p6_fill, p7_found, p7_items)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_error_rates, p5_found, p5_fused, p5_sources, p6_packed, p6_fill)}
+    return {f.__name__: f for f in QUERIES}
 
 
 _BLANK = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
