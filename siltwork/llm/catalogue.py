@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltwork.llm import leakage, packing, seen, survivor
+from siltwork.llm import leakage, packing, reading, seen, survivor
 from siltwork.session import cut, table
 
 
@@ -54,7 +54,24 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = (p4_found, p4_error_rates, p5_found, p5_fused, p5_sources, p6_packed, p6_fill, p7_found, p7_items)
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return reading.levels(docs, reading.learn(docs, table(spark, d, "reading_label")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).select("doc_id", "reading_level")
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and words by site and level."""
+    site = table(spark, d, "documents").select("doc_id", F.lower(F.trim("source")).alias("site"))
+    return _levels(spark, d).join(site, "doc_id").groupBy("site", "reading_level").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("n_words").alias("n_words")
+    )
+
+
+QUERIES = (p4_found, p4_error_rates, p5_found, p5_fused, p5_sources, p6_packed, p6_fill, p7_found, p7_items, p8_found, p8_profile)
 
 
 def queries() -> dict:
