@@ -139,6 +139,32 @@ def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     return pairs.where(covered >= F.when(F.col("rare"), MIN_COVER).otherwise(RUN_WORDS)).select("doc_id", "item_id", "hits")
 
 
+def _promising(item: list[str], doc: list[str], at: np.ndarray, of: np.ndarray) -> bool:
+    """Whether seeds at doc[at], item[of] can be part of a leak; exact, so that nothing that is one is lost.
+
+    Seeds of a whole item, or of a run whose two parts have a seed each, cover RUN_WORDS
+    words of the item. Else a run has one part of MIN_COVER words or more, and the rest
+    of it, too short for a seed, on the other side of a remark.
+    """
+    if len(np.unique(of[:, None] + np.arange(SEED_WORDS))) >= RUN_WORDS:
+        return True
+    seeds = set(zip(at.tolist(), of.tolist()))
+    for j, i in seeds:
+        if (j - 1, i - 1) in seeds:
+            continue
+        n = SEED_WORDS
+        while (j + n - SEED_WORDS + 1, i + n - SEED_WORDS + 1) in seeds:
+            n += 1
+        rest = RUN_WORDS - n
+        after, before = item[i + n : i + n + rest], item[max(0, i - rest) : i]
+        for gap in range(1, REMARK_WORDS + 1):
+            if len(after) == rest and doc[j + n + gap : j + n + gap + rest] == after:
+                return True
+            if len(before) == rest and j - gap - rest >= 0 and doc[j - gap - rest : j - gap] == before:
+                return True
+    return False
+
+
 def _windows(hits: np.ndarray, size: int, n: int) -> list[tuple[int, int]]:
     """Stretches of the document around hits, so wide that a whole item with remarks fits in."""
     reach = size + 4 * REMARK_WORDS
@@ -157,22 +183,29 @@ def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
     texts = (
         near.join(docs.select("doc_id", F.col("text").alias("doc_text")).distinct(), "doc_id")
         .join(items.select("item_id", F.col("text").alias("item_text")).distinct(), "item_id")
-        .select("doc_id", "item_id", "doc_text", "item_text", F.transform("hits", lambda h: h["doc_pos"]).alias("at"))
+        .select("doc_id", "item_id", "doc_text", "item_text", F.col("hits.doc_pos").alias("at"), F.col("hits.item_pos").alias("of"))
     )
 
     def compare(batches):
+        doc_id = item_id = None
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                item, doc = plain_words(r.item_text).split(), plain_words(r.doc_text).split()
-                number: dict[str, int] = {}
-                a = np.array([number.setdefault(w, len(number)) for w in item])
+                if r.doc_id != doc_id:
+                    doc_id, doc = r.doc_id, plain_words(r.doc_text).split()
+                if r.item_id != item_id:
+                    item_id, item = r.item_id, plain_words(r.item_text).split()
+                    number: dict[str, int] = {}
+                    a = np.array([number.setdefault(w, len(number)) for w in item])
+                at, of = np.asarray(r.at) - 1, np.asarray(r.of) - 1
+                if not _promising(item, doc, at, of):
+                    continue
                 b = np.array([number.get(w, -1) for w in doc])
-                windows = _windows(np.asarray(r.at), len(a), len(b))
                 score, run, changed, added = max(
-                    (align(a, b[lo:hi]) for lo, hi in windows), key=lambda x: (x[1] >= RUN_WORDS or x[2] + x[3] <= CHANGED_SHARE * len(a), x[0])
+                    (align(a, b[lo:hi]) for lo, hi in _windows(at, len(a), len(b))),
+                    key=lambda x: (x[1] >= RUN_WORDS or x[2] + x[3] <= CHANGED_SHARE * len(a), x[0]),
                 )
-                out.append((r.doc_id, r.item_id, score, run, changed, added, len(a)))
+                out.append((doc_id, item_id, score, run, changed, added, len(a)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in LEAKS.split(", ")])
 
     return texts.mapInPandas(compare, LEAKS)
