@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltwork.llm import leakage, packing, reading, seen, survivor
+from siltwork.llm import leakage, names, packing, reading, seen, survivor
 from siltwork.session import cut, table
 
 
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every id with a usable name, and the smallest id of its group."""
+    return names.groups(table(spark, d, "company"), table(spark, d, "company_main"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.pairs_of(cut(p2_groups(spark, d)))
+
+
 def _seen(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, d, "company").select("obs_id", "id", "arrived_at")
     return seen.seen_before(rows, table(spark, d, "company_main").select("id"), "id", "obs_id", "arrived_at")
@@ -71,7 +80,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = (p4_found, p4_error_rates, p5_found, p5_fused, p5_sources, p6_packed, p6_fill, p7_found, p7_items, p8_found, p8_profile)
+QUERIES = (p2_found, p2_groups, p4_found, p4_error_rates, p5_found, p5_fused, p5_sources, p6_packed, p6_fill, p7_found, p7_items, p8_found, p8_profile)
 
 
 def queries() -> dict:
