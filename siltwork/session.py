@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,10 +45,45 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df with its lineage cut: written as a table in the shared folder, and read again.
+
+    Compressed columns take a fraction of what a checkpoint of rows does. The table is
+    there for every executor, whichever are lost. It stays until ``release`` or the end of
+    the driver, as frames made from it may be read at any time.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _written.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._silt_path = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Deletes the tables of frames that ``cut`` gave; nothing may read them any more."""
+    gone = {getattr(f, "_silt_path", None) for f in frames}
+    for spark, path in [x for x in _written if x[1] in gone]:
+        _delete(spark, path)
+        _written.remove((spark, path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _release_all() -> None:
+    for spark, path in _written:
+        try:
+            _delete(spark, path)
+        except Exception:  # the session is gone: only a local folder can still be removed
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
