@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltwork.session import cut
+from siltwork.session import cut, release
 
 MOST_ROUNDS = 50
 
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.where("u <> v").select("u", "v").distinct())
     mark = None
     for _ in range(MOST_ROUNDS):
-        edges = cut(_star(_star(edges, True), False))
+        before, edges = edges, cut(_star(_star(edges, True), False))
+        release(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == now:
             break

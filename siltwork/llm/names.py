@@ -22,21 +22,25 @@ are left out. Null and empty ids are no ids. Empty tables give empty results.
 from __future__ import annotations
 
 import html
+import math
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltwork.llm.components import components
 from siltwork.llm.survivor import name_lines
-from siltwork.session import cut
+from siltwork.session import cut, release
 
 Q = 3
 JACCARD = 0.4
+EDITS = 4
+RANKED_GRAMS = 100_000
 MIN_SIMILARITY = 0.8
 COMMON_SHARE = 0.0004
 COMMON_LEAST = 6
@@ -150,6 +154,7 @@ def _spelled(words) -> dict[str, str]:
 
 
 _LEGAL, _JOINING, _SUFFIXES, _GIVEN = (frozenset(_spelled(x)) for x in (LEGAL, JOINING, SUFFIXES, GIVEN))
+_LONG_LEGAL = tuple(f for f in sorted(_LEGAL) if len(f) >= 6)
 _EXPAND = {tokens(k)[0]: tokens(v)[0] for k, v in {**ABBREVIATIONS, **NICKNAMES}.items()}
 
 
@@ -175,19 +180,27 @@ class Canon:
         fixed = set(_EXPAND.values()) | _GIVEN | _SUFFIXES
         words = {w: n for w, n in common.items() if len(w) > 1 and not w.isdigit() and w not in _LEGAL and w not in _JOINING}
         self.count = {w: words.get(w, 0) for w in set(words) | fixed}
-        self.deletions: dict[str, list[str]] = {}
-        for w in self.count:
+        self.by_length: dict[int, list[tuple[int, str]]] = {}
+        for w in sorted(self.count):
             if len(w) >= 4:
-                for k in _deletions(w, 2 if len(w) >= 8 else 1):
-                    self.deletions.setdefault(k, []).append(w)
+                for n in range(len(w) - 2, len(w) + 3):
+                    self.by_length.setdefault(n, []).append((_letters(w), w))
         self.word = lru_cache(200_000)(self._word)
 
     def _near(self, t: str, least: int) -> str | None:
-        """The common word, found in at least so many names, that t most likely mistypes."""
-        most = 2 if len(t) >= 8 else 1
-        found = {w for k in _deletions(t, most) for w in self.deletions.get(k, ())}
-        ranked = [(d, -self.count[w], w) for w in found if w != t and self.count[w] >= least and (d := typing_distance(t, w, 2 if len(w) >= 8 and most == 2 else 1)) <= most]
-        return min(ranked)[2] if ranked else None
+        """The common word, found in at least so many names, that t most likely mistypes.
+
+        One typing error is allowed, two in words of eight letters or more. Two errors
+        change at most four kinds of letters, which spares most words the comparison.
+        """
+        mine, best = _letters(t), None
+        for letters, w in self.by_length.get(len(t), ()):
+            if (letters ^ mine).bit_count() <= 4 and w != t and self.count[w] >= least:
+                most = 2 if min(len(t), len(w)) >= 8 else 1
+                d = typing_distance(t, w, most)
+                if d <= most and (best is None or (d, -self.count[w], w) < best):
+                    best = (d, -self.count[w], w)
+        return best[2] if best else None
 
     def _word(self, t: str) -> tuple[str, ...]:
         """The canonical spelling of a token, in parts if it holds a common word; common parts begin with '='."""
@@ -203,7 +216,7 @@ class Canon:
             near = self._near(t, 8 * self.count.get(t, 1))
             if near:
                 return ("=" + _EXPAND.get(near, near),)
-            if len(t) >= 6 and any(typing_distance(t, f, 1) <= 1 for f in _LEGAL if len(f) >= 6):
+            if len(t) >= 6 and any(abs(len(t) - len(f)) <= 1 and typing_distance(t, f, 1) <= 1 for f in _LONG_LEGAL):
                 return ()
         if t in self.count:
             return ("=" + t,)
@@ -240,11 +253,11 @@ _INITIALS = {
 _TRADES = frozenset(_EXPAND[tokens(k)[0]] for k in ABBREVIATIONS) - _SUFFIXES
 
 
-def _deletions(w: str, n: int) -> set[str]:
-    out, last = {w}, {w}
-    for _ in range(n):
-        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
-        out |= last
+def _letters(w: str) -> int:
+    """The kinds of letters of a word as bits."""
+    out = 0
+    for ch in w:
+        out |= 1 << (ord(ch) & 63)
     return out
 
 
@@ -258,7 +271,7 @@ def similarity(a: list[str], b: list[str], wa: list[float], wb: list[float]) ->
 
     Tokens are matched one to one by typing distance; each pair weighs as its rarer token.
     """
-    if len(a) != len(b):
+    if len(a) != len(b) or len(wa) != len(a) or len(wb) != len(b):
         return 1.0 if "".join(a) == "".join(b) else 0.0
     left, right, got, all_ = list(a), list(b), 0.0, 0.0
     pairs = sorted((typing_distance(x, y, 2 if min(len(x), len(y)) >= 7 else 1), i, j) for i, x in enumerate(a) for j, y in enumerate(b))
@@ -274,7 +287,7 @@ def similarity(a: list[str], b: list[str], wa: list[float], wb: list[float]) ->
     return got / all_ if all_ else 1.0
 
 
-FORM = "block string, given string, letters array<string>, middle string, rare array<string>, grams array<string>"
+FORM = "block string, given string, letters string, middle string, rare string"
 
 
 def usable_names(*tables: DataFrame) -> DataFrame:
@@ -302,62 +315,96 @@ def common_words(names: DataFrame) -> tuple[dict[str, int], int]:
     return {r[0]: r[1] for r in counts.where(F.col("count") >= max(COMMON_LEAST, COMMON_SHARE * total)).collect()}, total
 
 
-def nodes_of(names: DataFrame, common: dict[str, int]) -> DataFrame:
-    """(id, node, block, given, letters, middle, rare, grams) of each name; node is the hash of the canonical form."""
+def forms_of(names: DataFrame, common: dict[str, int]) -> DataFrame:
+    """(id, node, block, given, letters, middle, rare) of each name; node is the hash of the canonical form."""
 
     def canon(batches):
         made = Canon(common)
         for pdf in batches:
             rows = [
-                (i, f.block, f.given, list(f.letters), f.middle, list(f.rare), grams(f.rare))
-                for i, n in zip(pdf["id"], pdf["name"])
-                if (f := made.form(n))
+                (i, f.block, f.given, "".join(f.letters), f.middle, " ".join(f.rare)) for i, n in zip(pdf["id"], pdf["name"]) if (f := made.form(n))
             ]
-            yield pd.DataFrame(rows, columns=["id", "block", "given", "letters", "middle", "rare", "grams"])
+            yield pd.DataFrame(rows, columns=["id", *(c.split()[0] for c in FORM.split(", "))])
 
-    made = names.mapInPandas(canon, "id string, " + FORM)
-    return made.withColumn("node", F.xxhash64("block", "given", F.concat_ws("", "letters"), "middle", F.concat_ws(" ", "rare")))
+    return names.mapInPandas(canon, "id string, " + FORM).withColumn("node", F.xxhash64("block", "given", "letters", "middle", "rare"))
 
 
-def weighted(nodes: DataFrame) -> DataFrame:
-    """nodes with n (grams) and weight, the inverse document frequency of each rare token over all nodes, in the order of rare."""
-    total = nodes.count()
-    each = nodes.select("node", F.posexplode("rare").alias("k", "w"))
-    idf = each.groupBy("w").agg((F.log(F.lit(total + 1.0)) - F.log(F.count(F.lit(1)))).alias("idf"))
-    weights = each.join(idf, "w").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("k", "idf"))).alias("s")).select("node", F.col("s.idf").alias("weight"))
-    return nodes.join(weights, "node").select("node", "block", "given", "letters", "middle", "rare", "weight", F.size("grams").alias("n"))
+def gram_ranks(nodes: DataFrame) -> dict[str, int]:
+    """The RANKED_GRAMS most frequent q-grams, by rank: 0 for the most frequent.
+
+    The prefix filter needs one order of all grams, and any will do: grams that aren't
+    ranked come first, as they are rarer, in the order of their text.
+    """
+
+    def count(batches):
+        for pdf in batches:
+            found = Counter(g for r in pdf["rare"] for g in grams(r.split()))
+            yield pd.DataFrame(list(found.items()), columns=["gram", "n"])
+
+    counts = nodes.select("rare").mapInPandas(count, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return {r[0]: k for k, r in enumerate(counts.orderBy(F.desc("n"), "gram").limit(RANKED_GRAMS).collect())}
+
+
+def prefix_of(rare: str, ranks: dict[str, int]) -> list[str]:
+    """The rarest grams of a node: as many as it takes to share one with every node that is similar enough."""
+    found = sorted(grams(rare.split()), key=lambda g: (-ranks.get(g, len(ranks)), g))
+    return found[: len(found) - math.ceil(len(found) * JACCARD) + 1]
+
+
+def swapped(text: str) -> Column:
+    """The tokens of a name of two in the other order: an error in a first letter may move a sorted token."""
+    return F.regexp_replace(text, r"^(\S+) (\S+)$", "$2 $1")
 
 
 def similar_nodes(nodes: DataFrame) -> DataFrame:
-    """(a, b, weak) of node pairs that name the same; weak: one has an initial for the other's given name.
+    """(a, b, weak, a_given, b_given) of node pairs that name the same; weak: one has an initial for the other's given name.
 
-    nodes: distinct by node, as nodes_of gives them. A person's node is keyed by each of its letters.
+    nodes: forms, distinct by node. A person's node is keyed by each of its letters. Pairs
+    are at most EDITS letters apart: two swaps, or four other errors.
     """
-    spread = nodes.select("node", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    freq = spread.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "gram"))
-    keep = F.col("n") - F.ceil(F.col("n") * JACCARD) + 1
-    prefix = spread.join(freq, "gram").withColumn("k", rank).where(F.col("k") <= keep).select("node", "gram")
-    keyed = prefix.join(weighted(nodes), "node").withColumn("letter", F.explode_outer("letters")).fillna("", "letter")
-    side = lambda s: keyed.select("block", "letter", "gram", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "given", "middle", "rare", "weight", "n")])
-    size_ok = (F.col("a_n") >= JACCARD * F.col("b_n")) & (F.col("b_n") >= JACCARD * F.col("a_n"))
+    ranks = gram_ranks(nodes)
+
+    @F.pandas_udf("array<string>")
+    def prefix(rare: pd.Series) -> pd.Series:
+        return rare.map(lambda r: prefix_of(r, ranks))
+
+    letter = F.explode(F.when(F.col("letters") == "", F.array(F.lit(""))).otherwise(F.split("letters", "")))
+    person = nodes.where("rare <> ''").select("node", "block", "given", "middle", "rare", letter.alias("letter"), prefix("rare").alias("prefix"))
+    keyed = person.select("node", "block", "given", "middle", "rare", "letter", F.explode("prefix").alias("gram")).select(
+        F.xxhash64("block", "letter", "gram").alias("key"), "node", "given", "middle", "rare"
+    )
+    side = lambda s: keyed.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "given", "middle", "rare")])
     given_ok = (F.col("a_given") == F.col("b_given")) | (F.col("a_given") == "") | (F.col("b_given") == "")
     middle_ok = (F.col("a_middle") == F.col("b_middle")) | (F.col("a_middle") == "") | (F.col("b_middle") == "")
-    text = lambda s: F.concat_ws(" ", f"{s}_rare")
-    pairs = (
+    length_ok = F.abs(F.length("a_rare") - F.length("b_rare")) <= EDITS
+    near = (F.levenshtein("a_rare", "b_rare", EDITS) >= 0) | (F.levenshtein("a_rare", swapped("b_rare"), EDITS) >= 0)
+    close = (
         side("a")
-        .join(side("b"), ["block", "letter", "gram"])
-        .where((F.col("a_node") < F.col("b_node")) & size_ok & given_ok & middle_ok & (F.abs(F.length(text("a")) - F.length(text("b"))) <= 4))
-        .drop("gram", "letter", "block", "a_n", "b_n", "a_middle", "b_middle")
-        .distinct()
+        .join(side("b"), "key")
+        .where((F.col("a_node") < F.col("b_node")) & length_ok & given_ok & middle_ok & near)
+        .select(*[F.col(f"{s}_{c}") for s in "ab" for c in ("node", "given", "rare")])
+        .dropDuplicates(["a_node", "b_node"])
     )
-    @F.pandas_udf("double")
-    def verify(a: pd.Series, b: pd.Series, wa: pd.Series, wb: pd.Series) -> pd.Series:
-        return pd.Series([similarity(list(x), list(y), list(u), list(v)) for x, y, u, v in zip(a, b, wa, wb)], dtype="float64")
+    # a single token's weight falls out of the similarity; only names of several need the words' frequencies
+    several = nodes.where("rare LIKE '% %'").select("node", F.posexplode(F.split("rare", " ")).alias("k", "w"))
+    every = nodes.select(F.explode(F.split("rare", " ")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    weights = several.join(every, "w").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("k", "df"))).alias("s"))
+    weight = lambda s: weights.select(F.col("node").alias(f"{s}_node"), F.col("s.df").alias(f"{s}_df"))
+    total = nodes.count()
 
-    close = pairs.where((text("a") == text("b")) | (F.levenshtein(text("a"), text("b")) <= 8))
+    @F.pandas_udf("double")
+    def verify(a: pd.Series, b: pd.Series, da: pd.Series, db: pd.Series) -> pd.Series:
+        idf = lambda df: [1.0] if df is None else [math.log((total + 1) / n) for n in df]
+        return pd.Series([similarity(x.split(), y.split(), idf(u), idf(v)) for x, y, u, v in zip(a, b, da, db)], dtype="float64")
+
+    one = close.where("a_rare NOT LIKE '% %' AND b_rare NOT LIKE '% %'")
+    none = F.lit(None).cast("array<bigint>")
+    more = close.where("a_rare LIKE '% %' OR b_rare LIKE '% %'").join(weight("a"), "a_node", "left").join(weight("b"), "b_node", "left")
+    both = one.withColumns({"a_df": none, "b_df": none}).unionByName(more)
     weak = (F.col("a_given") != F.col("b_given")).alias("weak")
-    return close.where(verify("a_rare", "b_rare", "a_weight", "b_weight") >= MIN_SIMILARITY).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), weak, "a_given", "b_given")
+    return both.where(verify("a_rare", "b_rare", "a_df", "b_df") >= MIN_SIMILARITY).select(
+        F.col("a_node").alias("a"), F.col("b_node").alias("b"), weak, "a_given", "b_given"
+    )
 
 
 def accepted(pairs: DataFrame) -> DataFrame:
@@ -373,14 +420,15 @@ def groups(*tables: DataFrame) -> DataFrame:
     """(id, group_id) of every id with a usable name; group_id is the smallest id of the group."""
     names = cut(usable_names(*tables))
     common, _ = common_words(names)
-    lines = cut(nodes_of(names, common))
+    forms = cut(forms_of(names, common))
+    release(names)
     # a given name says more than an initial: an id that has one doesn't speak through its initials
-    full = lines.groupBy("id").agg(F.max(F.col("given") != "").alias("has_full"))
-    short = (F.col("given") == "") & (F.size("letters") > 0)
-    told = lines.join(full, "id").where(~(F.col("has_full") & short))
-    spoken = cut(told.select("id", "node").distinct())
-    nodes = cut(told.drop("id", "has_full").dropDuplicates(["node"]))
-    pairs = cut(accepted(similar_nodes(nodes)))
+    full = forms.where("given <> ''").select("id").distinct()
+    hushed = forms.where("given = '' AND letters <> ''").select("id", "node").join(full, "id", "left_semi")
+    spoken = cut(forms.select("id", "node").distinct().join(hushed, ["id", "node"], "left_anti"))
+    nodes = cut(forms.drop("id").dropDuplicates(["node"]))
+    release(forms)
+    pairs = accepted(cut(similar_nodes(nodes)))
     leader = cut(spoken.groupBy("node").agg(F.min("id").alias("leader")))
     same = spoken.join(leader, "node").where("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v"))
     first = leader.select(F.col("node").alias("a"), F.col("leader").alias("u"))
