@@ -154,7 +154,7 @@ def _spelled(words) -> dict[str, str]:
 
 
 _LEGAL, _JOINING, _SUFFIXES, _GIVEN = (frozenset(_spelled(x)) for x in (LEGAL, JOINING, SUFFIXES, GIVEN))
-_LONG_LEGAL = tuple(f for f in sorted(_LEGAL) if len(f) >= 6)
+_LONG_LEGAL = frozenset(f for f in _LEGAL if len(f) >= 6)
 _EXPAND = {tokens(k)[0]: tokens(v)[0] for k, v in {**ABBREVIATIONS, **NICKNAMES}.items()}
 
 
@@ -216,12 +216,12 @@ class Canon:
             near = self._near(t, 8 * self.count.get(t, 1))
             if near:
                 return ("=" + _EXPAND.get(near, near),)
-            if len(t) >= 6 and any(abs(len(t) - len(f)) <= 1 and typing_distance(t, f, 1) <= 1 for f in _LONG_LEGAL):
+            if len(t) >= 6 and _is_near(t, _LONG_LEGAL):
                 return ()
         if t in self.count:
             return ("=" + t,)
         if len(t) <= 3:
-            return () if any(typing_distance(t, f, 1) <= 1 for f in _LEGAL if len(f) >= 2) else (t,)
+            return () if _is_near(t, _LEGAL) else (t,)
         for k in range(len(t) - 1, 3, -1):
             if k >= 5 and t[:k] in self.count and len(t) - k != 2 and len(t) - k != 3:
                 return ("=" + t[:k], *self._word(t[k:]))
@@ -253,6 +253,7 @@ _INITIALS = {
 _TRADES = frozenset(_EXPAND[tokens(k)[0]] for k in ABBREVIATIONS) - _SUFFIXES
 
 
+@lru_cache(100_000)
 def _letters(w: str) -> int:
     """The kinds of letters of a word as bits."""
     out = 0
@@ -261,6 +262,13 @@ def _letters(w: str) -> int:
     return out
 
 
+@lru_cache(100_000)
+def _is_near(t: str, words: frozenset[str]) -> bool:
+    """Whether t is at most one typing error from one of the words; one error changes at most two kinds of letters."""
+    mine = _letters(t)
+    return any(abs(len(t) - len(w)) <= 1 and (_letters(w) ^ mine).bit_count() <= 2 and typing_distance(t, w, 1) <= 1 for w in words)
+
+
 def grams(rare: tuple[str, ...] | list[str]) -> list[str]:
     """The distinct q-grams of the tokens, each padded at both ends."""
     return sorted({p[i : i + Q] for t in rare for p in [f"^{t}$"] for i in range(max(1, len(p) - Q + 1))})

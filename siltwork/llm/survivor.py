@@ -31,7 +31,7 @@ STAND_INS = (
     "unnamed", "tbd", "tba", "todo", "test", "xxx", "xx", "x", "missing", "empty", "undefined", "nan", "anonymous", "not available",
 )
 
-BLANKS = r"[\s\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2028\u2029\u202f\u205f\u2060\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200C)))
 
 
 def usable_epoch(c: Column) -> Column:
@@ -39,7 +39,7 @@ def usable_epoch(c: Column) -> Column:
 
 
 def trimmed(name: Column) -> Column:
-    return F.regexp_replace(name, f"^{BLANKS}+|{BLANKS}+$", "")
+    return F.btrim(name, F.lit(BLANKS))
 
 
 def is_stand_in(name: Column) -> Column:
