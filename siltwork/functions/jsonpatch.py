@@ -48,16 +48,98 @@ def patch(target, change, strict: bool = False):
     return out
 
 
-def compose(first, second):
-    """One patch that does what first and then second do: nulls stay, as they delete later."""
-    if not isinstance(first, dict) or not isinstance(second, dict):
+class Replace:
+    """In a composed patch: the value stands for whatever was there, where a patch alone would merge into it."""
+
+    __slots__ = ("value",)
+
+    def __init__(self, value):
+        self.value = value
+
+    def __eq__(self, other) -> bool:
+        return isinstance(other, Replace) and self.value == other.value
+
+    __hash__ = None
+
+
+def compose(first, second, top: bool = True):
+    """What first and then second do to an object, as one change. Nulls stay, as they delete later."""
+    if isinstance(first, Replace):
+        inner = first.value
+        if not isinstance(second, dict):
+            return second if isinstance(second, Replace) else Replace(second)
+        return Replace(patch(inner, second) if top else patch(inner, second, True))
+    if not isinstance(second, dict):
         return second
+    if not isinstance(first, dict):
+        return Replace(second if top else strip_nulls(second))
     out = dict(first)
     for k, v in second.items():
-        out[k] = compose(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+        out[k] = compose(out[k], v, False) if k in out else v
     return out
 
 
+def apply_composed(target: dict, change):
+    """A composed change on an object."""
+    if isinstance(change, Replace):
+        return change.value
+    if not isinstance(change, dict):
+        return change
+    out = dict(target)
+    for k, v in change.items():
+        if v is None:
+            out.pop(k, None)
+        elif isinstance(v, (dict, Replace)):
+            out[k] = apply_composed(out[k] if isinstance(out.get(k), dict) else {}, v)
+        else:
+            out[k] = v
+    return out
+
+
+_MARK = "\x00"
+
+
+def dump_composed(change) -> str:
+    """A composed change as text: a Replace is an object with the mark as its only key; keys that begin with it get another."""
+
+    def plain(v):
+        if isinstance(v, Replace):
+            return {_MARK: escaped(v.value)}
+        if isinstance(v, dict):
+            return {_MARK + k if k.startswith(_MARK) else k: plain(x) for k, x in v.items()}
+        return v
+
+    def escaped(v):
+        return {_MARK + k if k.startswith(_MARK) else k: escaped(x) for k, x in v.items()} if isinstance(v, dict) else v
+
+    return dumps(plain(change))
+
+
+def load_composed(text: str):
+    def back(v):
+        if not isinstance(v, dict):
+            return v
+        if list(v) == [_MARK]:
+            return Replace(real(v[_MARK]))
+        return {k.removeprefix(_MARK): back(x) for k, x in v.items()}
+
+    def real(v):
+        return {k.removeprefix(_MARK): real(x) for k, x in v.items()} if isinstance(v, dict) else v
+
+    return back(loads(text))
+
+
+def fold_stretches(parts: list[tuple[str, str]]) -> str:
+    """The fold of all patches, from stretches of them in order, each (applied, composed)."""
+    if len(parts) == 1:
+        return parts[0][0]
+    value = loads(parts[0][0])
+    for applied, composed in parts[1:]:
+        # on a value that isn't an object, a stretch's first patch stands as it is and the rest follow
+        value = apply_composed(value, load_composed(composed)) if isinstance(value, dict) else loads(applied)
+    return dumps(value)
+
+
 def fold(patches: list[str], strict: bool = False) -> str | None:
     """Patches applied one to the other in their order. A single one is returned as it stands."""
     if not patches:

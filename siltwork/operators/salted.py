@@ -10,8 +10,8 @@ The salt is a hash of the row, with the rank of a repeated row left to the map-s
 combine, and not rand(): a task that is run again after a lost executor must send each
 row where its first run sent it.
 
-Null keys form one group, as in GROUP BY. An empty table gives an empty result. The
-names of input columns can't clash with those used inside, which are prefixed.
+Null keys form one group, as in GROUP BY. An empty table gives an empty result. Input
+columns may have any names: those used inside give way.
 """
 
 from __future__ import annotations
@@ -73,6 +73,18 @@ def mean(name: str, value: Column) -> Partial:
     return Partial(name, part, lambda c: F.try_divide(F.sum(F.col(c)["s"]), F.sum(F.col(c)["n"])))
 
 
+def fresh(df: DataFrame, *bases: str) -> list[str]:
+    """Column names that df doesn't have, one for each base."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for b in bases:
+        name = f"__silt_{b}"
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame:
     """(key, n) of the keys with at least ``share`` of all rows: 1 / share rows at most."""
     counts = df.groupBy(F.col(f"`{key}`").alias("__silt_key")).agg(F.count(F.lit(1)).alias("__silt_n"))
@@ -80,22 +92,24 @@ def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame
     return counts.where(F.col("__silt_n") >= F.ceil(rows * F.lit(float(share))))
 
 
-def with_salt(df: DataFrame, key: str, salts: int = SALTS, share: float = HEAVY_SHARE) -> DataFrame:
+def with_salt(df: DataFrame, key: str, salts: int = SALTS, share: float = HEAVY_SHARE, name: str = SALT) -> DataFrame:
     """df with a salt column: 0 for light keys, 0 <= salt < salts for heavy ones."""
-    heavy = heavy_keys(df, key, share).select("__silt_key", F.lit(True).alias("__silt_heavy"))
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if dict(df.dtypes)[c] != "variant"])
-    salted = df.join(F.broadcast(heavy), F.col(f"`{key}`").eqNullSafe(F.col("__silt_key")), "left")
-    salt = F.when(F.col("__silt_heavy"), F.pmod(row, F.lit(salts))).otherwise(F.lit(0).cast("bigint"))
-    return salted.withColumn(SALT, salt).drop("__silt_key", "__silt_heavy")
+    held, flag = fresh(df, "key", "heavy")
+    heavy = heavy_keys(df, key, share).select(F.col("__silt_key").alias(held), F.lit(True).alias(flag))
+    row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and kind != "variant"])
+    salted = df.join(F.broadcast(heavy), F.col(f"`{key}`").eqNullSafe(F.col(held)), "left")
+    salt = F.when(F.col(flag), F.pmod(row, F.lit(salts))).otherwise(F.lit(0).cast("bigint"))
+    return salted.withColumn(name, salt).drop(held, flag)
 
 
 def salted_aggregate(
     df: DataFrame, key: str, partials: list[Partial], salts: int = SALTS, share: float = HEAVY_SHARE
 ) -> DataFrame:
     """(key, one column for each partial), equal to a plain GROUP BY over the key."""
+    (salt,) = fresh(df, "salt")
     staged = (
-        with_salt(df, key, salts, share)
-        .groupBy(F.col(f"`{key}`").alias("__silt_key"), SALT)
+        with_salt(df, key, salts, share, salt)
+        .groupBy(F.col(f"`{key}`").alias("__silt_key"), F.col(salt))
         .agg(*[p.partial.alias(f"__silt_p{i}") for i, p in enumerate(partials)])
     )
     merged = staged.groupBy("__silt_key").agg(*[p.merge(f"__silt_p{i}").alias(f"__silt_r{i}") for i, p in enumerate(partials)])

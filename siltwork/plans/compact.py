@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltwork.functions import jsonpatch
-from siltwork.operators.salted import SALT, heavy_keys
+from siltwork.operators.salted import fresh, heavy_keys
 from siltwork.operators.strategies import aggregate, combine, holds_patches, only_incoming, quoted, union_lists
 from siltwork.schema import TableSchema
 
@@ -48,6 +48,8 @@ def preaggregate(schema: TableSchema, incoming: DataFrame, scope: Sequence[str]
     present = set(incoming.columns)
     fields = [f for f in schema.fields if f.column in present and f.column not in schema.pk]
     rows = incoming.where(has_key(schema))
+    if not any(f.agg_expr for f in fields):  # SQL may look at any column
+        rows = rows.select(*[F.col(quoted(k)) for k in _keys(schema, scope)], *[F.col(quoted(f.column)) for f in fields])
     keys = [F.col(quoted(k)) for k in _keys(schema, scope)]
     gathers = any(f.type == "list" or holds_patches(f) for f in fields)
     if skew == "auto":
@@ -65,12 +67,13 @@ def _heavy(rows: DataFrame, keys: list[str]) -> DataFrame:
 def _in_two_stages(schema: TableSchema, rows: DataFrame, scope: Sequence[str], fields: list) -> DataFrame:
     names = _keys(schema, scope)
     keys = [F.col(quoted(k)) for k in names]
-    heavy = _heavy(rows, names).select(F.col("__silt_key"), F.lit(True).alias("__silt_heavy"))
-    hashed = rows.withColumn("__silt_k", F.xxhash64(*keys)).join(F.broadcast(heavy), F.col("__silt_k") == F.col("__silt_key"), "left")
+    key, held, flag, salt = fresh(rows, "k", "key", "heavy", "salt")
+    heavy = _heavy(rows, names).select(F.col("__silt_key").alias(held), F.lit(True).alias(flag))
+    hashed = rows.withColumn(key, F.xxhash64(*keys)).join(F.broadcast(heavy), F.col(key) == F.col(held), "left")
     row = F.xxhash64(*[F.col(quoted(c)) for c in rows.columns])
-    salted = hashed.withColumn(SALT, F.when(F.col("__silt_heavy"), F.pmod(row, F.lit(SALTS))).otherwise(0))
+    salted = hashed.withColumn(salt, F.when(F.col(flag), F.pmod(row, F.lit(SALTS))).otherwise(0))
     split = [f for f in fields if not f.agg_expr and not holds_patches(f)]
-    staged = salted.groupBy(*keys, SALT).agg(F.lit(0).alias("__silt_any"), *[aggregate(f).alias(f.column) for f in split])
+    staged = salted.groupBy(*keys, salt).agg(F.lit(0).alias("__silt_any"), *[aggregate(f).alias(f.column) for f in split])
     again = [(union_lists(F.collect_list(quoted(f.column))) if f.strategy == "list_union" else aggregate(f)).alias(f.column) for f in split]
     out = staged.groupBy(*keys).agg(F.lit(0).alias("__silt_any"), *again)
     for f in fields:
@@ -85,11 +88,12 @@ def _in_two_stages(schema: TableSchema, rows: DataFrame, scope: Sequence[str], f
 
 
 def fold_ranges(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """(keys, column: array of patches), equal in effect to the sorted array of all patches of a key.
+    """(keys, column: array of one patch), the fold of all patches of a key in the order of their text.
 
     Patches are sorted over the cluster by key and text. Each partition brings a key's
-    stretch to one patch as it streams by, so a key's array has at most one entry a
-    partition. The first stretch is applied, the others composed, which keeps their nulls.
+    stretch to one change as it streams by, so a key has at most one line a partition in
+    the end. The first stretch is applied, the others composed: what they delete, they
+    delete from what came before.
     """
     c = quoted(column)
     names = [f"__silt_{i}" for i in range(len(keys))]
@@ -104,7 +108,7 @@ def fold_ranges(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
 
         def line():
             text = first if n == 1 else None
-            return (*now, first, text or jsonpatch.dumps(applied), text or jsonpatch.dumps(composed))
+            return (*now, first, text or jsonpatch.dumps(applied), jsonpatch.dump_composed(composed))
 
         for pdf in batches:
             out = []
@@ -123,8 +127,13 @@ def fold_ranges(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     parts = ranged.mapInPandas(shrink, schema).groupBy(*names).agg(
         F.array_sort(F.collect_list(F.struct("__silt_first", "__silt_applied", "__silt_composed"))).alias("s")
     )
-    patches = F.concat(F.array(F.col("s")[0]["__silt_applied"]), F.slice(F.col("s.__silt_composed"), F.lit(2), F.size("s")))
-    return parts.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], patches.alias(column))
+
+    @F.pandas_udf("string")
+    def join(applied: pd.Series, composed: pd.Series) -> pd.Series:
+        return pd.Series([jsonpatch.fold_stretches(list(zip(a, c))) for a, c in zip(applied, composed)], dtype=object)
+
+    folded = F.array(join(F.col("s.__silt_applied"), F.col("s.__silt_composed")))
+    return parts.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], folded.alias(column))
 
 
 def plan(

@@ -164,7 +164,7 @@ def parse_field(attr: str, py: object, tag: str = "", extended_types: bool = Fal
             made[s] = True
         elif s in STRATEGIES:
             made["strategy"], explicit = s, True
-        elif name == "expr" or name == "agg":
+        elif name in ("expr", "agg") and value.strip():
             made["merge_expr" if name == "expr" else "agg_expr"], explicit = value, True
         elif name == "partition" and value:
             rules = value

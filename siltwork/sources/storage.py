@@ -198,11 +198,11 @@ class HadoopStorage:
         if not fs.exists(where):
             return []
         out, found = [], fs.listFiles(where, True)
-        base = where.toUri().getScheme() is not None
+        base = where.toUri().getPath().rstrip("/")
         while found.hasNext():
             st = found.next()
-            p = st.getPath()
-            out.append(Object(p.toString() if base else p.toUri().getPath(), st.getLen(), st.getModificationTime() / 1000))
+            inner = st.getPath().toUri().getPath().removeprefix(base)
+            out.append(Object(prefix.rstrip("/") + inner, st.getLen(), st.getModificationTime() / 1000))
         return sorted(out, key=lambda o: o.path)
 
     def read_json(self, path: str) -> dict:
@@ -291,9 +291,7 @@ class BucketStorage(HadoopStorage):
         return super()._at(self.uri(path) if inside and "/.staging/" not in path else path)
 
     def list(self, prefix: str) -> list[Object]:
-        head = f"{self.scheme}://{self.keys.bucket}/"
-        found = super().list(prefix)
-        return [Object(self.keys.path(o.path.removeprefix(head)), o.size, o.modified) for o in found if not o.path.endswith("/")]
+        return [o for o in super().list(prefix) if not o.path.endswith("/")]
 
     def uri(self, path: str) -> str:
         return f"{self.scheme}://{self.keys.bucket}/{self.keys.key(path)}"

@@ -1,0 +1,371 @@
+import json
+import logging
+import os
+import shutil
+import threading
+import time
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from siltwork.engine import Engine, MergeError, Options
+from siltwork.ingest import ImportOptions
+from siltwork.schema import table_schema
+from siltwork.sources import manifest as M
+from siltwork.sources.storage import BucketStorage, HadoopStorage, KeyMap, LocalStorage, MemoryStorage, NotFound
+
+TOTAL = table_schema("area_row", {"id": (str, "pk"), "area": (str, "partition:area"), "total": (int, "sum")})
+FLAT = table_schema("flat", {"id": (str, "pk; bloom"), "total": (int, "sum"), "name": str})
+PARTS = table_schema("partitioned_row", {"id": (str, "pk; bloom; partition:p=[0:2],b=hash(16)"), "name": str, "region": str, "updated_at": (int, "overwrite")})
+
+
+def rows(t):
+    return sorted(tuple(r) for r in t.read().collect())
+
+
+def test_import_is_pending_until_merged(spark, root):
+    t = Engine(spark, root).register(FLAT)
+    assert t.merge() == 0 and rows(t) == []
+    t.import_records("a", [{"id": "x", "total": 2}, {"id": "", "total": 1}, {"total": 5}])
+    assert rows(t) == [] and len(t.pending()[""]) == 1
+    assert t.merge() == 1 and t.pending() == {} and rows(t) == [("x", 2, None)]
+    m = M.load(t.engine.storage, t.main_dir)
+    assert m.version == 1 and len(m.active_files) == 1 and m.active_files[0].startswith("files/merged_")
+
+
+def test_retry_after_a_crash_applies_nothing_twice(spark, root, tmp_path):
+    t = Engine(spark, root).register(FLAT)
+    (f,) = t.import_records("a", [{"id": "x", "total": 5}])
+    shutil.copy(f, tmp_path / "kept")
+    t.merge()
+    os.makedirs(os.path.dirname(f), exist_ok=True)
+    shutil.copy(tmp_path / "kept", f)  # as if the crash came before inputs were deleted
+    t.merge()
+    assert rows(t) == [("x", 5, None)] and not os.path.exists(f)
+    os.makedirs(os.path.dirname(f), exist_ok=True)
+    shutil.copy(tmp_path / "kept", f)
+    t.upsert([{"id": "x", "total": 1}])
+    t.merge()
+    assert rows(t) == [("x", 6, None)]
+
+
+def test_relative_roots_are_safe_from_other_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    t = Engine(spark, "data").register(FLAT)
+    (f,) = t.import_records("a", [{"id": "x", "total": 5}])
+    shutil.copy(f, tmp_path / "kept")
+    t.merge()
+    record = json.loads(next(Path(t.main_dir).glob("_commit_*")).read_text())
+    assert record["input_files"][0].startswith("inc/flat/a/")
+    os.makedirs(os.path.dirname(f), exist_ok=True)
+    shutil.copy(tmp_path / "kept", f)
+    monkeypatch.chdir("/")
+    Engine(spark, str(tmp_path / "data")).register(FLAT).merge()
+    assert rows(t) == [("x", 5, None)]
+
+
+def test_stale_files_are_never_read_and_go(spark, root):
+    t = Engine(spark, root).register(FLAT)
+    t.import_records("a", [{"id": "x", "total": 5}])
+    t.merge()
+    (active,) = t.active()[""]
+    stale = f"{t.main_dir}/files/merged_0_dead.parquet"
+    shutil.copy(active, stale)
+    Path(f"{t.main_dir}/files/.merged_1.parquet.tmp").write_text("")
+    Path(f"{t.main_dir}/_commit_old.json").write_text("{}")
+    assert rows(t) == [("x", 5, None)]
+    t.vacuum()
+    assert sorted(os.listdir(f"{t.main_dir}/files")) == [os.path.basename(active)]
+    assert len(list(Path(t.main_dir).glob("_commit_*"))) == 1
+
+
+def test_first_publish_without_manifest_is_an_orphan(spark, root):
+    t = Engine(spark, root).register(FLAT)
+    t.import_records("a", [{"id": "x", "total": 5}])
+    t.merge()
+    (active,) = t.active()[""]
+    os.rename(active, f"{t.main_dir}/files/merged_0_orphan.parquet")
+    os.unlink(f"{t.main_dir}/_manifest.json")
+    t.import_records("a", [{"id": "y", "total": 1}])
+    t.merge()
+    t.vacuum()
+    assert rows(t) == [("y", 1, None)] and len(os.listdir(f"{t.main_dir}/files")) == 1
+
+
+def test_legacy_files_are_adopted_once(spark, root):
+    t = Engine(spark, root).register(FLAT)
+    t.import_records("a", [{"id": "x", "total": 5}])
+    t.merge()
+    (active,) = t.active()[""]
+    os.rename(active, f"{t.main_dir}/old.parquet")
+    for p in Path(t.main_dir).glob("_*"):
+        p.unlink()
+    t.upsert([{"id": "x", "total": 1}])
+    assert rows(t) == [("x", 6, None)] and not os.path.exists(f"{t.main_dir}/old.parquet")
+
+
+def test_inputs_that_cannot_be_removed_stop_the_merge(spark, root, tmp_path, monkeypatch):
+    t = Engine(spark, root).register(FLAT)
+    (f,) = t.import_records("a", [{"id": "x", "total": 5}])
+    shutil.copy(f, tmp_path / "kept")
+    t.merge()
+    os.makedirs(os.path.dirname(f), exist_ok=True)
+    shutil.copy(tmp_path / "kept", f)
+    real = LocalStorage.delete
+
+    def stuck(self, path):
+        if path == f:
+            raise PermissionError(path)
+        real(self, path)
+
+    monkeypatch.setattr(LocalStorage, "delete", stuck)
+    t.import_records("b", [{"id": "x", "total": 1}])
+    with pytest.raises(MergeError):
+        t.merge()
+    assert M.load(t.engine.storage, t.main_dir).version == 1
+    monkeypatch.setattr(LocalStorage, "delete", real)
+    t.merge()
+    assert rows(t) == [("x", 6, None)]
+
+
+def test_partitions(spark, root):
+    t = Engine(spark, root).register(PARTS)
+    df = spark.createDataFrame([("aa1", "Alpha", 100), ("bb1", "Beta", 100)], "id string, name string, updated_at int")
+    t.import_df("s1", df)
+    assert t.merge() == 2
+    t.import_df("s2", spark.createDataFrame([("aa1", "AlphaV2", 200), ("cc1", "Gamma", 150)], "id string, name string, updated_at int"))
+    assert t.merge() == 2
+    got = {r.id: (r.name, r.updated_at) for r in t.read().collect()}
+    assert got == {"aa1": ("AlphaV2", 200), "bb1": ("Beta", 100), "cc1": ("Gamma", 150)}
+    assert t.lookup(id="aa1").first().name == "AlphaV2" and t.lookup(id="zz").count() == 0
+    (d,) = [x for x in t.active() if x.startswith("p=aa")]
+    meta = duckdb.sql(f"SELECT bloom_filter_offset FROM parquet_metadata('{t.active()[d][0]}') WHERE path_in_schema = 'id'").fetchall()
+    assert all(m[0] for m in meta)
+    assert t.active()[d][0].startswith(f"{t.main_dir}/{d}/files/merged_")
+
+
+@pytest.mark.parametrize("options, expected", [(Options(), True), (Options(disable_bloom=True), False), (Options(bloom_max_file_bytes=1), False)])
+def test_bloom_options(spark, root, options, expected):
+    t = Engine(spark, root, options=options).register(FLAT)
+    t.import_records("a", [{"id": f"k{i}", "total": 1} for i in range(50)])
+    t.merge()
+    (f,) = t.active()[""]
+    offset = duckdb.sql(f"SELECT bloom_filter_offset, compression FROM parquet_metadata('{f}') WHERE path_in_schema = 'id'").fetchall()[0]
+    assert bool(offset[0]) == expected and offset[1] == "ZSTD"
+
+
+def test_odd_values_make_one_level_each(spark, root):
+    t = Engine(spark, root).register(TOTAL)
+    areas = ["../../../../escape", "hua/dong", "back\\slash", "pct%20", "华东", "", "a[b]*{c}?"]
+    t.import_records("../../evil", [{"id": str(i), "area": a, "total": i + 1} for i, a in enumerate(areas)])
+    assert len(t.pending()) == len(areas)
+    assert t.merge() == len(areas)
+    got = {r.id: (r.area or "", r.total) for r in t.read().collect()}
+    assert got == {str(i): (a, i + 1) for i, a in enumerate(areas)}
+    for source in ("2026/07/02", "", ".", ".."):
+        t.import_records(source, [{"id": "0", "area": areas[0], "total": 1}])
+    t.merge()
+    assert t.lookup(id="0").first().total == 5
+
+
+def test_keys_of_two_partitions_never_meet(spark, root):
+    t = Engine(spark, root).register(TOTAL)
+    t.import_records("a", [{"id": "1", "area": "x", "total": 1}, {"id": "1", "area": "y", "total": 2}])
+    t.merge()
+    assert [r.total for r in t.read().orderBy("area").collect()] == [1, 2]
+    assert [tuple(r) for r in t.read(dedup=True).collect()] == [("1", "y", 3)]
+
+
+def test_one_bad_partition_leaves_the_others(spark, root):
+    s = table_schema("j", {"id": (str, "pk; partition:p=[0:1]"), "meta": (dict, "json_merge")})
+    t = Engine(spark, root).register(s)
+    t.import_records("a", [{"id": "a1", "meta": {"k": 1}}, {"id": "b1", "meta": "{bad"}, {"id": "b1", "meta": "{}"}])
+    with pytest.raises(MergeError) as e:
+        t.merge()
+    assert list(e.value.errors) == ["p=b"] and [r.id for r in t.read().collect()] == ["a1"]
+
+
+def test_upserts(spark, root):
+    t = Engine(spark, root).register(FLAT)
+    t.upsert([{"id": "a", "total": "1", "name": "keep-me", "unknown": 3}, {"id": "a", "total": 2.9}, {"id": None}, {"id": ""}])
+    t.upsert([{"id": "a", "total": 1, "name": ""}])
+    assert rows(t) == [("a", 4, "keep-me")]
+    assert t.upsert([]) == 0 and t.pending() == {}
+    t.upsert(spark.createDataFrame([("a", 1, "x"), ("b", 2, None)], "id string, total int, name string"))
+    assert rows(t) == [("a", 5, "x"), ("b", 2, None)]
+
+
+def test_composite_key_upsert(spark, root):
+    s = table_schema("obs", {"phone": (str, "pk"), "source": (str, "pk"), "first_seen": (int, "min"), "last_seen": (int, "max"), "count": (int, "sum")})
+    t = Engine(spark, root).register(s)
+    t.upsert([dict(phone="100", source="alpha", first_seen=100, last_seen=100, count=1), dict(phone="100", source="beta", first_seen=200, last_seen=200, count=1)])
+    t.upsert([dict(phone="100", source="alpha", first_seen=50, last_seen=300, count=2)])
+    assert rows(t) == [("100", "alpha", 50, 300, 3), ("100", "beta", 200, 200, 1)]
+
+
+def test_concurrent_upserts_and_merge(spark, root):
+    t = Engine(spark, root).register(FLAT)
+    t.import_records("a", [{"id": "k", "total": 10}])
+    failed = []
+
+    def run(f):
+        try:
+            f()
+        except Exception as e:
+            failed.append(e)
+
+    jobs = [threading.Thread(target=run, args=(t.merge,)), *[threading.Thread(target=run, args=(lambda: t.upsert([{"id": "k", "total": 1}]),)) for _ in range(3)]]
+    for j in jobs:
+        j.start()
+    for j in jobs:
+        j.join()
+    assert not failed and rows(t) == [("k", 13, None)]
+
+
+def test_import_writer_bounds(spark, root):
+    t = Engine(spark, root).register(FLAT)
+    assert len(t.import_rows("a", ({"id": str(i), "total": 1} for i in range(25)), ImportOptions(max_rows_per_file=10))) == 3
+    t.merge()
+    assert t.read().count() == 25
+    p = Engine(spark, root).register(PARTS)
+    files = p.import_rows("a", [{"id": i} for i in ("aa1", "bb1", "cc1", "aa2", "dd1")], ImportOptions(max_open_partitions=1))
+    assert len(files) == 5
+    small = t.import_rows("b", [{"id": "x" * 100} for _ in range(10)], ImportOptions(max_bytes_per_file=150))
+    assert len(small) == 5
+    w = t.writer("c")
+    with pytest.raises(AttributeError):
+        w.add(3)
+    with pytest.raises(AttributeError):
+        w.add({"id": "ok"})  # the error sticks
+    assert ImportOptions(max_rows_per_file=0, max_open_partitions=-1) == ImportOptions()
+
+
+def test_temporary_and_hidden_files_are_not_pending(spark, root):
+    t = Engine(spark, root).register(FLAT)
+    (f,) = t.import_records("a", [{"id": "x", "total": 1}])
+    shutil.copy(f, f"{f}.tmp")
+    shutil.copy(f, os.path.join(os.path.dirname(f), ".hidden.parquet"))
+    old = f"{os.path.dirname(f)}/old.parquet.tmp"
+    shutil.copy(f, old)
+    os.utime(old, (time.time() - 7200,) * 2)
+    t.merge()
+    assert rows(t) == [("x", 1, None)] and os.path.exists(f"{f}.tmp") and not os.path.exists(old)
+
+
+def test_stale_staging_goes(spark, root):
+    e = Engine(spark, root)
+    t = e.register(FLAT)
+    for name, age in (("old", 2 * 86400), ("new", 10)):
+        os.makedirs(f"{root}/.staging/{name}")
+        Path(f"{root}/.staging/{name}/f").write_text("")
+        for p in (f"{root}/.staging/{name}/f", f"{root}/.staging/{name}"):
+            os.utime(p, (time.time() - age,) * 2)
+    t.merge()
+    assert os.listdir(f"{root}/.staging") == ["new"]
+
+
+def test_schema_evolution(spark, root):
+    old = table_schema("flat", {"id": (str, "pk"), "total": (int, "sum"), "gone": str})
+    t = Engine(spark, root).register(old)
+    t.import_records("a", [{"id": "x", "total": 1, "gone": "g"}])
+    t.merge()
+    new = table_schema("flat", {"id": (str, "pk"), "total": (int, "sum"), "added": str})
+    t = Engine(spark, root).register(new)
+    assert rows(t) == [("x", 1, None)]
+    t.import_records("a", [{"id": "x", "total": 1, "added": "n"}])
+    t.merge()
+    assert rows(t) == [("x", 2, "n")]
+
+
+def test_sums_stored_as_doubles_are_cast(spark, root):
+    t = Engine(spark, root).register(FLAT)
+    os.makedirs(t.main_dir, exist_ok=True)
+    duckdb.sql("SELECT 'x' AS id, 2.0::DOUBLE AS total").write_parquet(f"{t.main_dir}/old.parquet")
+    t.upsert([{"id": "x", "total": 3}])
+    assert rows(t) == [("x", 5, None)] and t.read().schema["total"].dataType.simpleString() == "bigint"
+
+
+def test_unpartitioned_merge_spares_nested_partitions(spark, root):
+    t = Engine(spark, root).register(PARTS)
+    t.import_records("a", [{"id": "aa1"}])
+    t.merge()
+    flat = table_schema("partitioned_row", {"id": (str, "pk"), "name": str})
+    with pytest.raises((MergeError, M.CommittedWithCleanupError, M.RecoveryError)):
+        Engine(spark, root).register(flat).upsert([{"id": "b"}])
+    assert all(os.path.exists(f) for fs in t.active().values() for f in fs)
+
+
+def test_memory_storage_as_remote(spark, root):
+    st = MemoryStorage()
+    t = Engine(spark, root, storage=st).register(PARTS)
+    t.import_records("a", [{"id": "aa1", "name": "x"}, {"id": "bb1", "name": "y"}])
+    t.merge()
+    t.upsert([{"id": "aa1", "name": "z"}])
+    assert {r.id: r.name for r in t.read().collect()} == {"aa1": "z", "bb1": "y"}
+    assert st.calls["upload"] == 3 and st.calls["download"] >= 1
+    assert not [f for f in Path(root, "main").rglob("*.parquet")]
+
+
+@pytest.mark.parametrize("make", [lambda spark: LocalStorage(), HadoopStorage])
+def test_storage_contract(spark, tmp_path, make):
+    st, base = make(spark), str(tmp_path / "s")
+    assert st.list(base) == []
+    with pytest.raises(NotFound):
+        st.read_json(f"{base}/x.json")
+    st.write_json(f"{base}/a/x.json", {"v": "ü"})
+    st.write_json(f"{base}/a/x.json", {"v": 2})
+    assert st.read_json(f"{base}/a/x.json") == {"v": 2}
+    local = tmp_path / "up"
+    local.write_text("hello")
+    st.upload(str(local), f"{base}/b/f")
+    assert not local.exists() and [(o.path.removeprefix(base), o.size) for o in st.list(base) if not o.path.endswith(".crc")] == [("/a/x.json", 8), ("/b/f", 5)]
+    st.download(f"{base}/b/f", str(tmp_path / "down"))
+    assert (tmp_path / "down").read_text() == "hello"
+    st.delete(f"{base}/b/f")
+    st.delete(f"{base}/b/f")
+    with pytest.raises(NotFound):
+        st.download(f"{base}/b/f", str(tmp_path / "down2"))
+
+
+def test_engine_over_hadoop_uris(spark, root):
+    t = Engine(spark, f"file://{root}").register(PARTS)
+    t.import_df("a", spark.createDataFrame([("aa1", "x"), ("华/1", "y")], "id string, name string"))
+    assert t.merge() == 2
+    t.upsert([{"id": "aa1", "name": "z"}])
+    assert {r.id: r.name for r in t.read().collect()} == {"aa1": "z", "华/1": "y"}
+
+
+def test_key_mapping(spark):
+    k = KeyMap("bucket", "/data/store", "prod/store")
+    for path, key in (("/data/store/main/t/_manifest.json", "prod/store/main/t/_manifest.json"), ("/data/store", "prod/store")):
+        assert k.key(path) == key and k.path(key) == path
+    assert KeyMap("b", "/data/store").key("/data/store/main/x") == "main/x"
+    near = KeyMap("b", "/data/store", "st")
+    assert near.path("st/main/x") == "/data/store/main/x" and near.path("stone/x") == "/data/store/stone/x"
+    for bad in ("/etc/passwd", "/data/store/../other"):
+        with pytest.raises(ValueError):
+            k.key(bad)
+    for args in (("", "/r"), ("b", "")):
+        with pytest.raises(ValueError):
+            KeyMap(*args)
+    assert BucketStorage(spark, k).uri("/data/store/main/x") == "s3a://bucket/prod/store/main/x"
+
+
+def test_options():
+    assert Options(workers=0, threads=-1, memory_limit="", bloom_max_file_bytes=0) == Options()
+    with pytest.raises(ValueError):
+        Options(memory_limit="much")
+
+
+def test_logging(spark, root, caplog):
+    with caplog.at_level(logging.INFO, "siltwork"):
+        Engine(spark, root).register(FLAT).upsert([{"id": "a"}])
+        assert "merged flat" in caplog.text
+        caplog.clear()
+        Engine(spark, root, logger=None).register(FLAT).upsert([{"id": "a"}])
+        assert caplog.text == ""
+    own = logging.getLogger("mine")
+    with caplog.at_level(logging.INFO, "mine"):
+        Engine(spark, root, logger=own).register(FLAT).upsert([{"id": "a"}])
+        assert caplog.records[-1].name == "mine"
