@@ -37,7 +37,7 @@ RUN_WORDS = 12
 CHANGED_SHARE = 0.15
 REMARK_WORDS = 10
 BROADCAST_SEEDS = 200_000
-MATCH, MISS, SKIP, OPEN, EXTEND = 2.0, -1.0, -1.0, -1.0, -0.1
+MATCH, MISS, SKIP, OPEN, EXTEND = 2.0, -1.0, -1.0, -1.0, -0.05
 
 _TAG = regex.compile(r"</?[a-zA-Z!][^<>]{0,300}>")
 _WORD = regex.compile(r"[^\W_]+")
@@ -197,7 +197,7 @@ def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
                     item_id, item = r.item_id, plain_words(r.item_text).split()
                     number: dict[str, int] = {}
                     a = np.array([number.setdefault(w, len(number)) for w in item])
-                at, of = np.asarray(r.at) - 1, np.asarray(r.of) - 1
+                at, of = np.asarray(r.at), np.asarray(r.of)
                 if not _promising(item, doc, at, of):
                     continue
                 b = np.array([number.get(w, -1) for w in doc])

@@ -108,12 +108,20 @@ NEAR = _near_keys()
 def typing_distance(a: str, b: str, most: int = 2) -> int:
     """Typing errors between two words: a letter left out, put in, swapped with the next, or taken from a near key; most + 1 for more.
 
-    Any other change of a letter isn't a slip of one key and counts as three.
+    Words that differ in nothing but one letter from a far key, or in two letters that
+    aren't swapped, aren't typing errors of each other: short words would meet by chance.
     """
     if a == b:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
+    if len(a) == len(b):
+        off = [i for i in range(len(a)) if a[i] != b[i]]
+        if len(off) == 1:
+            return 1 if (a[off[0]], b[off[0]]) in NEAR else most + 1
+        if len(off) == 2:
+            i, j = off
+            return 1 if j == i + 1 and a[i] == b[j] and a[j] == b[i] else most + 1
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         older, before, row = before, row, [i]

@@ -121,7 +121,8 @@ def surviving_rows(company: DataFrame, sources: DataFrame) -> DataFrame:
 
 # --- Bayesian fusion ---------------------------------------------------------------
 
-ROUNDS = 4
+ROUNDS = 5
+FIRST_ACCURACY = 0.8
 FALSE_VALUES = 20.0  # how many false values an item may have
 COPY_RATE = 0.8  # the share of its values that a copier copies
 COPY_PRIOR = 0.1
@@ -173,6 +174,19 @@ def _dependence(same_true: np.ndarray, same_false: np.ndarray, differ: np.ndarra
     return out
 
 
+def _blind_dependence(agree: np.ndarray, differ: np.ndarray, accuracy: float) -> np.ndarray:
+    """The same before anything is known to be true: from how often two sources agree, against what their accuracy explains.
+
+    Without it, a lie that copies have made the majority would make honest sources look
+    like copies of each other.
+    """
+    alone = accuracy**2 + (1 - accuracy) ** 2 / FALSE_VALUES
+    ratio = agree * np.log(COPY_RATE / alone + 1 - COPY_RATE) + differ * np.log(1 - COPY_RATE)
+    out = 1 / (1 + (1 - COPY_PRIOR) / COPY_PRIOR * np.exp(-np.clip(ratio, -500, 500)))
+    np.fill_diagonal(out, 0)
+    return out
+
+
 class Fusion:
     """The fitted model and the values: ``values`` has (id, field_no, value, mask).
 
@@ -182,7 +196,7 @@ class Fusion:
 
     def __init__(self, fields: list[str], sources: list[str], values: DataFrame):
         self.fields, self.sources, self.values = fields, sources, values
-        self.accuracy = np.full((len(fields), len(sources)), 0.8)
+        self.accuracy = np.full((len(fields), len(sources)), FIRST_ACCURACY)
         self.copied = np.zeros((len(fields), len(sources), len(sources)))
 
     def posteriors(self) -> DataFrame:
@@ -246,12 +260,15 @@ def fuse(made: DataFrame, rounds: int = ROUNDS) -> Fusion:
     model = Fusion(fields, sources, values)
     items = values.groupBy("id", "field_no").agg(F.bit_or("mask").alias("mask"))
     together = _pair_counts(items.groupBy("field_no", "mask").agg(F.count(F.lit(1)).cast("double").alias("w")), len(fields), n, "w")[0]
-    for _ in range(rounds if n else 0):
+    for k in range(rounds if n else 0):
         by_mask = model.posteriors().groupBy("field_no", "mask").agg(F.sum("posterior").alias("true"), F.count(F.lit(1)).cast("double").alias("all"))
         true, every = _pair_counts(by_mask, len(fields), n, "true", "all")
         for f in range(len(fields)):
-            model.accuracy[f] = (np.diag(true[f]) + 0.8) / (np.diag(every[f]) + 1)
             differ = np.clip(together[f] - every[f], 0, None)
+            if not k:  # copies must be discounted before they can make their source look right
+                model.copied[f] = _blind_dependence(every[f], differ, FIRST_ACCURACY)
+                continue
+            model.accuracy[f] = (np.diag(true[f]) + FIRST_ACCURACY) / (np.diag(every[f]) + 1)
             model.copied[f] = _dependence(true[f], every[f] - true[f], differ, model.accuracy[f])
     return model
 
