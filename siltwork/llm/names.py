@@ -115,6 +115,8 @@ def typing_distance(a: str, b: str, most: int = 2) -> int:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
+    if ("rn" in a or "rn" in b) and a.replace("rn", "m") == b.replace("rn", "m"):  # looks alike
+        return 1
     if len(a) == len(b):
         off = [i for i in range(len(a)) if a[i] != b[i]]
         if len(off) == 1:
@@ -144,14 +146,14 @@ def fold(text: str) -> str:
 
 
 def tokens(name: str) -> list[str]:
-    """The name's tokens, folded; look-alike digits within words become letters, and ae, oe, ue and rn one spelling."""
+    """The name's tokens, folded; look-alike digits within words become letters, and ae, oe, ue the plain vowels."""
     text = _DOTTED.sub(lambda m: (j + " " if (j := regex.sub(r"[.\s]", "", m.group())) in LEGAL else m.group()), fold(name))
     out = []
     for t in _TOKEN.findall(text):
         if not t.isdigit():
             if any(ch.isdigit() for ch in t):
                 t = t.translate(_LOOK)
-            t = t.replace("ae", "a").replace("oe", "o").replace("ue", "u").replace("rn", "m")
+            t = t.replace("ae", "a").replace("oe", "o").replace("ue", "u")
         out.append(t)
     return out
 
@@ -238,7 +240,10 @@ class Canon:
         return (t,)
 
     def form(self, name: str) -> Canonical | None:
-        parts = [p for t in tokens(name) for p in self.word(t)]
+        return self.form_of(tokens(name))
+
+    def form_of(self, words: list[str]) -> Canonical | None:
+        parts = [p for t in words for p in self.word(t)]
         common = [p[1:] for p in parts if p.startswith("=")]
         letters = [p for p in parts if len(p) == 1]
         rare = tuple(sorted(p for p in parts if not p.startswith("=") and len(p) > 1))
@@ -307,28 +312,27 @@ FORM = "block string, given string, letters string, middle string, rare string"
 
 
 def usable_names(*tables: DataFrame) -> DataFrame:
-    """Distinct (id, name) of the names that are no stand-ins and not cut short."""
+    """(id, tokens) of the distinct names that are no stand-ins and not cut short; tokens are joined by blanks."""
     rows = tables[0].select("id", "name")
     for t in tables[1:]:
         rows = rows.unionByName(t.select("id", "name"))
-    lines = name_lines(rows.where("id <> ''"), [F.count(F.lit(1)).alias("n")])
-    return lines.where("NOT stand_in AND NOT cut_short").select("id", "name")
+    lines = name_lines(rows.where("id <> ''"), [F.count(F.lit(1)).alias("n")]).where("NOT stand_in AND NOT cut_short")
 
+    def split(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "tokens": [" ".join(tokens(n)) for n in pdf["name"]]})
 
-def common_words(names: DataFrame) -> tuple[dict[str, int], int]:
-    """Words in at least COMMON_SHARE of the (id, name) lines, with their counts, and the number of lines.
+    return lines.select("id", "name").mapInPandas(split, "id string, tokens string")
 
-    There are at most (words in a name) / COMMON_SHARE of them, whatever the data.
-    """
 
-    def split(batches):
-        for pdf in batches:
-            found = [w for n in pdf["name"] for w in dict.fromkeys(tokens(n))]
-            yield pd.DataFrame({"w": found}, dtype=object)
+def common_words(names: DataFrame) -> dict[str, int]:
+    """Words in at least COMMON_SHARE of the names, with their counts.
 
-    total = names.count()
-    counts = names.select("name").mapInPandas(split, "w string").groupBy("w").count()
-    return {r[0]: r[1] for r in counts.where(F.col("count") >= max(COMMON_LEAST, COMMON_SHARE * total)).collect()}, total
+    There are at most (words in a name) / COMMON_SHARE of them, whatever the data.
+    """
+    words = names.select(F.explode(F.array_distinct(F.split("tokens", " "))).alias("w"))
+    counts = words.groupBy("w").count()
+    return {r[0]: r[1] for r in counts.where(F.col("count") >= max(COMMON_LEAST, COMMON_SHARE * names.count())).collect()}
 
 
 def forms_of(names: DataFrame, common: dict[str, int]) -> DataFrame:
@@ -338,7 +342,9 @@ def forms_of(names: DataFrame, common: dict[str, int]) -> DataFrame:
         made = Canon(common)
         for pdf in batches:
             rows = [
-                (i, f.block, f.given, "".join(f.letters), f.middle, " ".join(f.rare)) for i, n in zip(pdf["id"], pdf["name"]) if (f := made.form(n))
+                (i, f.block, f.given, "".join(f.letters), f.middle, " ".join(f.rare))
+                for i, n in zip(pdf["id"], pdf["tokens"])
+                if (f := made.form_of(n.split()))
             ]
             yield pd.DataFrame(rows, columns=["id", *(c.split()[0] for c in FORM.split(", "))])
 
@@ -393,7 +399,8 @@ def similar_nodes(nodes: DataFrame) -> DataFrame:
     given_ok = (F.col("a_given") == F.col("b_given")) | (F.col("a_given") == "") | (F.col("b_given") == "")
     middle_ok = (F.col("a_middle") == F.col("b_middle")) | (F.col("a_middle") == "") | (F.col("b_middle") == "")
     length_ok = F.abs(F.length("a_rare") - F.length("b_rare")) <= EDITS
-    near = (F.levenshtein("a_rare", "b_rare", EDITS) >= 0) | (F.levenshtein("a_rare", swapped("b_rare"), EDITS) >= 0)
+    several = (F.instr("a_rare", " ") > 0) & (F.instr("b_rare", " ") > 0)
+    near = (F.levenshtein("a_rare", "b_rare", EDITS) >= 0) | (several & (F.levenshtein("a_rare", swapped("b_rare"), EDITS) >= 0))
     close = (
         side("a")
         .join(side("b"), "key")
@@ -402,9 +409,9 @@ def similar_nodes(nodes: DataFrame) -> DataFrame:
         .dropDuplicates(["a_node", "b_node"])
     )
     # a single token's weight falls out of the similarity; only names of several need the words' frequencies
-    several = nodes.where("rare LIKE '% %'").select("node", F.posexplode(F.split("rare", " ")).alias("k", "w"))
+    parts = nodes.where("rare LIKE '% %'").select("node", F.posexplode(F.split("rare", " ")).alias("k", "w"))
     every = nodes.select(F.explode(F.split("rare", " ")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    weights = several.join(every, "w").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("k", "df"))).alias("s"))
+    weights = parts.join(every, "w").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("k", "df"))).alias("s"))
     weight = lambda s: weights.select(F.col("node").alias(f"{s}_node"), F.col("s.df").alias(f"{s}_df"))
     total = nodes.count()
 
@@ -435,8 +442,7 @@ def accepted(pairs: DataFrame) -> DataFrame:
 def groups(*tables: DataFrame) -> DataFrame:
     """(id, group_id) of every id with a usable name; group_id is the smallest id of the group."""
     names = cut(usable_names(*tables))
-    common, _ = common_words(names)
-    forms = cut(forms_of(names, common))
+    forms = cut(forms_of(names, common_words(names)))
     release(names)
     # a given name says more than an initial: an id that has one doesn't speak through its initials
     full = forms.where("given <> ''").select("id").distinct()
