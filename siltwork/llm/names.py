@@ -24,7 +24,6 @@ from __future__ import annotations
 import html
 import math
 import unicodedata
-from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -92,6 +91,7 @@ _LOOK = str.maketrans({"0": "o", "1": "l", "5": "s", "3": "e", "8": "b"})
 _FOLD = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "ð": "d", "þ": "th"})
 _TOKEN = regex.compile(r"[^\W_]+")
 _DOTTED = regex.compile(r"\b(?:[a-z]\.\s?){2,}")
+_POINTS = regex.compile(r"[.\s]")
 _CAMEL = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})")
 _HIDDEN = regex.compile(r"[\p{M}\p{Cf}]+")
 
@@ -140,20 +140,28 @@ def typing_distance(a: str, b: str, most: int = 2) -> int:
 
 def fold(text: str) -> str:
     text = html.unescape(html.unescape(text)) if "&" in text else text
-    text = _HIDDEN.sub("", unicodedata.normalize("NFC", text))
-    text = _TOKEN.sub(lambda m: m.group() if m.group().casefold() in LEGAL else _CAMEL.sub(" ", m.group()), text)
+    plain = text.isascii()
+    if not plain:
+        text = _HIDDEN.sub("", unicodedata.normalize("NFC", text))
+    if _CAMEL.search(text):
+        text = _TOKEN.sub(lambda m: m.group() if m.group().casefold() in LEGAL else _CAMEL.sub(" ", m.group()), text)
+    if plain:
+        return text.lower()
     return _HIDDEN.sub("", unicodedata.normalize("NFKD", text.casefold().translate(_FOLD)))
 
 
 def tokens(name: str) -> list[str]:
     """The name's tokens, folded; look-alike digits within words become letters, and ae, oe, ue the plain vowels."""
-    text = _DOTTED.sub(lambda m: (j + " " if (j := regex.sub(r"[.\s]", "", m.group())) in LEGAL else m.group()), fold(name))
+    text = fold(name)
+    if "." in text:
+        text = _DOTTED.sub(lambda m: (j + " " if (j := _POINTS.sub("", m.group())) in LEGAL else m.group()), text)
     out = []
     for t in _TOKEN.findall(text):
         if not t.isdigit():
-            if any(ch.isdigit() for ch in t):
+            if not t.isalpha():
                 t = t.translate(_LOOK)
-            t = t.replace("ae", "a").replace("oe", "o").replace("ue", "u")
+            if "e" in t:
+                t = t.replace("ae", "a").replace("oe", "o").replace("ue", "u")
         out.append(t)
     return out
 
@@ -358,12 +366,9 @@ def gram_ranks(nodes: DataFrame) -> dict[str, int]:
     ranked come first, as they are rarer, in the order of their text.
     """
 
-    def count(batches):
-        for pdf in batches:
-            found = Counter(g for r in pdf["rare"] for g in grams(r.split()))
-            yield pd.DataFrame(list(found.items()), columns=["gram", "n"])
-
-    counts = nodes.select("rare").mapInPandas(count, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    of = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substr(F.concat(F.lit("^"), t, F.lit("$")), i, F.lit(Q)))
+    every = F.array_distinct(F.flatten(F.transform(F.split("rare", " "), of)))
+    counts = nodes.where("rare <> ''").select(F.explode(every).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     return {r[0]: k for k, r in enumerate(counts.orderBy(F.desc("n"), "gram").limit(RANKED_GRAMS).collect())}
 
 
@@ -398,7 +403,7 @@ def similar_nodes(nodes: DataFrame) -> DataFrame:
     side = lambda s: keyed.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "given", "middle", "rare")])
     given_ok = (F.col("a_given") == F.col("b_given")) | (F.col("a_given") == "") | (F.col("b_given") == "")
     middle_ok = (F.col("a_middle") == F.col("b_middle")) | (F.col("a_middle") == "") | (F.col("b_middle") == "")
-    length_ok = F.abs(F.length("a_rare") - F.length("b_rare")) <= EDITS
+    length_ok = F.abs(F.length("a_rare") - F.length("b_rare")) <= F.when(F.instr("a_rare", " ") > 0, EDITS).otherwise(2)
     several = (F.instr("a_rare", " ") > 0) & (F.instr("b_rare", " ") > 0)
     near = (F.levenshtein("a_rare", "b_rare", EDITS) >= 0) | (several & (F.levenshtein("a_rare", swapped("b_rare"), EDITS) >= 0))
     close = (
