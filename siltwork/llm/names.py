@@ -26,6 +26,7 @@ import math
 import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
+from zlib import crc32
 
 import pandas as pd
 import regex
@@ -39,6 +40,7 @@ from siltwork.session import cut, release
 Q = 3
 JACCARD = 0.4
 EDITS = 4
+LEAST_OVERLAP = 0.15  # shared grams, of both names' grams together
 RANKED_GRAMS = 100_000
 MIN_SIMILARITY = 0.8
 COMMON_SHARE = 0.0004
@@ -290,9 +292,18 @@ def _is_near(t: str, words: frozenset[str]) -> bool:
     return any(abs(len(t) - len(w)) <= 1 and (_letters(w) ^ mine).bit_count() <= 2 and typing_distance(t, w, 1) <= 1 for w in words)
 
 
-def grams(rare: tuple[str, ...] | list[str]) -> list[str]:
+def grams(rare: tuple[str, ...] | list[str]) -> set[str]:
     """The distinct q-grams of the tokens, each padded at both ends."""
-    return sorted({p[i : i + Q] for t in rare for p in [f"^{t}$"] for i in range(max(1, len(p) - Q + 1))})
+    return {p[i : i + Q] for t in rare for p in (f"^{t}$",) for i in range(len(p) - Q + 1)}
+
+
+def sketch(found: set[str], ranks: dict[str, int]) -> int:
+    """Grams as bits of a signed 64-bit number: by rank, or by a hash if they have none."""
+    out = 0
+    for g in found:
+        k = ranks.get(g)
+        out |= 1 << ((crc32(g.encode()) if k is None else k) & 63)
+    return out - (1 << 64) if out >> 63 else out
 
 
 def similarity(a: list[str], b: list[str], wa: list[float], wb: list[float]) -> float:
@@ -372,9 +383,11 @@ def gram_ranks(nodes: DataFrame) -> dict[str, int]:
     return {r[0]: k for k, r in enumerate(counts.orderBy(F.desc("n"), "gram").limit(RANKED_GRAMS).collect())}
 
 
-def prefix_of(rare: str, ranks: dict[str, int]) -> list[str]:
+def prefix_of(found: set[str], ranks: dict[str, int]) -> list[str]:
     """The rarest grams of a node: as many as it takes to share one with every node that is similar enough."""
-    found = sorted(grams(rare.split()), key=lambda g: (-ranks.get(g, len(ranks)), g))
+    ranked = [g for g in found if g in ranks]
+    ranked.sort(key=ranks.__getitem__, reverse=True)
+    found = ranked if len(ranked) == len(found) else sorted(found.difference(ranked)) + ranked
     return found[: len(found) - math.ceil(len(found) * JACCARD) + 1]
 
 
@@ -391,25 +404,31 @@ def similar_nodes(nodes: DataFrame) -> DataFrame:
     """
     ranks = gram_ranks(nodes)
 
-    @F.pandas_udf("array<string>")
-    def prefix(rare: pd.Series) -> pd.Series:
-        return rare.map(lambda r: prefix_of(r, ranks))
+    @F.pandas_udf("prefix array<string>, bits bigint, n int")
+    def keys_of(rare: pd.Series) -> pd.DataFrame:
+        sets = [grams(r.split()) for r in rare]
+        return pd.DataFrame({"prefix": [prefix_of(x, ranks) for x in sets], "bits": [sketch(x, ranks) for x in sets], "n": [len(x) for x in sets]})
 
     letter = F.explode(F.when(F.col("letters") == "", F.array(F.lit(""))).otherwise(F.split("letters", "")))
-    person = nodes.where("rare <> ''").select("node", "block", "given", "middle", "rare", letter.alias("letter"), prefix("rare").alias("prefix"))
-    keyed = person.select("node", "block", "given", "middle", "rare", "letter", F.explode("prefix").alias("gram")).select(
-        F.xxhash64("block", "letter", "gram").alias("key"), "node", "given", "middle", "rare"
+    person = nodes.where("rare <> ''").select("node", "block", "given", "middle", "rare", letter.alias("letter"), keys_of("rare").alias("k"))
+    keyed = person.select("node", "block", "given", "middle", "rare", "letter", "k.bits", "k.n", F.explode("k.prefix").alias("gram")).select(
+        F.xxhash64("block", "letter", "gram").alias("key"), "node", "given", "middle", "rare", "bits", "n"
     )
-    side = lambda s: keyed.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "given", "middle", "rare")])
+    side = lambda s: keyed.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "given", "middle", "rare", "bits", "n")])
+    # grams that fall on one bit hide each other: that many may be shared beyond the shared bits
+    hidden = F.least(F.col("a_n") - F.bit_count("a_bits"), F.col("b_n") - F.bit_count("b_bits"))
+    shared, both_n = F.bit_count(F.col("a_bits").bitwiseAND(F.col("b_bits"))) + hidden, F.col("a_n") + F.col("b_n")
+    overlap_ok = shared >= both_n * LEAST_OVERLAP
     given_ok = (F.col("a_given") == F.col("b_given")) | (F.col("a_given") == "") | (F.col("b_given") == "")
     middle_ok = (F.col("a_middle") == F.col("b_middle")) | (F.col("a_middle") == "") | (F.col("b_middle") == "")
     length_ok = F.abs(F.length("a_rare") - F.length("b_rare")) <= F.when(F.instr("a_rare", " ") > 0, EDITS).otherwise(2)
-    several = (F.instr("a_rare", " ") > 0) & (F.instr("b_rare", " ") > 0)
+    # grams don't mind the order of tokens, so names that are the same but for it share many
+    several = (shared >= both_n * (JACCARD / (1 + JACCARD))) & (F.instr("a_rare", " ") > 0) & (F.instr("b_rare", " ") > 0)
     near = (F.levenshtein("a_rare", "b_rare", EDITS) >= 0) | (several & (F.levenshtein("a_rare", swapped("b_rare"), EDITS) >= 0))
     close = (
         side("a")
         .join(side("b"), "key")
-        .where((F.col("a_node") < F.col("b_node")) & length_ok & given_ok & middle_ok & near)
+        .where((F.col("a_node") < F.col("b_node")) & length_ok & given_ok & middle_ok & overlap_ok & near)
         .select(*[F.col(f"{s}_{c}") for s in "ab" for c in ("node", "given", "rare")])
         .dropDuplicates(["a_node", "b_node"])
     )

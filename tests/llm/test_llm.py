@@ -325,7 +325,7 @@ def test_similar_nodes_equal_brute_force(spark):
     made = sorted(set(made))
     nodes = spark.createDataFrame([(i, "x", "", "", "", w) for i, w in enumerate(made)], "node long, block string, given string, letters string, middle string, rare string")
     got = {(r.a, r.b) for r in names.similar_nodes(nodes).collect()}
-    gram = [set(names.grams([w])) for w in made]
+    gram = [names.grams([w]) for w in made]
     jac = lambda i, j: len(gram[i] & gram[j]) / len(gram[i] | gram[j])
     all_ = {(i, j) for i in range(len(made)) for j in range(i + 1, len(made)) if names.similarity([made[i]], [made[j]], [1.0], [1.0]) >= names.MIN_SIMILARITY}
     assert got <= all_ and {p for p in all_ if jac(*p) >= names.JACCARD} <= got
