@@ -15,7 +15,7 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return names.pairs_of(cut(p2_groups(spark, d)))
+    return names.pairs_of(names.linked(table(spark, d, "company"), table(spark, d, "company_main")))
 
 
 def _seen(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

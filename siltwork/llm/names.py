@@ -430,7 +430,7 @@ def similar_nodes(nodes: DataFrame) -> DataFrame:
         .join(side("b"), "key")
         .where((F.col("a_node") < F.col("b_node")) & length_ok & given_ok & middle_ok & overlap_ok & near)
         .select(*[F.col(f"{s}_{c}") for s in "ab" for c in ("node", "given", "rare")])
-        .dropDuplicates(["a_node", "b_node"])
+        .dropDuplicates(["a_node", "b_node"])  # not distinct(): filters on rare would pass it, and the join be done twice
     )
     # a single token's weight falls out of the similarity; only names of several need the words' frequencies
     parts = nodes.where("rare LIKE '% %'").select("node", F.posexplode(F.split("rare", " ")).alias("k", "w"))
@@ -463,16 +463,17 @@ def accepted(pairs: DataFrame) -> DataFrame:
     return strong.unionByName(weak.join(one, "short", "left_semi").select(F.col("short").alias("a"), F.col("full").alias("b")))
 
 
-def groups(*tables: DataFrame) -> DataFrame:
-    """(id, group_id) of every id with a usable name; group_id is the smallest id of the group."""
+def _linked(*tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spoken, found): (id, node) of all ids with a usable name, and (vertex, component) of those that are linked."""
     names = cut(usable_names(*tables))
     forms = cut(forms_of(names, common_words(names)))
     release(names)
     # a given name says more than an initial: an id that has one doesn't speak through its initials
+    short = (F.col("given") == "") & (F.col("letters") != "")
     full = forms.where("given <> ''").select("id").distinct()
-    hushed = forms.where("given = '' AND letters <> ''").select("id", "node").join(full, "id", "left_semi")
-    spoken = cut(forms.select("id", "node").distinct().join(hushed, ["id", "node"], "left_anti"))
-    nodes = cut(forms.drop("id").dropDuplicates(["node"]))
+    alone = forms.where(short).select("id", "node").join(full, "id", "left_anti")
+    spoken = cut(forms.where(~short).select("id", "node").unionByName(alone))
+    nodes = cut(forms.drop("id").distinct())
     release(forms)
     pairs = accepted(cut(similar_nodes(nodes)))
     leader = cut(spoken.groupBy("node").agg(F.min("id").alias("leader")))
@@ -480,12 +481,22 @@ def groups(*tables: DataFrame) -> DataFrame:
     first = leader.select(F.col("node").alias("a"), F.col("leader").alias("u"))
     second = leader.select(F.col("node").alias("b"), F.col("leader").alias("v"))
     near = pairs.join(first, "a").join(second, "b").where("u <> v").select("u", "v")
-    found = components(same.unionByName(near))
+    return spoken, components(same.unionByName(near))
+
+
+def groups(*tables: DataFrame) -> DataFrame:
+    """(id, group_id) of every id with a usable name; group_id is the smallest id of the group."""
+    spoken, found = _linked(*tables)
     return spoken.select("id").distinct().join(found, F.col("id") == F.col("vertex"), "left").select(
         "id", F.coalesce("component", "id").alias("group_id")
     )
 
 
+def linked(*tables: DataFrame) -> DataFrame:
+    """groups without the ids that are alone in theirs."""
+    return _linked(*tables)[1].select(F.col("vertex").alias("id"), F.col("component").alias("group_id"))
+
+
 def pairs_of(grouped: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of all ids in a group: the form that TESTDATA.md asks for."""
     a = grouped.select("group_id", F.col("id").alias("id_a"))
