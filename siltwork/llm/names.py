@@ -297,12 +297,16 @@ def grams(rare: tuple[str, ...] | list[str]) -> set[str]:
     return {p[i : i + Q] for t in rare for p in (f"^{t}$",) for i in range(len(p) - Q + 1)}
 
 
-def sketch(found: set[str], ranks: dict[str, int]) -> int:
-    """Grams as bits of a signed 64-bit number: by rank, or by a hash if they have none."""
+def numbered(found: set[str], ranks: dict[str, int]) -> list[int]:
+    """Grams as numbers, the rarest first: by rank, and before them, by a hash beyond all ranks, those that have none."""
+    return sorted({ranks[g] if g in ranks else crc32(g.encode()) | 1 << 32 for g in found}, reverse=True)
+
+
+def sketch(numbers: list[int]) -> int:
+    """Numbered grams as bits of a signed 64-bit number."""
     out = 0
-    for g in found:
-        k = ranks.get(g)
-        out |= 1 << ((crc32(g.encode()) if k is None else k) & 63)
+    for k in numbers:
+        out |= 1 << (k & 63)
     return out - (1 << 64) if out >> 63 else out
 
 
@@ -311,8 +315,14 @@ def similarity(a: list[str], b: list[str], wa: list[float], wb: list[float]) ->
 
     Tokens are matched one to one by typing distance; each pair weighs as its rarer token.
     """
+    if a == b:
+        return 1.0
     if len(a) != len(b) or len(wa) != len(a) or len(wb) != len(b):
         return 1.0 if "".join(a) == "".join(b) else 0.0
+    if len(a) == 1:
+        most = 2 if min(len(a[0]), len(b[0])) >= 7 else 1
+        d = typing_distance(a[0], b[0], most)
+        return 1 - d / max(len(a[0]), len(b[0])) if d <= most else 0.0
     left, right, got, all_ = list(a), list(b), 0.0, 0.0
     pairs = sorted((typing_distance(x, y, 2 if min(len(x), len(y)) >= 7 else 1), i, j) for i, x in enumerate(a) for j, y in enumerate(b))
     for d, i, j in pairs:
@@ -377,18 +387,16 @@ def gram_ranks(nodes: DataFrame) -> dict[str, int]:
     ranked come first, as they are rarer, in the order of their text.
     """
 
-    of = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substr(F.concat(F.lit("^"), t, F.lit("$")), i, F.lit(Q)))
-    every = F.array_distinct(F.flatten(F.transform(F.split("rare", " "), of)))
-    counts = nodes.where("rare <> ''").select(F.explode(every).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    padded = F.concat(F.lit("^"), "t", F.lit("$"))
+    found = F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.substr(padded, i, F.lit(Q)))
+    tokens_ = nodes.where("rare <> ''").select(F.explode(F.split("rare", " ")).alias("t"))
+    counts = tokens_.select(F.explode(found).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     return {r[0]: k for k, r in enumerate(counts.orderBy(F.desc("n"), "gram").limit(RANKED_GRAMS).collect())}
 
 
-def prefix_of(found: set[str], ranks: dict[str, int]) -> list[str]:
-    """The rarest grams of a node: as many as it takes to share one with every node that is similar enough."""
-    ranked = [g for g in found if g in ranks]
-    ranked.sort(key=ranks.__getitem__, reverse=True)
-    found = ranked if len(ranked) == len(found) else sorted(found.difference(ranked)) + ranked
-    return found[: len(found) - math.ceil(len(found) * JACCARD) + 1]
+def prefix_of(numbers: list[int]) -> list[int]:
+    """The first grams of a node: as many as it takes to share one with every node that is similar enough."""
+    return numbers[: len(numbers) - math.ceil(len(numbers) * JACCARD) + 1]
 
 
 def swapped(text: str) -> Column:
@@ -404,10 +412,10 @@ def similar_nodes(nodes: DataFrame) -> DataFrame:
     """
     ranks = gram_ranks(nodes)
 
-    @F.pandas_udf("prefix array<string>, bits bigint, n int")
+    @F.pandas_udf("prefix array<bigint>, bits bigint, n int")
     def keys_of(rare: pd.Series) -> pd.DataFrame:
-        sets = [grams(r.split()) for r in rare]
-        return pd.DataFrame({"prefix": [prefix_of(x, ranks) for x in sets], "bits": [sketch(x, ranks) for x in sets], "n": [len(x) for x in sets]})
+        all_ = [numbered(grams(r.split()), ranks) for r in rare]
+        return pd.DataFrame({"prefix": [prefix_of(x) for x in all_], "bits": [sketch(x) for x in all_], "n": [len(x) for x in all_]})
 
     letter = F.explode(F.when(F.col("letters") == "", F.array(F.lit(""))).otherwise(F.split("letters", "")))
     person = nodes.where("rare <> ''").select("node", "block", "given", "middle", "rare", letter.alias("letter"), keys_of("rare").alias("k"))
