@@ -140,7 +140,7 @@ def typing_distance(a: str, b: str, most: int = 2) -> int:
     return min(row[-1], most + 1)
 
 
-def fold(text: str) -> str:
+def plain_text(text: str) -> str:
     text = html.unescape(html.unescape(text)) if "&" in text else text
     plain = text.isascii()
     if not plain:
@@ -153,8 +153,8 @@ def fold(text: str) -> str:
 
 
 def tokens(name: str) -> list[str]:
-    """The name's tokens, folded; look-alike digits within words become letters, and ae, oe, ue the plain vowels."""
-    text = fold(name)
+    """The name's tokens in plain letters; look-alike digits within words become letters."""
+    text = plain_text(name)
     if "." in text:
         text = _DOTTED.sub(lambda m: (j + " " if (j := _POINTS.sub("", m.group())) in LEGAL else m.group()), text)
     out = []
@@ -162,8 +162,6 @@ def tokens(name: str) -> list[str]:
         if not t.isdigit():
             if not t.isalpha():
                 t = t.translate(_LOOK)
-            if "e" in t:
-                t = t.replace("ae", "a").replace("oe", "o").replace("ue", "u")
         out.append(t)
     return out
 
