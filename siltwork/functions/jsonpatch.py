@@ -129,8 +129,8 @@ def load_composed(text: str):
     return back(loads(text))
 
 
-def fold_stretches(parts: list[tuple[str, str]]) -> str:
-    """The fold of all patches, from stretches of them in order, each (applied, composed)."""
+def reduce_stretches(parts: list[tuple[str, str]]) -> str:
+    """All patches brought to one, from stretches of them in order, each (applied, composed)."""
     if len(parts) == 1:
         return parts[0][0]
     value = loads(parts[0][0])
@@ -140,7 +140,7 @@ def fold_stretches(parts: list[tuple[str, str]]) -> str:
     return dumps(value)
 
 
-def fold(patches: list[str], strict: bool = False) -> str | None:
+def reduce_patches(patches: list[str], strict: bool = False) -> str | None:
     """Patches applied one to the other in their order. A single one is returned as it stands."""
     if not patches:
         return None
@@ -169,27 +169,27 @@ def to_json(value) -> str:
     return json.dumps(value, separators=(",", ":"), sort_keys=True, ensure_ascii=False)
 
 
-def fold_column(patches: str | Column, strict: bool = False) -> Column:
-    """fold over an array column, in the array's order."""
+def reduce_column(patches: str | Column, strict: bool = False) -> Column:
+    """reduce_patches over an array column, in the array's order."""
 
     @F.pandas_udf("string")
     def run(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda x: None if x is None or len(x) == 0 else fold(list(x), strict))
+        return lists.map(lambda x: None if x is None or len(x) == 0 else reduce_patches(list(x), strict))
 
     return run(patches)
 
 
 def apply_column(target: str | Column, patches: str | Column, strict: bool = False) -> Column:
-    """The patches folded among themselves, and then applied to the target.
+    """The patches brought to one among themselves, and then applied to the target.
 
-    Folding first is what batches mean: a key set and deleted within one batch leaves the
+    Doing so first is what batches mean: a key set and deleted within one batch leaves the
     target's key alone.
     """
 
     @F.pandas_udf("string")
     def run(targets: pd.Series, lists: pd.Series) -> pd.Series:
         return pd.Series(
-            [apply(t, None if p is None or len(p) == 0 else fold(list(p), strict), strict) for t, p in zip(targets, lists)], dtype=object
+            [apply(t, None if p is None or len(p) == 0 else reduce_patches(list(p), strict), strict) for t, p in zip(targets, lists)], dtype=object
         )
 
     return run(target, patches)

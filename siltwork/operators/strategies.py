@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siltwork.functions.jsonpatch import apply_column, fold_column
+from siltwork.functions.jsonpatch import apply_column, reduce_column
 from siltwork.schema import Field
 
 
@@ -52,7 +52,7 @@ def holds_patches(field: Field) -> bool:
 
 def only_incoming(field: Field, s: Column) -> Column:
     """The output where there are no existing rows: the aggregate as it stands."""
-    return fold_column(s) if holds_patches(field) else s
+    return reduce_column(s) if holds_patches(field) else s
 
 
 def combine(field: Field, s: Column, t: Column) -> Column:

@@ -11,7 +11,7 @@ are. Columns that neither side has come out null. An empty side is no error.
 
 Where a few keys hold most incoming rows, ``skew`` keeps lists and patches from gathering
 in one task: max, min, sum and lists are aggregated in two stages with a salt, and patches
-in the order of their text by range, see ``fold_ranges``. Aggregates given as SQL can't be
+in the order of their text by range, see ``reduce_ranges``. Aggregates given as SQL can't be
 split and stay in one stage.
 """
 
@@ -80,15 +80,15 @@ def _in_two_stages(schema: TableSchema, rows: DataFrame, scope: Sequence[str], f
         if f.agg_expr:
             part = rows.groupBy(*keys).agg(aggregate(f).alias(f.column))
         elif holds_patches(f):
-            part = fold_ranges(rows, names, f.column)
+            part = reduce_ranges(rows, names, f.column)
         else:
             continue
         out = out.join(part, names, "left")
     return out.select(*keys, *[F.col(quoted(f.column)) for f in fields])
 
 
-def fold_ranges(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """(keys, column: array of one patch), the fold of all patches of a key in the order of their text.
+def reduce_ranges(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, column: array of one patch), all patches of a key in the order of their text.
 
     Patches are sorted over the cluster by key and text. Each partition brings a key's
     stretch to one change as it streams by, so a key has at most one line a partition in
@@ -130,10 +130,10 @@ def fold_ranges(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def join(applied: pd.Series, composed: pd.Series) -> pd.Series:
-        return pd.Series([jsonpatch.fold_stretches(list(zip(a, c))) for a, c in zip(applied, composed)], dtype=object)
+        return pd.Series([jsonpatch.reduce_stretches(list(zip(a, c))) for a, c in zip(applied, composed)], dtype=object)
 
-    folded = F.array(join(F.col("s.__silt_applied"), F.col("s.__silt_composed")))
-    return parts.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], folded.alias(column))
+    one = F.array(join(F.col("s.__silt_applied"), F.col("s.__silt_composed")))
+    return parts.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], one.alias(column))
 
 
 def plan(

@@ -199,7 +199,7 @@ def agg_json_patches(spark: SparkSession, d: str) -> DataFrame:
 def agg_json_patches_skewed(spark: SparkSession, d: str) -> DataFrame:
     """The same by sorted ranges, for keys too large for one task."""
     rows = compact.preaggregate(_one("json_merge", dict), _patches(spark, d).drop("event_id"), skew=True)
-    return _members(rows.select("k", jsonpatch.fold_column("v").alias("v")))
+    return _members(rows.select("k", jsonpatch.reduce_column("v").alias("v")))
 
 
 @query("""SELECT source AS k, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE source <> '' GROUP BY 1""")

@@ -120,14 +120,14 @@ def test_ranged_patches_equal_sorted_ones(spark):
         p = {rng.choice("abcd"): rng.choice([None, 1, "x", {"q": rng.choice([None, 2])}]) for _ in range(rng.randint(0, 3))}
         made.append(dict(id=rng.choice(["hot", "hot", "hot", "cold"]), meta=json.dumps(p)))
     df = frame(spark, made)
-    got = by_id(compact.preaggregate(ROW, df, skew=True).select("id", jsonpatch.fold_column("meta").alias("meta")))
-    want = by_id(compact.preaggregate(ROW, df, skew=False).select("id", jsonpatch.fold_column("meta").alias("meta")))
+    got = by_id(compact.preaggregate(ROW, df, skew=True).select("id", jsonpatch.reduce_column("meta").alias("meta")))
+    want = by_id(compact.preaggregate(ROW, df, skew=False).select("id", jsonpatch.reduce_column("meta").alias("meta")))
     assert {k: json.loads(v["meta"]) for k, v in got.items()} == {k: json.loads(v["meta"]) for k, v in want.items()}
     target = '{"a":{"q":5},"b":7,"z":1}'
     for k in got:
         patches = compact.preaggregate(ROW, df.where(F.col("id") == k), skew=True).first().meta
         plain = sorted(r["meta"] for r in made if r["id"] == k)
-        assert json.loads(jsonpatch.apply(target, jsonpatch.fold(list(patches)))) == json.loads(jsonpatch.apply(target, jsonpatch.fold(plain)))
+        assert json.loads(jsonpatch.apply(target, jsonpatch.reduce_patches(list(patches)))) == json.loads(jsonpatch.apply(target, jsonpatch.reduce_patches(plain)))
 
 
 def test_one_exchange_a_side(spark):

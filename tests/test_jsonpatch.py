@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from siltwork.functions.jsonpatch import apply, apply_composed, compose, dump_composed, fold, fold_stretches, load_composed, patch, to_json
+from siltwork.functions.jsonpatch import apply, apply_composed, compose, dump_composed, reduce_patches, reduce_stretches, load_composed, patch, to_json
 
 values = st.recursive(
     st.none() | st.booleans() | st.integers(-5, 5) | st.text("ab", max_size=2),
@@ -59,24 +59,24 @@ def test_any_cut_of_a_fold_gives_the_same(patches, cuts):
         for p in now[1:]:
             applied, composed = patch(applied, p), compose(composed, p)
         parts.append((json.dumps(applied), dump_composed(composed)))
-    assert json.loads(fold_stretches(parts)) == json.loads(fold([json.dumps(p) for p in patches]))
+    assert json.loads(reduce_stretches(parts)) == json.loads(reduce_patches([json.dumps(p) for p in patches]))
 
 
 def test_single_patch_stays_verbatim():
-    assert fold(['{ "k" : null }']) == '{ "k" : null }'
-    assert fold([]) is None
+    assert reduce_patches(['{ "k" : null }']) == '{ "k" : null }'
+    assert reduce_patches([]) is None
 
 
 def test_delete_within_a_batch_leaves_the_target():
-    assert json.loads(apply('{"k":"kept"}', fold(['{"k":"x"}', '{"k":null}']))) == {"k": "kept"}
-    assert json.loads(apply('{"k":"gone","l":1}', fold(['{"k":null}']))) == {"l": 1}
+    assert json.loads(apply('{"k":"kept"}', reduce_patches(['{"k":"x"}', '{"k":null}']))) == {"k": "kept"}
+    assert json.loads(apply('{"k":"gone","l":1}', reduce_patches(['{"k":null}']))) == {"l": 1}
 
 
 def test_nulls_and_errors():
     assert apply(None, None) is None and apply("1", None) == "1" and apply(None, "2") == "2"
     for bad in ("{", "NaN", ""):
         with pytest.raises(ValueError):
-            fold([bad, "{}"])
+            reduce_patches([bad, "{}"])
 
 
 def test_helper_sorts_keys():
