@@ -40,7 +40,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def _places(keys: np.ndarray, seed: int, segment: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The three slots of each key, one in each segment, and its fingerprint."""
-    h = _mix(keys + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
+    h = _mix(keys + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64))
     g = _mix(h ^ np.uint64(0xD6E8FEB86659FD93))
     low = np.uint64(0xFFFFFFFF)
     size = np.uint64(segment)
