@@ -7,8 +7,7 @@ seconds, and JSON comes out as single values.
 
 from __future__ import annotations
 
-import shutil
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +18,7 @@ from siltwork.ingest import normalise
 from siltwork.operators.strategies import aggregate
 from siltwork.plans import compact
 from siltwork.schema import PartitionRule, TableSchema, table_schema
-from siltwork.session import cut, shared_dir, table
+from siltwork.session import cut, remove, shared_dir, table
 from siltwork.sources import records
 from siltwork.sources.jsonl import jsonl_records
 
@@ -532,7 +531,7 @@ def regex_match(spark: SparkSession, d: str) -> DataFrame:
 
 def _engine(spark: SparkSession) -> Engine:
     """An engine over a fresh root in the folder that all executors share."""
-    return Engine(spark, tempfile.mkdtemp(prefix="root-", dir=shared_dir(spark).removeprefix("file://")))
+    return Engine(spark, f"{shared_dir(spark).removeprefix('file://')}/root-{uuid.uuid4().hex}")
 
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:
@@ -545,7 +544,7 @@ def _stored(spark: SparkSession, d: str) -> DataFrame:
     t.import_df("odd", incoming.where("cust % 3 <> 0"))
     t.merge()
     out = cut(t.read())
-    shutil.rmtree(engine.root, ignore_errors=True)
+    remove(spark, engine.root)
     return out
 
 
@@ -563,7 +562,7 @@ def table_partitioned_merge(spark: SparkSession, d: str) -> DataFrame:
     t.import_df("all", table(spark, d, "partitioned_row"))
     t.merge()
     out = cut(t.read())
-    shutil.rmtree(engine.root, ignore_errors=True)
+    remove(spark, engine.root)
     return out
 
 
@@ -578,7 +577,7 @@ def table_upsert(spark: SparkSession, d: str) -> DataFrame:
     t.merge()
     t.upsert(rows.where("k % 10 = 0").select("k", F.concat(F.lit("new "), "name").alias("name"), F.lit(1).alias("cents")))
     out = cut(t.read().select("k", "name", F.when(F.col("k") % 10 == 0, F.col("cents")).otherwise(F.nullif("cents", F.lit(0))).alias("cents")))
-    shutil.rmtree(engine.root, ignore_errors=True)
+    remove(spark, engine.root)
     return out
 
 
@@ -592,7 +591,7 @@ def point_lookup(spark: SparkSession, d: str) -> DataFrame:
     t.import_df("odd", incoming.where("cust % 3 <> 0"))
     t.merge()
     out = cut(t.lookup(cust=7))
-    shutil.rmtree(engine.root, ignore_errors=True)
+    remove(spark, engine.root)
     return out
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltwork.operators import consolidate as C
 from siltwork.operators import salted as S
-from siltwork.session import shared_dir, table
+from siltwork.session import cut, remove, shared_dir, table
 
 USABLE_FROM, USABLE_TO = 946684800, 1767225599
 
@@ -64,7 +64,10 @@ def p3_plan(spark: SparkSession, d: str) -> DataFrame:
 def p3_compacted(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "partitioned_row")
     plan = C.plan_groups(_live(spark, d))
-    return C.rewrite(rows, plan, f"{shared_dir(spark)}/consolidated-{uuid.uuid4().hex}")
+    out_dir = f"{shared_dir(spark)}/consolidated-{uuid.uuid4().hex}"
+    report = cut(C.rewrite(rows, cut(plan), out_dir))
+    remove(spark, out_dir)
+    return report
 
 
 def queries() -> dict:

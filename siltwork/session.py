@@ -68,11 +68,12 @@ def release(*frames: DataFrame | None) -> None:
     """Deletes the tables of frames that ``cut`` gave; nothing may read them any more."""
     gone = {getattr(f, "_silt_path", None) for f in frames}
     for spark, path in [x for x in _written if x[1] in gone]:
-        _delete(spark, path)
+        remove(spark, path)
         _written.remove((spark, path))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system, with all in it; a missing one is no error."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -81,7 +82,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _release_all() -> None:
     for spark, path in _written:
         try:
-            _delete(spark, path)
+            remove(spark, path)
         except Exception:  # the session is gone: only a local folder can still be removed
             shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
