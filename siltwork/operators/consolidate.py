@@ -121,25 +121,21 @@ def planned_rows(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def rewrite(rows: DataFrame, plan: DataFrame, out_dir: str) -> DataFrame:
     """Writes the planned groups to out_dir and gives (part_dir, group_no, n_files, rows_in, rows_out).
 
-    Each group is one hash partition of the write, so one file. Counts are taken from the
-    stored rows before, and from the written files after; the caller publishes only if
-    they agree, see ``reconciled``.
+    Each group is one file, __part_dir=<escaped part_dir>/__group_no=<n>/<file>: the exchange
+    brings a group to one task, which begins a new file for each of its groups, however many
+    it has. Counts are taken from the stored rows before, and from the written files after;
+    the caller publishes only if they agree, see ``reconciled``.
     """
     spark = rows.sparkSession
-    planned = planned_rows(rows, plan)
-    tagged = planned.withColumnRenamed("part_dir", "__part_dir").withColumnRenamed("group_no", "__group_no")
-    tagged.repartition("__part_dir", "__group_no").sortWithinPartitions("__part_dir", "__group_no").write.mode("error").option(
-        "compression", "zstd"
-    ).parquet(out_dir)
-    files = plan.groupBy("part_dir", "group_no").agg(F.count(F.lit(1)).alias("n_files"))
-    rows_in = planned.groupBy("part_dir", "group_no").agg(F.count(F.lit(1)).alias("rows_in"))
-    rows_out = (
-        spark.read.parquet(out_dir)
-        .groupBy(F.col("__part_dir").alias("part_dir"), F.col("__group_no").alias("group_no"))
-        .agg(F.count(F.lit(1)).alias("rows_out"))
-    )
     keys = ["part_dir", "group_no"]
-    return files.join(rows_in, keys, "left").join(rows_out, keys, "left").fillna(0, ["rows_in", "rows_out"])
+    tagged = planned_rows(rows, plan).withColumnsRenamed({k: f"__{k}" for k in keys})
+    own = [f"__{k}" for k in keys]
+    tagged.repartition(*own).sortWithinPartitions(*own).write.mode("error").option("compression", "zstd").partitionBy(*own).parquet(out_dir)
+    held = rows.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
+    read = plan.join(held, "file_path", "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_files"), F.sum("n").alias("rows_in"))
+    written = spark.read.schema(tagged.schema).parquet(out_dir).coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few rows a file
+    rows_out = written.groupBy(*[F.col(f"__{k}").alias(k) for k in keys]).agg(F.count(F.lit(1)).alias("rows_out"))
+    return read.join(rows_out, keys, "left").fillna(0, ["rows_in", "rows_out"])
 
 
 def reconciled(report: DataFrame) -> bool:

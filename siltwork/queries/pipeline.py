@@ -66,8 +66,12 @@ def p3_compacted(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "partitioned_row")
     plan = C.plan_groups(_live(spark, d))
     out_dir = f"{shared_dir(spark)}/consolidated-{uuid.uuid4().hex}"
-    report = cut(C.rewrite(rows, cut(plan), out_dir))
-    remove(spark, out_dir)
+    try:
+        report = cut(C.rewrite(rows, cut(plan), out_dir))
+    finally:
+        remove(spark, out_dir)
+    if not C.reconciled(report):
+        raise ValueError("consolidation: rows written differ from rows read")
     return report
 
 

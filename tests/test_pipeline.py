@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from siltwork.operators import consolidate as C
 from siltwork.operators import salted as S
+from siltwork.queries import pipeline
 
 
 def plain(rows):
@@ -92,3 +93,22 @@ def test_rewrite_keeps_every_row_as_often_as_it_lies(spark, tmp_path):
     assert back.where("row_id = 7").count() == 4 and len(back.inputFiles()) <= report.count()
     broken = report.withColumn("rows_out", F.lit(0))
     assert not C.reconciled(broken)
+
+
+def test_rewrite_gives_each_group_a_file_of_its_own(spark, tmp_path):
+    dirs = [MAIN, "s/r1/main/t/p=b%2F/b=0", "s/r1/main/t/p=ä b/b=1"]
+    plan = spark.createDataFrame([(d, f"{d}/files/{i}", 10, 1, i // 2) for d in dirs for i in range(20)], "part_dir string, file_path string, size_bytes long, n_rows long, group_no long")
+    rows = plan.select("file_path", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("row_id"))
+    report = C.rewrite(rows, plan, str(tmp_path / "out"))
+    assert report.count() == 30 > int(spark.conf.get("spark.sql.shuffle.partitions")) and C.reconciled(report)
+    assert {(r.n_files, r.rows_in, r.rows_out) for r in report.collect()} == {(2, 10, 10)}
+    back = spark.read.parquet(str(tmp_path / "out")).withColumn("at", F.input_file_name())
+    held = back.join(plan, "file_path").select("at", "part_dir", "group_no").distinct()
+    assert held.count() == held.select("at").distinct().count() == held.select("part_dir", "group_no").distinct().count() == 30
+
+
+def test_compacted_raises_on_lost_rows(spark, monkeypatch):
+    lossy = lambda *a, f=C.rewrite: f(*a).withColumn("rows_out", F.col("rows_out") - 1)
+    monkeypatch.setattr(C, "rewrite", lossy)
+    with pytest.raises(ValueError, match="rows"):
+        pipeline.p3_compacted(spark, "/root/testdata/sf0.001")
