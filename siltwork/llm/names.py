@@ -5,9 +5,8 @@
    places, given names) are brought to one spelling: abbreviations and nicknames by table,
    typing errors by a look-up of near common words. Rare tokens stay as typed. Names with the
    same canonical form are one node from here on.
-2. Candidates. A set-similarity join with a prefix filter on the q-grams of the rare
-   tokens, within blocks of nodes that agree in their common words: grams are ordered from
-   rare to frequent, and two nodes that are similar enough share a gram of their prefixes.
+2. Candidates. Within blocks of nodes that agree in their common words, a join on deletion
+   keys of the rare tokens, see ``keys_of``: all pairs that verification accepts share one.
 3. Verification. Soft weighted token similarity: tokens are matched one to one by typing
    distance, and weigh their inverse document frequency, so that rare tokens count more.
    Every token needs a partner.
@@ -26,11 +25,10 @@ import math
 import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
-from zlib import crc32
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltwork.llm.components import components
@@ -38,10 +36,7 @@ from siltwork.llm.survivor import name_lines
 from siltwork.session import cut, release
 
 Q = 3
-JACCARD = 0.4
-EDITS = 4
-LEAST_OVERLAP = 0.15  # shared grams, of both names' grams together
-RANKED_GRAMS = 100_000
+JACCARD = 0.4  # grams shared by names that are alike in any order of similarity; joins don't use it
 MIN_SIMILARITY = 0.8
 COMMON_SHARE = 0.0004
 COMMON_LEAST = 6
@@ -295,17 +290,36 @@ def grams(rare: tuple[str, ...] | list[str]) -> set[str]:
     return {p[i : i + Q] for t in rare for p in (f"^{t}$",) for i in range(len(p) - Q + 1)}
 
 
-def numbered(found: set[str], ranks: dict[str, int]) -> list[int]:
-    """Grams as numbers, the rarest first: by rank, and before them, by a hash beyond all ranks, those that have none."""
-    return sorted({ranks[g] if g in ranks else crc32(g.encode()) | 1 << 32 for g in found}, reverse=True)
+def deletions(t: str, most: int) -> set[str]:
+    """t, and what is left of it without one letter, up to most letters."""
+    out = last = {t}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
 
 
-def sketch(numbers: list[int]) -> int:
-    """Numbered grams as bits of a signed 64-bit number."""
-    out = 0
-    for k in numbers:
-        out |= 1 << (k & 63)
-    return out - (1 << 64) if out >> 63 else out
+def token_keys(t: str) -> set[str]:
+    """Keys of a token: two tokens at least MIN_SIMILARITY alike by typing distance share one.
+
+    d errors are alike enough in words of d / (1 - MIN_SIMILARITY) letters: one in 5, two in
+    10. Each error, a swap too, is undone by leaving out a letter of one or of both words;
+    m typed as rn, however often in a word, by writing m. The shorter word of a pair has to
+    lose as many letters less as it is shorter, so the word's own length says how many.
+    """
+    keys = deletions(t, 2 if len(t) >= 10 else 1 if len(t) >= 5 else 0)
+    return keys | {t.replace("rn", "m")} if "rn" in t else keys
+
+
+def keys_of(rare: list[str]) -> list[str]:
+    """Keys of a node: two nodes that ``similarity`` accepts share one.
+
+    Names of equally many tokens have a pair of tokens that is at least as alike as the
+    names on average. Others must be the same when joined, and meet as a single token does.
+    """
+    if len(rare) == 1:
+        return [f"1 {k}" for k in token_keys(rare[0])]
+    return [f"1 {''.join(rare)}", *{f"{len(rare)} {k}" for t in rare for k in token_keys(t)}]
 
 
 def similarity(a: list[str], b: list[str], wa: list[float], wb: list[float]) -> float:
@@ -378,66 +392,27 @@ def forms_of(names: DataFrame, common: dict[str, int]) -> DataFrame:
     return names.mapInPandas(canon, "id string, " + FORM).withColumn("node", F.xxhash64("block", "given", "letters", "middle", "rare"))
 
 
-def gram_ranks(nodes: DataFrame) -> dict[str, int]:
-    """The RANKED_GRAMS most frequent q-grams, by rank: 0 for the most frequent.
-
-    The prefix filter needs one order of all grams, and any will do: grams that aren't
-    ranked come first, as they are rarer, in the order of their text.
-    """
-
-    padded = F.concat(F.lit("^"), "t", F.lit("$"))
-    found = F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.substr(padded, i, F.lit(Q)))
-    tokens_ = nodes.where("rare <> ''").select(F.explode(F.split("rare", " ")).alias("t"))
-    counts = tokens_.select(F.explode(found).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    return {r[0]: k for k, r in enumerate(counts.orderBy(F.desc("n"), "gram").limit(RANKED_GRAMS).collect())}
-
-
-def prefix_of(numbers: list[int]) -> list[int]:
-    """The first grams of a node: as many as it takes to share one with every node that is similar enough."""
-    return numbers[: len(numbers) - math.ceil(len(numbers) * JACCARD) + 1]
-
-
-def swapped(text: str) -> Column:
-    """The tokens of a name of two in the other order: an error in a first letter may move a sorted token."""
-    return F.regexp_replace(text, r"^(\S+) (\S+)$", "$2 $1")
-
-
 def similar_nodes(nodes: DataFrame) -> DataFrame:
     """(a, b, weak, a_given, b_given) of node pairs that name the same; weak: one has an initial for the other's given name.
 
-    nodes: forms, distinct by node. A person's node is keyed by each of its letters. Pairs
-    are at most EDITS letters apart: two swaps, or four other errors.
+    nodes: forms, distinct by node. A person's node is keyed by each of its letters.
     """
-    ranks = gram_ranks(nodes)
 
-    @F.pandas_udf("prefix array<bigint>, bits bigint, n int")
-    def keys_of(rare: pd.Series) -> pd.DataFrame:
-        all_ = [numbered(grams(r.split()), ranks) for r in rare]
-        return pd.DataFrame({"prefix": [prefix_of(x) for x in all_], "bits": [sketch(x) for x in all_], "n": [len(x) for x in all_]})
+    @F.pandas_udf("array<string>")
+    def keys(rare: pd.Series) -> pd.Series:
+        return pd.Series([keys_of(r.split()) for r in rare], dtype=object)
 
     letter = F.explode(F.when(F.col("letters") == "", F.array(F.lit(""))).otherwise(F.split("letters", "")))
-    person = nodes.where("rare <> ''").select("node", "block", "given", "middle", "rare", letter.alias("letter"), keys_of("rare").alias("k"))
-    keyed = person.select("node", "block", "given", "middle", "rare", "letter", "k.bits", "k.n", F.explode("k.prefix").alias("gram")).select(
-        F.xxhash64("block", "letter", "gram").alias("key"), "node", "given", "middle", "rare", "bits", "n"
-    )
-    side = lambda s: keyed.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "given", "middle", "rare", "bits", "n")])
-    # grams that fall on one bit hide each other: that many may be shared beyond the shared bits
-    hidden = F.least(F.col("a_n") - F.bit_count("a_bits"), F.col("b_n") - F.bit_count("b_bits"))
-    shared, both_n = F.bit_count(F.col("a_bits").bitwiseAND(F.col("b_bits"))) + hidden, F.col("a_n") + F.col("b_n")
-    overlap_ok = shared >= both_n * LEAST_OVERLAP
+    named = nodes.where("rare <> ''")
+    person = named.select("node", "block", letter.alias("letter"), keys("rare").alias("keys"))
+    keyed = person.select("node", "block", "letter", F.explode("keys").alias("k")).select(F.xxhash64("block", "letter", "k").alias("key"), "node")
+    side = lambda s: keyed.select("key", F.col("node").alias(f"{s}_node"))
+    met = side("a").join(side("b"), "key").where("a_node < b_node").select("a_node", "b_node").distinct()
+    of = lambda s: named.select(*[F.col(c).alias(f"{s}_{c}") for c in ("node", "given", "middle", "rare")])
     given_ok = (F.col("a_given") == F.col("b_given")) | (F.col("a_given") == "") | (F.col("b_given") == "")
     middle_ok = (F.col("a_middle") == F.col("b_middle")) | (F.col("a_middle") == "") | (F.col("b_middle") == "")
-    length_ok = F.abs(F.length("a_rare") - F.length("b_rare")) <= F.when(F.instr("a_rare", " ") > 0, EDITS).otherwise(2)
-    # grams don't mind the order of tokens, so names that are the same but for it share many
-    several = (shared >= both_n * (JACCARD / (1 + JACCARD))) & (F.instr("a_rare", " ") > 0) & (F.instr("b_rare", " ") > 0)
-    near = (F.levenshtein("a_rare", "b_rare", EDITS) >= 0) | (several & (F.levenshtein("a_rare", swapped("b_rare"), EDITS) >= 0))
-    close = (
-        side("a")
-        .join(side("b"), "key")
-        .where((F.col("a_node") < F.col("b_node")) & length_ok & given_ok & middle_ok & overlap_ok & near)
-        .select(*[F.col(f"{s}_{c}") for s in "ab" for c in ("node", "given", "rare")])
-        .dropDuplicates(["a_node", "b_node"])  # not distinct(): filters on rare would pass it, and the join be done twice
-    )
+    close = met.join(of("a"), "a_node").join(of("b"), "b_node").where(given_ok & middle_ok)
+    close = close.select(*[F.col(f"{s}_{c}") for s in "ab" for c in ("node", "given", "rare")])
     # a single token's weight falls out of the similarity; only names of several need the words' frequencies
     parts = nodes.where("rare LIKE '% %'").select("node", F.posexplode(F.split("rare", " ")).alias("k", "w"))
     every = nodes.select(F.explode(F.split("rare", " ")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))

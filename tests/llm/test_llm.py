@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -331,6 +332,28 @@ def test_similar_nodes_equal_brute_force(spark):
     assert got <= all_ and {p for p in all_ if jac(*p) >= names.JACCARD} <= got
 
 
+def test_similar_nodes_find_all_that_verification_accepts(spark):
+    made = ["smith", "simth", "parker", "pakrer", "tubakaapal", "tuabkabapal", "barnarnet", "bamamet", "abc kelezurihon", "abd kelezurihon", "abdkelezurihon",
+            "ezkleurihon loz", "kelezurihon olz", "ozotamelufi pakrer", "parker zotamelufi", "smith zotamelufi"]
+    rng = random.Random(5)
+    for w in list(made):
+        t = list(w)
+        for i in rng.sample(range(0, len(t) - 1, 2), 2):
+            t[i], t[i + 1] = t[i + 1], t[i]
+        made.append(" ".join(sorted("".join(t).split())))
+    made = sorted(set(made))
+    nodes = spark.createDataFrame([(i, "x", "", "", "", w) for i, w in enumerate(made)], "node long, block string, given string, letters string, middle string, rare string")
+    got = {(r.a, r.b) for r in names.similar_nodes(nodes).collect()}
+    split, df = [w.split() for w in made], {}
+    for t in (t for w in split for t in w):
+        df[t] = df.get(t, 0) + 1
+    idf = lambda w: [math.log((len(made) + 1) / df[t]) for t in w] if len(w) > 1 else [1.0]
+    want = {(i, j) for i, a in enumerate(split) for j, b in enumerate(split) if i < j and names.similarity(a, b, idf(a), idf(b)) >= names.MIN_SIMILARITY}
+    at = made.index
+    assert {(at("simth"), at("smith")), (at("pakrer"), at("parker")), (at("tuabkabapal"), at("tubakaapal"))} <= want
+    assert got == want
+
+
 @settings(max_examples=10, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 14), st.integers(0, 14)), max_size=25))
 def test_components(spark, edges):
