@@ -53,3 +53,9 @@ def test_merges_of_all_orders(spark, strategy, kind, v, v_sql, agg, combined):
     want = expected(f"""WITH s AS ({side} WHERE {dealt} GROUP BY 1), t AS ({side} WHERE NOT {dealt} GROUP BY 1)
         SELECT coalesce(s.k, t.k), {combined} FROM s FULL OUTER JOIN t ON s.k = t.k""", "orders")
     assert got == want
+
+
+def test_coalesce_keeps_key_zero(spark):
+    rows = spark.read.parquet(f"{SF}/events.parquet").select(F.col("user_id").alias("k"), F.col("event_type").alias("v"))
+    got = sorted((tuple(r) for r in compact.plan(M._one("coalesce"), rows).collect()), key=repr)
+    assert got == expected("SELECT user_id AS k, max(event_type) AS v FROM events GROUP BY 1", "events") and 0 in {k for k, _ in got}
