@@ -5,8 +5,11 @@
    places, given names) are brought to one spelling: abbreviations and nicknames by table,
    typing errors by a look-up of near common words. Rare tokens stay as typed. Names with the
    same canonical form are one node from here on.
-2. Candidates. Within blocks of nodes that agree in their common words, a join on deletion
-   keys of the rare tokens, see ``keys_of``: all pairs that verification accepts share one.
+2. Candidates. Within blocks of nodes that agree in their common words, a prefix-filtered
+   join on the q-grams of the rare tokens, rarest first. A prefix is as long as the typing
+   errors that verification accepts can break grams, and one more (``most_broken``), so that
+   every pair that it accepts meets; positions, lengths and plain edits, which are bounded
+   by the same errors, thin out those that do.
 3. Verification. Soft weighted token similarity: tokens are matched one to one by typing
    distance, and weigh their inverse document frequency, so that rare tokens count more.
    Every token needs a partner.
@@ -25,10 +28,12 @@ import math
 import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
+from zlib import crc32
 
+import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltwork.llm.components import components
@@ -36,8 +41,9 @@ from siltwork.llm.survivor import name_lines
 from siltwork.session import cut, release
 
 Q = 3
-JACCARD = 0.4  # grams shared by names that are alike in any order of similarity; joins don't use it
+GRAM_BUCKETS = 1 << 16
 MIN_SIMILARITY = 0.8
+LONG_WORD = 7  # letters from which a word may hold two typing errors
 COMMON_SHARE = 0.0004
 COMMON_LEAST = 6
 
@@ -285,41 +291,74 @@ def _is_near(t: str, words: frozenset[str]) -> bool:
     return any(abs(len(t) - len(w)) <= 1 and (_letters(w) ^ mine).bit_count() <= 2 and typing_distance(t, w, 1) <= 1 for w in words)
 
 
-def grams(rare: tuple[str, ...] | list[str]) -> set[str]:
-    """The distinct q-grams of the tokens, each padded at both ends."""
-    return {p[i : i + Q] for t in rare for p in (f"^{t}$",) for i in range(len(p) - Q + 1)}
+def most_errors(x: int, y: int) -> int:
+    """The typing errors with which words of x and y letters are at least MIN_SIMILARITY alike."""
+    return min(max(x, y) * (100 - round(100 * MIN_SIMILARITY)) // 100, 2 if min(x, y) >= LONG_WORD else 1)
 
 
-def deletions(t: str, most: int) -> set[str]:
-    """t, and what is left of it without one letter, up to most letters."""
-    out = last = {t}
-    for _ in range(most):
-        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
-        out = out | last
+@lru_cache(1000)
+def most_broken(n: int) -> int:
+    """How many of a word's n padded grams the typing errors of a word alike break at most.
+
+    A letter put in breaks Q - 1 of them, one left out or mistyped Q, two swapped Q + 1.
+    The other word is up to two letters longer or shorter, which takes as many errors.
+    """
+    out = 0
+    for longer in range(-2, 3):
+        e = most_errors(n, n + longer)
+        if e >= abs(longer):
+            out = max(out, abs(longer) * (Q if longer < 0 else Q - 1) + (e - abs(longer)) * (Q + 1))
     return out
 
 
-def token_keys(t: str) -> set[str]:
-    """Keys of a token: two tokens at least MIN_SIMILARITY alike by typing distance share one.
+def bucket_of(gram: str) -> int:
+    return crc32(gram.encode()) % GRAM_BUCKETS
+
+
+def gram_counts(nodes: DataFrame) -> np.ndarray:
+    """How often the grams of all nodes' rare tokens fall into each of GRAM_BUCKETS buckets, which is what bounds it."""
+    word = nodes.where("rare <> ''").select(F.explode(F.split("rare", " ")).alias("w")).select(F.concat(F.lit("^"), "w", F.lit("$")).alias("p"))
+    gram = word.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("p") - (Q - 1)), lambda i: F.substring(F.col("p"), i, F.lit(Q)))).alias("g"))
+    counts = np.zeros(GRAM_BUCKETS, dtype=np.int64)
+    for b, n in gram.groupBy(F.pmod(F.crc32("g"), F.lit(GRAM_BUCKETS)).alias("b")).count().collect():
+        counts[b] = n
+    return counts
+
+
+def prefix(t: str, counts: np.ndarray) -> list[tuple[str, int]]:
+    """(gram, position) of the rarest grams of a token: one more than typing errors break.
 
-    d errors are alike enough in words of d / (1 - MIN_SIMILARITY) letters: one in 5, two in
-    10. Each error, a swap too, is undone by leaving out a letter of one or of both words;
-    m typed as rn, however often in a word, by writing m. The shorter word of a pair has to
-    lose as many letters less as it is shorter, so the word's own length says how many.
+    Two tokens that are at least MIN_SIMILARITY alike by typing distance share one of them,
+    at positions no more than two apart: of either token's prefix one gram stays whole,
+    and of the two that stay the one that comes first in the common order is in both.
     """
-    keys = deletions(t, 2 if len(t) >= 10 else 1 if len(t) >= 5 else 0)
-    return keys | {t.replace("rn", "m")} if "rn" in t else keys
+    padded, k = f"^{t}$", most_broken(len(t)) + 1
+    if k == 1:  # too short to be mistyped
+        return []
+    order = sorted((counts[bucket_of(g)], g, i) for i in range(len(t)) for g in (padded[i : i + Q],))
+    while k < len(order) and order[k][1] == order[k - 1][1]:
+        k += 1
+    return [(g, i) for _, g, i in order[:k]]
 
 
-def keys_of(rare: list[str]) -> list[str]:
-    """Keys of a node: two nodes that ``similarity`` accepts share one.
+def keys_of(rare: list[str], counts: np.ndarray) -> list[tuple[str, str, int]]:
+    """(key, token, position) of a node: two nodes that ``similarity`` accepts share a key, see ``may_be_alike``.
 
     Names of equally many tokens have a pair of tokens that is at least as alike as the
-    names on average. Others must be the same when joined, and meet as a single token does.
+    names on average. Others must be the same when joined. m typed as rn counts as one
+    error however often, so words also meet with m written for rn, without a position.
     """
-    if len(rare) == 1:
-        return [f"1 {k}" for k in token_keys(rare[0])]
-    return [f"1 {''.join(rare)}", *{f"{len(rare)} {k}" for t in rare for k in token_keys(t)}]
+    out = [("= " + "".join(rare).replace("rn", "m"), "", -1)]
+    if len(rare) > 1:
+        out += {(f"{len(rare)}= " + t.replace("rn", "m"), "", -1) for t in rare}
+    return out + [(f"{len(rare)} {g}", t, i) for t in dict.fromkeys(rare) for g, i in prefix(t, counts)]
+
+
+def may_be_alike(a: Column, b: Column, at_a: Column, at_b: Column) -> Column:
+    """Whether tokens that share a gram at these positions can be alike: exact bounds, a swap being two plain edits."""
+    longer, apart = F.greatest(F.length(a), F.length(b)), F.abs(F.length(a) - F.length(b))
+    edits = F.levenshtein(a, b, 4)  # -1 for more
+    return (at_a < 0) | ((F.abs(at_a - at_b) <= 2) & (apart <= 2) & (edits >= 0) & ((edits <= 2) | (longer >= 10)))
 
 
 def similarity(a: list[str], b: list[str], wa: list[float], wb: list[float]) -> float:
@@ -332,16 +371,16 @@ def similarity(a: list[str], b: list[str], wa: list[float], wb: list[float]) ->
     if len(a) != len(b) or len(wa) != len(a) or len(wb) != len(b):
         return 1.0 if "".join(a) == "".join(b) else 0.0
     if len(a) == 1:
-        most = 2 if min(len(a[0]), len(b[0])) >= 7 else 1
+        most = 2 if min(len(a[0]), len(b[0])) >= LONG_WORD else 1
         d = typing_distance(a[0], b[0], most)
         return 1 - d / max(len(a[0]), len(b[0])) if d <= most else 0.0
     left, right, got, all_ = list(a), list(b), 0.0, 0.0
-    pairs = sorted((typing_distance(x, y, 2 if min(len(x), len(y)) >= 7 else 1), i, j) for i, x in enumerate(a) for j, y in enumerate(b))
+    pairs = sorted((typing_distance(x, y, 2 if min(len(x), len(y)) >= LONG_WORD else 1), i, j) for i, x in enumerate(a) for j, y in enumerate(b))
     for d, i, j in pairs:
         if left[i] is None or right[j] is None:
             continue
         x, y = left[i], right[j]
-        if d > (2 if min(len(x), len(y)) >= 7 else 1):
+        if d > (2 if min(len(x), len(y)) >= LONG_WORD else 1):
             return 0.0
         w = max(wa[i], wb[j])
         got, all_ = got + w * (1 - d / max(len(x), len(y))), all_ + w
@@ -398,16 +437,24 @@ def similar_nodes(nodes: DataFrame) -> DataFrame:
     nodes: forms, distinct by node. A person's node is keyed by each of its letters.
     """
 
-    @F.pandas_udf("array<string>")
-    def keys(rare: pd.Series) -> pd.Series:
-        return pd.Series([keys_of(r.split()) for r in rare], dtype=object)
+    named = nodes.where("rare <> ''")
+    counts = gram_counts(nodes)
+
+    def keys(batches):
+        for pdf in batches:
+            made = [keys_of(r.split(), counts) for r in pdf["rare"]]
+            at = np.repeat(np.arange(len(pdf)), [len(m) for m in made])
+            k, t, i = zip(*(x for m in made for x in m)) if made else ((), (), ())
+            yield pd.DataFrame({"node": pdf["node"].to_numpy()[at], "block": pdf["block"].to_numpy()[at], "letters": pdf["letters"].to_numpy()[at], "k": k, "token": t, "at": i})
 
     letter = F.explode(F.when(F.col("letters") == "", F.array(F.lit(""))).otherwise(F.split("letters", "")))
-    named = nodes.where("rare <> ''")
-    person = named.select("node", "block", letter.alias("letter"), keys("rare").alias("keys"))
-    keyed = person.select("node", "block", "letter", F.explode("keys").alias("k")).select(F.xxhash64("block", "letter", "k").alias("key"), "node")
-    side = lambda s: keyed.select("key", F.col("node").alias(f"{s}_node"))
-    met = side("a").join(side("b"), "key").where("a_node < b_node").select("a_node", "b_node").distinct()
+    person = named.select("node", F.xxhash64("block").alias("block"), "letters", "rare").mapInPandas(
+        keys, "node bigint, block bigint, letters string, k string, token string, at int"
+    )
+    keyed = person.select("node", "block", letter.alias("letter"), "k", "token", "at").select(F.xxhash64("block", "letter", "k").alias("key"), "node", "token", "at")
+    side = lambda s: keyed.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "token", "at")])
+    met = side("a").join(side("b"), "key").where(F.col("a_node") < F.col("b_node"))
+    met = met.where(may_be_alike(F.col("a_token"), F.col("b_token"), F.col("a_at"), F.col("b_at"))).select("a_node", "b_node").distinct()
     of = lambda s: named.select(*[F.col(c).alias(f"{s}_{c}") for c in ("node", "given", "middle", "rare")])
     given_ok = (F.col("a_given") == F.col("b_given")) | (F.col("a_given") == "") | (F.col("b_given") == "")
     middle_ok = (F.col("a_middle") == F.col("b_middle")) | (F.col("a_middle") == "") | (F.col("b_middle") == "")
@@ -425,10 +472,7 @@ def similar_nodes(nodes: DataFrame) -> DataFrame:
         idf = lambda df: [1.0] if df is None else [math.log((total + 1) / n) for n in df]
         return pd.Series([similarity(x.split(), y.split(), idf(u), idf(v)) for x, y, u, v in zip(a, b, da, db)], dtype="float64")
 
-    one = close.where("a_rare NOT LIKE '% %' AND b_rare NOT LIKE '% %'")
-    none = F.lit(None).cast("array<bigint>")
-    more = close.where("a_rare LIKE '% %' OR b_rare LIKE '% %'").join(weight("a"), "a_node", "left").join(weight("b"), "b_node", "left")
-    both = one.withColumns({"a_df": none, "b_df": none}).unionByName(more)
+    both = close.join(weight("a"), "a_node", "left").join(weight("b"), "b_node", "left")
     weak = (F.col("a_given") != F.col("b_given")).alias("weak")
     return both.where(verify("a_rare", "b_rare", "a_df", "b_df") >= MIN_SIMILARITY).select(
         F.col("a_node").alias("a"), F.col("b_node").alias("b"), weak, "a_given", "b_given"
