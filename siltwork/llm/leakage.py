@@ -2,14 +2,17 @@
 
 1. Texts become words: entities decoded, tags, accents, invisible characters, case and
    punctuation dropped.
-2. Every run of SEED_WORDS words of a test item is a seed. Corpus runs are joined with
-   the seeds; the seeds' side is broadcast only if it is counted to be small. A pair of
-   document and item goes on if its seeds cover MIN_COVER words of the item. Both kinds
-   of leak leave that much: 12 consecutive words, even if a remark interrupts them, and a
-   whole item of which one word in ten is changed. Seeds that more than a share of
-   RARE_ITEMS of the items have in common (their templates) aren't rare: a pair without a
-   rare seed goes on only if its seeds cover RUN_WORDS words.
-3. Smith-Waterman alignment of the words, with an affine gap on the document's side so
+2. Every run of SEED_WORDS words of a test item is a seed, of fewer words in items so short
+   that a leak needn't leave one whole. The seeds are joined with the corpus where the
+   texts are read: items are held by every task in blocks of at most BLOCK_WORDS words, so
+   that neither texts nor seeds are ever shuffled, however common a seed is. More items
+   make more blocks, each of which reads the corpus once.
+3. A pair of document and item goes on if its seeds leave a leak possible. That is exact:
+   either they cover as many words as a whole item does with CHANGED_SHARE of it changed
+   or added, or RUN_WORDS consecutive words can be read off the document at a seed, across
+   one remark of up to REMARK_WORDS words. Seeds that many items or documents share, such as
+   templates, rarely pass this; of rare ones the pairs that remain are made.
+4. Smith-Waterman alignment of the words, with an affine gap on the document's side so
    that a remark costs little, gives the longest run of the item's words, the share of it
    that is covered, and the words changed or added.
 
@@ -20,56 +23,41 @@ aligned in windows around their seeds only, and seeded whole.
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltwork.session import cut
-
 SEED_WORDS = 5
-MIN_COVER = 8
-RARE_ITEMS = 0.25
 RUN_WORDS = 12
 CHANGED_SHARE = 0.15
 REMARK_WORDS = 10
-BROADCAST_SEEDS = 200_000
+BLOCK_WORDS = 2_000_000
+PADDING = RUN_WORDS + REMARK_WORDS
 MATCH, MISS, SKIP, OPEN, EXTEND = 2.0, -1.0, -1.0, -1.0, -0.05
 
 _TAG = regex.compile(r"</?[a-zA-Z!][^<>]{0,300}>")
 _WORD = regex.compile(r"[^\W_]+")
+_PLAIN_WORD = re.compile(r"[a-z0-9]+")
 _HIDDEN = regex.compile(r"[\p{M}\p{Cf}]+")
 
 
-def plain_words(text: str | None) -> str:
-    """The text's words, joined by blanks."""
+def plain_words(text: str | None) -> list[str]:
+    """The text's words."""
     if not text:
-        return ""
+        return []
     if "&" in text:
         text = html.unescape(html.unescape(text))
     if "<" in text:
         text = _TAG.sub(" ", text)
-    if not text.isascii():
-        text = _HIDDEN.sub("", unicodedata.normalize("NFKD", text))
-    return " ".join(_WORD.findall(text.casefold()))
-
-
-def _plain(text: str) -> Column:
-    @F.pandas_udf("string")
-    def plain(texts: pd.Series) -> pd.Series:
-        return texts.map(plain_words)
-
-    return plain(text)
-
-
-def _runs(df: DataFrame, key: str, pos: str) -> DataFrame:
-    """(key, pos, seed): each run of SEED_WORDS words, hashed."""
-    split = df.where("words <> ''").withColumn("w", F.split("words", " ")).where(F.size("w") >= SEED_WORDS)
-    seeds = F.transform(F.sequence(F.lit(1), F.size("w") - (SEED_WORDS - 1)), lambda i: F.xxhash64(F.slice("w", i, SEED_WORDS)))
-    return split.select(key, F.posexplode(seeds).alias(pos, "seed"))
+    if text.isascii():
+        return _PLAIN_WORD.findall(text.lower())
+    return _WORD.findall(_HIDDEN.sub("", unicodedata.normalize("NFKD", text)).casefold())
 
 
 def align(item: np.ndarray, doc: np.ndarray) -> tuple[float, int, int, int]:
@@ -82,9 +70,10 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[float, int, int, int]:
     m, n = len(item), len(doc)
     best, base = np.zeros((m + 1, n + 1)), np.zeros((m + 1, n + 1))
     ramp = -EXTEND * np.arange(n + 1)
+    gain = np.where(item[:, None] == doc[None, :], MATCH, MISS)
     for i in range(1, m + 1):
         row = base[i]
-        np.maximum(best[i - 1, :-1] + np.where(doc == item[i - 1], MATCH, MISS), 0, out=row[1:])
+        np.maximum(best[i - 1, :-1] + gain[i - 1], 0, out=row[1:])
         np.maximum(row[1:], best[i - 1, 1:] + SKIP, out=row[1:])
         gap = np.maximum.accumulate(row + ramp)[:-1] - ramp[1:] + OPEN
         best[i] = row
@@ -123,46 +112,118 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[float, int, int, int]:
     return score, longest, changed, added
 
 
-def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, hits) with hits an array of (doc position, item position) of shared seeds."""
-    runs = cut(_runs(items.select("item_id", _plain("text").alias("words")), "item_id", "item_pos").distinct())
-    shared = runs.groupBy("seed").agg(F.count_distinct("item_id").alias("n_items"))
-    most = max(1.0, RARE_ITEMS * items.select("item_id").distinct().count())
-    marked = runs.join(shared, "seed").select("seed", "item_id", "item_pos", (F.col("n_items") <= most).alias("rare"))
-    seeds = F.broadcast(marked) if runs.count() <= BROADCAST_SEEDS else marked
-    found = _runs(docs.select("doc_id", _plain("text").alias("words")), "doc_id", "doc_pos").join(seeds, "seed")
-    pairs = found.groupBy("doc_id", "item_id").agg(
-        F.collect_set(F.struct("doc_pos", "item_pos")).alias("hits"), F.max("rare").alias("rare")
-    )
-    every = F.flatten(F.transform("hits", lambda h: F.sequence(h["item_pos"], h["item_pos"] + SEED_WORDS - 1)))
-    covered = F.size(F.array_distinct(every))
-    return pairs.where(covered >= F.when(F.col("rare"), MIN_COVER).otherwise(RUN_WORDS)).select("doc_id", "item_id", "hits")
-
+@dataclass
+class Item:
+    """A test item as word numbers, with what a leak of it leaves at least.
 
-def _promising(item: list[str], doc: list[str], at: np.ndarray, of: np.ndarray) -> bool:
-    """Whether seeds at doc[at], item[of] can be part of a leak; exact, so that nothing that is one is lost.
+    changes: the words that may be changed or added in a whole leak. seed: words of a seed.
+    cover: words that the seeds of a whole leak cover. Of c changes at most c + 1 runs are
+    left, of all words but c; the longest holds a seed, and each other one loses at most
+    seed - 1 words.
+    """
 
-    Seeds of a whole item, or of a run whose two parts have a seed each, cover RUN_WORDS
-    words of the item. Else a run has one part of MIN_COVER words or more, and the rest
-    of it, too short for a seed, on the other side of a remark.
+    item_id: int
+    words: np.ndarray
+    changes: int = field(init=False)
+    seed: int = field(init=False)
+    cover: int = field(init=False)
+
+    def __post_init__(self) -> None:
+        m = len(self.words)
+        self.changes = int(CHANGED_SHARE * m + 1e-9)
+        whole = m - self.changes
+        self.seed = max(1, min(SEED_WORDS, -(-whole // (self.changes + 1))))
+        self.cover = max(self.seed, whole - (self.seed - 1) * self.changes)
+
+
+def _hashes(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n word numbers that begin at the places given."""
+    out = np.zeros(len(at), dtype=np.uint64)
+    for k in range(n):
+        out = (out + words[at + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+class Block:
+    """A block of items with its seeds: for each seed length the sorted hashes, and the item and position of each."""
+
+    def __init__(self, texts: list[tuple[int, str]]):
+        self.number: dict[str, int] = {}
+        self.items: list[Item] = []
+        for item_id, text in texts:
+            words = plain_words(text)
+            if words:
+                self.items.append(Item(item_id, np.array([self.number.setdefault(w, len(self.number) + 1) for w in words])))
+        self.words = np.concatenate([i.words for i in self.items]) if self.items else np.empty(0, dtype=np.int64)
+        self.size, self.seed, self.cover = (np.array([f(i) for i in self.items], dtype=np.int64) for f in (lambda i: len(i.words), lambda i: i.seed, lambda i: i.cover))
+        self.start = np.r_[0, np.cumsum(self.size)[:-1]].astype(np.int64)
+        self.seeds = {}
+        for n in sorted({i.seed for i in self.items}):
+            at = [(k, np.arange(len(i.words) - n + 1)) for k, i in enumerate(self.items) if i.seed == n]
+            h = np.concatenate([_hashes(self.items[k].words, p, n) for k, p in at])
+            order = np.argsort(h, kind="stable")
+            owner = np.repeat([k for k, _ in at], [len(p) for _, p in at])[order]
+            self.seeds[n] = h[order], owner, np.concatenate([p for _, p in at])[order]
+
+    def hits(self, words: np.ndarray) -> np.ndarray:
+        """Rows (item, position in words, position in the item) of all seeds in words, in which 0 is any other word."""
+        out = []
+        known = np.r_[0, np.cumsum(words > 0)]
+        for n, (h, owner, pos) in self.seeds.items():
+            if len(words) < n:
+                continue
+            at = np.flatnonzero(known[n:] - known[:-n] == n)
+            asked = _hashes(words, at, n)
+            lo = np.searchsorted(h, asked, side="left")
+            many = np.searchsorted(h, asked, side="right") - lo
+            some = np.flatnonzero(many)
+            at, lo, many = at[some], lo[some], many[some]
+            if len(at):
+                which = np.repeat(lo - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+                out.append(np.stack([owner[which], np.repeat(at, many), pos[which]], axis=1))
+        return np.concatenate(out) if out else np.empty((0, 3), dtype=np.int64)
+
+
+def _follows(words: np.ndarray, items: np.ndarray, at: np.ndarray, of: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each row, whether the n words at ``at`` of words are those at ``of`` of items."""
+    left = np.flatnonzero(words[at] == items[of])
+    for k in range(1, int(n.max(initial=0))):
+        left = left[(n[left] <= k) | (words[np.minimum(at[left] + k, len(words) - 1)] == items[np.minimum(of[left] + k, len(items) - 1)])]
+    out = np.zeros(len(at), dtype=bool)
+    out[left] = True
+    return out
+
+
+def _promising(block: Block, words: np.ndarray, group: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Which groups of hits can be a leak: exact, so that nothing that is one is lost.
+
+    hits are sorted by group, which is one document and item, and by the position in the
+    item. words holds PADDING zeros at its ends and between documents. Of RUN_WORDS words
+    that one remark interrupts, the longer part holds a seed, as it has half of them or
+    more; the rest is looked for on the other side of each possible remark.
     """
-    if len(np.unique(of[:, None] + np.arange(SEED_WORDS))) >= RUN_WORDS:
-        return True
-    seeds = set(zip(at.tolist(), of.tolist()))
-    for j, i in seeds:
-        if (j - 1, i - 1) in seeds:
-            continue
-        n = SEED_WORDS
-        while (j + n - SEED_WORDS + 1, i + n - SEED_WORDS + 1) in seeds:
-            n += 1
-        rest = RUN_WORDS - n
-        after, before = item[i + n : i + n + rest], item[max(0, i - rest) : i]
-        for gap in range(1, REMARK_WORDS + 1):
-            if len(after) == rest and doc[j + n + gap : j + n + gap + rest] == after:
-                return True
-            if len(before) == rest and j - gap - rest >= 0 and doc[j - gap - rest : j - gap] == before:
-                return True
-    return False
+    item, at, of = hits.T
+    first = np.r_[True, np.diff(group) > 0]
+    n_seed = block.seed[item]
+    step = np.r_[np.where(first[1:], n_seed[:-1], np.minimum(n_seed[:-1], np.diff(of))), n_seed[-1:]]
+    covered = np.add.reduceat(step, np.flatnonzero(first))
+    good = covered >= block.cover[item[first]]
+    order = np.lexsort((at, at - of, group))
+    g, item, at, of = group[order], item[order], at[order], of[order]
+    begins = np.flatnonzero(np.r_[True, (np.diff(g) > 0) | (np.diff(at - of) != 0) | (np.diff(at) != 1)])
+    n = np.diff(np.r_[begins, len(g)]) + block.seed[item[begins]] - 1
+    g, item, at, of = g[begins], item[begins], at[begins], of[begins]
+    good[g[n >= RUN_WORDS]] = True
+    some = np.flatnonzero(~good[g])
+    g, item, at, of, n = g[some], item[some], at[some], of[some], n[some]
+    rest, start, size = RUN_WORDS - n, block.start[item], block.size[item]
+    after, before = np.flatnonzero(of + n + rest <= size), np.flatnonzero(of >= rest)
+    for gap in range(1, REMARK_WORDS + 1):
+        for rows, there, mine in ((after, at + n + gap, of + n), (before, at - gap - rest, of - rest)):
+            hit = _follows(words, block.words, there[rows], (start + mine)[rows], rest[rows])
+            good[g[rows[hit]]] = True
+    return good
 
 
 def _windows(hits: np.ndarray, size: int, n: int) -> list[tuple[int, int]]:
@@ -174,44 +235,67 @@ def _windows(hits: np.ndarray, size: int, n: int) -> list[tuple[int, int]]:
     return [(max(0, int(a) - reach), min(n, int(b) + SEED_WORDS + reach)) for a, b in zip(begins, ends)]
 
 
+def is_leak(run: int, changed: int, added: int, item: Item) -> bool:
+    """RUN_WORDS consecutive words, or the whole item with few words changed or added."""
+    return run >= RUN_WORDS or changed + added <= item.changes
+
+
 LEAKS = "doc_id bigint, item_id bigint, score double, longest_run int, changed int, added int, item_words int"
 
 
-def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """LEAKS rows: the best alignment of each candidate pair."""
-    near = cut(candidates(docs, items))
-    texts = (
-        near.join(docs.select("doc_id", F.col("text").alias("doc_text")).distinct(), "doc_id")
-        .join(items.select("item_id", F.col("text").alias("item_text")).distinct(), "item_id")
-        .select("doc_id", "item_id", "doc_text", "item_text", F.col("hits.doc_pos").alias("at"), F.col("hits.item_pos").alias("of"))
+def find(block: Block, doc_ids: list, texts: list[str | None]) -> list[tuple]:
+    """LEAKS rows of some documents: the best alignment of each pair of document and item that is a leak."""
+    number, gap = block.number.get, [0] * PADDING
+    flat, begins, ends = list(gap), [], []
+    for t in texts:
+        begins.append(len(flat))
+        flat += [number(w, 0) for w in plain_words(t)]
+        ends.append(len(flat))
+        flat += gap
+    words = np.array(flat, dtype=np.int64)
+    hits = block.hits(words)
+    if not len(hits):
+        return []
+    doc = np.searchsorted(begins, hits[:, 1], side="right") - 1
+    order = np.lexsort((hits[:, 2], hits[:, 0], doc))
+    hits, doc = hits[order], doc[order]
+    group = np.r_[0, np.cumsum((np.diff(doc) != 0) | (np.diff(hits[:, 0]) != 0))]
+    cuts = np.searchsorted(group, np.arange(group[-1] + 2))
+    out = []
+    for k in np.flatnonzero(_promising(block, words, group, hits)):
+        lo, hi = cuts[k], cuts[k + 1]
+        d, item = doc[lo], block.items[hits[lo, 0]]
+        mine, at = words[begins[d] : ends[d]], hits[lo:hi, 1] - begins[d]
+        best = max(
+            (align(item.words, mine[a:b]) for a, b in _windows(at, len(item.words), len(mine))),
+            key=lambda x: (is_leak(*x[1:], item), x[0]),
+        )
+        if is_leak(*best[1:], item):
+            out.append((doc_ids[d], item.item_id, *best, len(item.words)))
+    return out
+
+
+def leaks(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """LEAKS rows of all documents that hold an item, or a part of one that counts."""
+    some = items.where("text <> '' AND item_id IS NOT NULL").select("item_id", "text").distinct()
+    size = some.agg(F.coalesce(F.sum(F.size(F.split(F.col("text"), r"\s+"))), F.lit(0))).first()[0]
+    n = max(1, -(-size // block_words))
+    texts = docs.where("text <> '' AND doc_id IS NOT NULL").select("doc_id", "text")
+    out = None
+    for k in range(n):
+        mine = some.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id", "text").collect()  # about block_words words
+        block = Block([(r.item_id, r.text) for r in mine])
+
+        def search(batches, block=block):
+            for pdf in batches:
+                for lo in range(0, len(pdf), 500):
+                    part = pdf.iloc[lo : lo + 500]
+                    rows = find(block, part["doc_id"].tolist(), part["text"].tolist())
+                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in LEAKS.split(", ")])
+
+        found = texts.mapInPandas(search, LEAKS)
+        out = found if out is None else out.unionByName(found)
+    best = F.max(F.struct("score", "longest_run", (-F.col("changed")).alias("c"), (-F.col("added")).alias("a"), "item_words")).alias("b")
+    return out.groupBy("doc_id", "item_id").agg(best).select(
+        "doc_id", "item_id", "b.score", "b.longest_run", (-F.col("b.c")).alias("changed"), (-F.col("b.a")).alias("added"), "b.item_words"
     )
-
-    def compare(batches):
-        doc_id = item_id = None
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                if r.doc_id != doc_id:
-                    doc_id, doc = r.doc_id, plain_words(r.doc_text).split()
-                if r.item_id != item_id:
-                    item_id, item = r.item_id, plain_words(r.item_text).split()
-                    number: dict[str, int] = {}
-                    a = np.array([number.setdefault(w, len(number)) for w in item])
-                at, of = np.asarray(r.at), np.asarray(r.of)
-                if not _promising(item, doc, at, of):
-                    continue
-                b = np.array([number.get(w, -1) for w in doc])
-                score, run, changed, added = max(
-                    (align(a, b[lo:hi]) for lo, hi in _windows(at, len(a), len(b))),
-                    key=lambda x: (x[1] >= RUN_WORDS or x[2] + x[3] <= CHANGED_SHARE * len(a), x[0]),
-                )
-                out.append((doc_id, item_id, score, run, changed, added, len(a)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in LEAKS.split(", ")])
-
-    return texts.mapInPandas(compare, LEAKS)
-
-
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The alignments that are leaks: RUN_WORDS consecutive words, or the whole item with few words changed or added."""
-    whole = F.col("changed") + F.col("added") <= F.floor(F.lit(CHANGED_SHARE) * F.col("item_words"))
-    return alignments(docs, items).where((F.col("longest_run") >= RUN_WORDS) | whole)
