@@ -211,16 +211,39 @@ def test_leaks(spark):
 def test_promising_loses_no_run():
     rng = random.Random(4)
     for _ in range(300):
-        item = [f"w{i}" for i in range(40)]
+        words = [f"w{i}" for i in range(40)]
         a = rng.randint(0, 28)
         cut = rng.randint(1, 11)
         gap = rng.randint(0, leakage.REMARK_WORDS)
-        doc = ["x"] * 20 + item[a : a + cut] + ["y"] * gap + item[a + cut : a + 12] + ["x"] * 20
-        seeds = [(j, i) for j in range(len(doc) - 4) for i in range(len(item) - 4) if doc[j : j + 5] == item[i : i + 5]]
-        at, of = np.array([s[0] for s in seeds]), np.array([s[1] for s in seeds])
-        assert leakage._promising(item, doc, at, of)
-        number = {x: k for k, x in enumerate(item)}
-        assert leakage.align(np.arange(40), np.array([number.get(x, -1) for x in doc]))[1] >= 12
+        doc = ["x"] * 3 + words[a : a + cut] + ["y"] * gap + words[a + cut : a + 12] + ["x"] * 3
+        found = leakage.find(leakage.Block([(1, " ".join(words))]), [5, 6, 7], ["q " * 3, " ".join(doc), None])
+        assert [r[:2] for r in found] == [(6, 1)] and found[0][3] >= 12
+        assert not leakage.find(leakage.Block([(1, " ".join(words))]), [6], [" ".join(w for w in doc if w != words[a])])
+
+
+def test_short_items_are_found_whatever_words_are_changed():
+    """Items of any length, with as many words changed or added as a leak may have."""
+    rng = random.Random(11)
+    for m in range(1, 70):
+        words = [f"w{i}" for i in range(m)]
+        block = leakage.Block([(m, " ".join(words))])
+        for _ in range(12):
+            doc = list(words)
+            for i in sorted(rng.sample(range(1, m - 1), min(block.items[0].changes, max(0, m - 2))), reverse=True) if m > 2 else []:
+                if rng.random() < 0.5:
+                    doc[i] = "z"
+                else:
+                    doc.insert(i, "z")
+            found = leakage.find(block, [7], [" ".join(["x"] * 30 + doc + ["x"] * 30)])
+            assert [r[:2] for r in found] == [(7, m)], (m, doc)
+
+
+def test_blocks_of_items_change_nothing(spark):
+    texts = [f"{' '.join(f'{c}{i}' for i in range(30))}" for c in "abcdefgh"]
+    docs = spark.createDataFrame([(k, f"x y {t[:60]} z {texts[(k + 1) % 8]}") for k, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    one, many = (sorted(map(tuple, leakage.leaks(docs, items, n).collect())) for n in (leakage.BLOCK_WORDS, 60))
+    assert one == many and len(one) == 16
 
 
 def test_alignment_counts():
@@ -260,6 +283,29 @@ def test_levels_held_out(spark):
     assert right >= 190 and got[5004] == 3 and not {5000, 5001, 5002, 5003} & set(got)
 
 
+OTHER = {
+    "da": "Jeg har en bil som er for stor til byen og jeg ved ikke hvad jeg skal gøre med den. Kan man parkere den ved stationen i weekenden eller er det bedre at tage toget? "
+    "Min kone siger at vi bør sælge den, men jeg tror at vi får brug for den når vi skal på ferie til sommer med børnene.",
+    "nl": "Ik heb een auto die te groot is voor de stad en ik weet niet wat ik ermee moet doen. Kan men in het weekend bij het station parkeren of is het beter om de trein te "
+    "nemen? Mijn vrouw zegt dat we hem moeten verkopen, maar ik denk dat we hem nodig hebben in de zomer.",
+    "sv": "Jag har en bil som är för stor för staden och jag vet inte vad jag ska göra med den. Kan man parkera den vid stationen i helgen eller är det bättre att ta tåget? "
+    "Min fru säger att vi borde sälja den men jag tror att vi behöver den i sommar.",
+}
+ENGLISH = (
+    "I have a car that is too large for the town and I do not know what I should do with it. May one park it at the station on weekends, or is it better to take the train? "
+    "My wife says that we should sell it, but I believe that we shall need it when we go on holiday in summer with the children."
+)
+
+
+def test_languages_that_no_list_names_are_told_from_english(spark):
+    docs, ratings = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "reading_label"))
+    grades = reading.learn(docs, ratings)
+    # with English words put in, so that the list of function words lets them pass
+    assert all(reading.has_english_words(reading.stretches(t + " the and is of it for a to" * 2)) for t in OTHER.values())
+    assert not [k for k, t in OTHER.items() if reading.is_english(reading.stretches(t + " the and is of it for a to" * 2), grades.spelling)]
+    assert reading.is_english(reading.stretches(ENGLISH), grades.spelling)
+
+
 def test_levels_without_ratings(spark):
     df = spark.createDataFrame([(1, "the cat is in the hat and it is fun " * 10)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, rater string, reading_level long")
@@ -326,10 +372,29 @@ def test_similar_nodes_equal_brute_force(spark):
     made = sorted(set(made))
     nodes = spark.createDataFrame([(i, "x", "", "", "", w) for i, w in enumerate(made)], "node long, block string, given string, letters string, middle string, rare string")
     got = {(r.a, r.b) for r in names.similar_nodes(nodes).collect()}
-    gram = [names.grams([w]) for w in made]
-    jac = lambda i, j: len(gram[i] & gram[j]) / len(gram[i] | gram[j])
     all_ = {(i, j) for i in range(len(made)) for j in range(i + 1, len(made)) if names.similarity([made[i]], [made[j]], [1.0], [1.0]) >= names.MIN_SIMILARITY}
-    assert got <= all_ and {p for p in all_ if jac(*p) >= names.JACCARD} <= got
+    assert got == all_
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("abrnm", min_size=4, max_size=13), st.lists(st.tuples(st.sampled_from("swap drop put near".split()), st.integers(0, 12), st.sampled_from("abrnm")), min_size=1, max_size=2), st.integers(0, 3))
+def test_prefixes_meet_whatever_the_order_of_grams(word, errors, order):
+    other = list(word)
+    for kind, at, letter in errors:
+        at = min(at, len(other) - 2)
+        if kind == "swap":
+            other[at], other[at + 1] = other[at + 1], other[at]
+        elif kind == "drop":
+            del other[at]
+        elif kind == "put":
+            other.insert(at, letter)
+        else:
+            other[at] = next((y for x, y in sorted(names.NEAR) if x == other[at]), other[at])
+    other = "".join(other)
+    counts = np.random.default_rng(order).integers(0, 5, names.GRAM_BUCKETS)
+    if word != other and names.similarity([word], [other], [1.0], [1.0]) >= names.MIN_SIMILARITY:
+        a, b = names.keys_of([word], counts), names.keys_of([other], counts)
+        assert {k for k, _, at in a if at < 0} & {k for k, _, at in b if at < 0} or any(k == m and abs(i - j) <= 2 for k, _, i in a for m, _, j in b)
 
 
 def test_similar_nodes_find_all_that_verification_accepts(spark):
