@@ -13,6 +13,7 @@ succeed do, and the others' errors are raised together.
 from __future__ import annotations
 
 import hashlib
+import json
 import logging
 import os
 import posixpath
@@ -37,6 +38,7 @@ from siltwork.functions.partition import encode_source, part_dir_of
 from siltwork.operators.strategies import holds_patches, only_incoming, quoted
 from siltwork.plans import compact
 from siltwork.schema import SchemaError, TableSchema, schema_of
+from siltwork.session import keep_until_end, remove, shared_dir
 from siltwork.sources import manifest as M
 from siltwork.sources.storage import HadoopStorage, LocalStorage, Object, Storage, make_dirs
 
@@ -55,7 +57,7 @@ class MergeError(RuntimeError):
 
 @dataclass(frozen=True)
 class Options:
-    """workers: partitions merged at once if they go one by one. shuffle_partitions: of merge jobs; None keeps the session's.
+    """workers: partitions published at once, and merged at once if they go one by one. shuffle_partitions: of merge jobs; None keeps the session's.
 
     memory_limit is checked, and advises the size of shuffle partitions: a worker's share
     of it over the threads. Bloom filters are left out if a file would be larger than bloom_max_file_bytes.
@@ -122,6 +124,11 @@ class Engine:
                 stack.enter_context(lock)
             yield
 
+    def each(self, do: Callable, items: Iterable) -> list:
+        """do(item) of all items, by as many threads as there are workers; the first error is raised when all are done."""
+        with ThreadPoolExecutor(self.options.workers) as pool:
+            return [f.result() for f in [pool.submit(do, i) for i in items]]
+
     @contextmanager
     def staging(self, kind: str):
         """A staging folder's path, removed at the end."""
@@ -183,18 +190,22 @@ class Table:
 
     def import_df(self, source: str, df: DataFrame, max_rows_per_file: int = ingest.MAX_ROWS_PER_FILE) -> list[str]:
         """The same for a DataFrame, written by the executors; the driver only moves files."""
-        rows = ingest.with_part_dir(self.schema, ingest.normalise(self.schema, df), PART_DIR)
-        fs, out = self.engine.fs, []
         with self.engine.staging("import") as path:
-            ingest.stage(self.schema, rows, PART_DIR, path, not self.engine.options.disable_bloom, max_rows_per_file)
-            staged = ingest.staged_files(fs, path)
-            where = self._directories(path) if staged else {}
-            for part, objects in sorted(staged.items()):
-                for o in objects:
-                    to = "/".join(p for p in (self.inc_dir, encode_source(source), where[part], f"{uuid.uuid4()}.parquet") if p)
-                    fs.upload(o.path, to)
-                    out.append(to)
-        return out
+            return self.move_in(self.stage_import(source, df, path, max_rows_per_file))
+
+    def stage_import(self, source: str, df: DataFrame, path: str, max_rows_per_file: int = ingest.MAX_ROWS_PER_FILE) -> dict[str, str]:
+        """Writes df's rows below path as pending files to be; {staged file: where it goes}. Nothing is pending yet."""
+        rows = ingest.with_part_dir(self.schema, ingest.normalise(self.schema, df), PART_DIR)
+        ingest.stage(self.schema, rows, PART_DIR, path, not self.engine.options.disable_bloom, max_rows_per_file)
+        staged = ingest.staged_files(self.engine.fs, path)
+        where = self._directories(path) if staged else {}
+        folder = f"{self.inc_dir}/{encode_source(source)}"
+        return {o.path: "/".join(p for p in (folder, where[part], f"{uuid.uuid4()}.parquet") if p) for part, objects in sorted(staged.items()) for o in objects}
+
+    def move_in(self, staged: dict[str, str]) -> list[str]:
+        """Makes staged files pending; their paths."""
+        self.engine.each(lambda f: self.engine.fs.upload(*f), staged.items())
+        return list(staged.values())
 
     def _directories(self, path: str) -> dict[str, str]:
         """Part ids of staged files with their directories, by the rule columns of one row each."""
@@ -301,8 +312,7 @@ class Table:
         """Recovers, merges and publishes partition directories, holding their locks."""
         st = self.engine.storage
         with self.engine.locked(self._full(d) for d in dirs):
-            for d in dirs:
-                M.recover(st, self._full(d), self._delete_input)
+            self.engine.each(lambda d: M.recover(st, self._full(d), self._delete_input), dirs)
             if incoming is None:  # recovery may have removed pending files that were consumed before
                 now = self.pending()
                 consumed = sizes = {d: now[d] for d in dirs if d in now}
@@ -310,45 +320,62 @@ class Table:
                 incoming = lambda chosen: self._pending_rows([o for d in chosen for o in consumed[d]])
             if not dirs:
                 return 0
-            active = {d: M.active_files(st, self._full(d)) for d in dirs}
-            old, new = [d for d in dirs if active[d]], [d for d in dirs if not active[d]]
-            with self.engine.staging("merge") as path, self._localised([f for d in old for f in active[d]]) as local:
-                merged = None
-                if new:
-                    merged = compact.plan(self.schema, incoming(new), None, [PART_DIR])
-                if old:
-                    both = compact.plan(self.schema, incoming(old), self._main_rows(local), [PART_DIR])
-                    merged = merged.unionByName(both) if merged is not None else both
-                staged = self._write(merged, path, sizes, active)
-                failed: list[Exception] = []
-                for d in dirs:
-                    names = []
-                    for o in staged.get(_part_id(d), []):
-                        name = f"files/merged_{int(time.time() * 1000)}_{uuid.uuid4().hex[:8]}.parquet"
-                        st.upload(o.path, f"{self._full(d)}/{name}")
-                        names.append(name)
-                    used = [posixpath.relpath(o.path, self.engine.root) if "://" not in o.path else o.path for o in consumed.get(d, [])]
-                    try:
-                        M.commit(st, self._full(d), names, used, self._delete_input)
-                    except M.CommittedWithCleanupError as e:
-                        failed.append(e)
-                    self.engine.log.info("merged %s/%s: %d files", self.schema.name, d, len(names))
-                if failed:
-                    raise failed[0]
+            for some, bloom in self._by_bloom(dirs, sizes):
+                self._publish(some, bloom, incoming, consumed)
         return len(dirs)
 
-    def _write(self, merged: DataFrame, path: str, sizes: dict[str, list[Object]], active: dict[str, list[str]]) -> dict[str, list]:
+    def _by_bloom(self, dirs: list[str], sizes: dict[str, list[Object]]) -> list[tuple[list[str], bool]]:
+        """Directories with whether their files get Bloom filters: those without whose files might be too large."""
+        opt = self.engine.options
+        if opt.disable_bloom or not self.schema.bloom_columns:
+            return [(dirs, False)]
+        files = dict(zip(dirs, self.engine.each(lambda d: {o.path: o.size for o in self.engine.storage.list(self._full(d))}, dirs)))
+        large = set()
+        for d in dirs:
+            active = M.active_files(self.engine.storage, self._full(d))
+            most = sum(o.size for o in sizes.get(d, [])) + sum(files[d].get(f, 0) for f in active)
+            if max(1, most) > opt.bloom_max_file_bytes or (not most and opt.bloom_max_file_bytes <= 1):
+                large.add(d)
+        return [(some, bloom) for some, bloom in (([d for d in dirs if d not in large], True), (sorted(large), False)) if some]
+
+    def _publish(self, dirs: list[str], bloom: bool, incoming: Callable[[list[str]], DataFrame], consumed: dict[str, list[Object]]) -> None:
+        """Merges directories by one job, and commits each of them."""
+        st = self.engine.storage
+        active = dict(zip(dirs, self.engine.each(lambda d: M.active(st, self._full(d)), dirs)))
+        old, new = [d for d in dirs if active[d][0]], [d for d in dirs if not active[d][0]]
+        with self.engine.staging("merge") as path, self._localised([f for d in old for f in active[d][0]]) as local:
+            merged = None
+            if new:
+                merged = compact.plan(self.schema, incoming(new), None, [PART_DIR])
+            if old:
+                both = compact.plan(self.schema, incoming(old), self._main_rows(local, {active[d][1] for d in old}), [PART_DIR])
+                merged = merged.unionByName(both) if merged is not None else both
+            staged = self._write(merged, path, bloom)
+            columns = merged.drop(PART_DIR).schema.json()
+            failed: list[Exception] = []
+
+            def one(d: str) -> None:
+                names = []
+                for o in staged.get(_part_id(d), []):
+                    names.append(f"files/merged_{int(time.time() * 1000)}_{uuid.uuid4().hex[:8]}.parquet")
+                    st.upload(o.path, f"{self._full(d)}/{names[-1]}")
+                used = [posixpath.relpath(o.path, self.engine.root) if "://" not in o.path else o.path for o in consumed.get(d, [])]
+                try:
+                    M.commit(st, self._full(d), names, used, self._delete_input, columns=columns)
+                except M.CommittedWithCleanupError as e:
+                    failed.append(e)
+                self.engine.log.info("merged %s/%s: %d files", self.schema.name, d, len(names))
+
+            self.engine.each(one, dirs)
+            if failed:
+                raise failed[0]
+
+    def _write(self, merged: DataFrame, path: str, bloom: bool) -> dict[str, list]:
         """Stages the merged rows and checks that the files hold as many as were written."""
-        spark, opt = self.engine.spark, self.engine.options
-        bloom = not opt.disable_bloom and bool(self.schema.bloom_columns)
-        if bloom:
-            known = {o.path: o.size for d in active if active[d] for o in self.engine.storage.list(self._full(d))}
-            largest = max((sum(o.size for o in sizes.get(d, [])) + sum(known.get(f, 0) for f in active[d]) for d in active), default=0)
-            bloom = max(1, largest) <= opt.bloom_max_file_bytes if largest else opt.bloom_max_file_bytes > 1
         seen = Observation()
         ingest.stage(self.schema, merged.observe(seen, F.count(F.lit(1)).alias("n")), PART_DIR, path, bloom)
         staged = ingest.staged_files(self.engine.fs, path)
-        wrote = spark.read.parquet(*[_escaped(o.path) for part in staged.values() for o in part]).count() if staged else 0
+        wrote = self.engine.spark.read.parquet(*[_escaped(o.path) for part in staged.values() for o in part]).count() if staged else 0
         expected = seen.get["n"]
         if wrote != expected:
             raise RuntimeError(f"staged files hold {wrote} rows, {expected} were written")
@@ -356,16 +383,20 @@ class Table:
 
     # --- reading -----------------------------------------------------------------------
 
-    def _scan(self, paths: list[str], st: Storage) -> DataFrame:
+    def _scan(self, paths: list[str], st: Storage, columns: Iterable[str] = ()) -> DataFrame:
         """The declared columns that the files have, in their declared types, over explicit files.
 
-        Explicit files add no columns from directory names. A column whose stored type
-        differs, such as sums that were stored as doubles, is cast.
+        columns: the schemas that the files' manifests give; footers are read only where one
+        is missing or they differ. Explicit files add no columns from directory names. A
+        column whose stored type differs, such as sums that were stored as doubles, is cast.
         """
         spark = self.engine.spark
         if not paths:
             return spark.createDataFrame([], self.schema.struct())
         uris = [_escaped(st.uri(p) or p) for p in paths]
+        known = set(columns)
+        if len(known) == 1 and "" not in known:
+            return self._read(uris, T.StructType.fromJson(json.loads(known.pop())))
         try:
             stored = spark.read.option("mergeSchema", "true").parquet(*uris).schema
         except (AnalysisException, PySparkException) as e:
@@ -404,38 +435,52 @@ class Table:
         pattern = f"/inc/{re.escape(self.schema.name)}/[^/]+/(.*)/[^/]+$"
         return self._with_dir(self._scan([o.path for o in objects], self.engine.fs), pattern)
 
-    def _main_rows(self, files: dict[str, str]) -> DataFrame:
+    def _main_rows(self, files: dict[str, str], columns: Iterable[str]) -> DataFrame:
         """Rows of active files, given as {stored path: readable path}."""
         names = re.escape(self.schema.name)
-        return self._with_dir(self._scan(list(files.values()), self.engine.fs), f"/main/{names}/(.*?)(?:/files)?/[^/]+$")
+        return self._with_dir(self._scan(list(files.values()), self.engine.fs, columns), f"/main/{names}/(.*?)(?:/files)?/[^/]+$")
 
     @contextmanager
     def _localised(self, paths: list[str]):
-        """{stored path: readable path}; files of a store that Spark can't read are downloaded."""
-        st = self.engine.storage
-        if not paths or st.uri(paths[0]) is not None:
-            yield {p: st.uri(p) for p in paths}
+        """{stored path: readable path}; files of a store that Spark can't read are there until the end of the block."""
+        if not paths or self.engine.storage.uri(paths[0]) is not None:
+            yield {p: self.engine.storage.uri(p) for p in paths}
             return
-        folder = tempfile.mkdtemp(prefix="silt_fetch_")
+        folder = self._fetch_dir()
         try:
-            out = {}
-            for p in paths:
-                local = f"{folder}/main/{self.schema.name}/{posixpath.relpath(p, self.main_dir)}"
-                os.makedirs(os.path.dirname(local), exist_ok=True)
-                st.download(p, local)
-                out[p] = local
-            yield out
+            yield self._fetched(paths, folder)
         finally:
-            shutil.rmtree(folder, ignore_errors=True)
+            remove(self.engine.spark, folder)
+
+    def _fetch_dir(self) -> str:
+        return f"{shared_dir(self.engine.spark)}/fetch-{uuid.uuid4().hex}"
+
+    def _fetched(self, paths: list[str], folder: str) -> dict[str, str]:
+        """Copies of stored files in the folder that all executors share, each by way of one temporary file here."""
+        st, shared = self.engine.storage, HadoopStorage(self.engine.spark)
+
+        def one(p: str) -> tuple[str, str]:
+            to = f"{folder}/main/{self.schema.name}/{posixpath.relpath(p, self.main_dir)}"
+            fd, tmp = tempfile.mkstemp(suffix=".parquet")
+            os.close(fd)
+            try:
+                st.download(p, tmp)
+                shared.copy_in(tmp, to)
+            finally:
+                os.unlink(tmp)
+            return p, to
+
+        return dict(self.engine.each(one, paths))
+
+    def _manifests(self) -> dict[str, tuple[list[str], str]]:
+        """Active files and their columns by partition directory."""
+        found = [posixpath.dirname(o.path) for o in self.engine.storage.list(self.main_dir) if o.path.endswith("/" + M.MANIFEST)]
+        held = self.engine.each(lambda d: M.active(self.engine.storage, d), found)
+        return dict(sorted(("" if d == self.main_dir else posixpath.relpath(d, self.main_dir), m) for d, m in zip(found, held)))
 
     def active(self) -> dict[str, list[str]]:
         """Active files by partition directory."""
-        out = {}
-        for o in self.engine.storage.list(self.main_dir):
-            if o.path.endswith("/" + M.MANIFEST):
-                d = posixpath.dirname(o.path)
-                out["" if d == self.main_dir else posixpath.relpath(d, self.main_dir)] = M.active_files(self.engine.storage, d)
-        return dict(sorted(out.items()))
+        return {d: files for d, (files, _) in self._manifests().items()}
 
     def read(self, dedup: bool = False) -> DataFrame:
         """The merged rows as of now, in the declared columns.
@@ -444,7 +489,7 @@ class Table:
         different partitions to one row, by the strategies' aggregates; only tables whose
         partitions don't derive from the key can have such.
         """
-        rows = self._full_rows([f for fs in self.active().values() for f in fs])
+        rows = self._full_rows(self._manifests())
         if not dedup:
             return rows
         grouped = compact.preaggregate(self.schema, rows)
@@ -452,26 +497,28 @@ class Table:
             *[(only_incoming(f, F.col(quoted(f.column))) if holds_patches(f) else F.col(quoted(f.column))).alias(f.column) for f in self.schema.fields]
         )
 
-    def _full_rows(self, files: list[str]) -> DataFrame:
+    def _full_rows(self, held: dict[str, tuple[list[str], str]]) -> DataFrame:
+        files = [f for fs, _ in held.values() for f in fs]
+        columns = {c for fs, c in held.values() if fs}
         if files and self.engine.storage.uri(files[0]) is None:
-            with self._localised(files) as local:
-                rows = self._scan(list(local.values()), self.engine.fs).drop("__silt_file").collect()
-                have = self._scan(list(local.values()), self.engine.fs).drop("__silt_file").schema
-            df = self.engine.spark.createDataFrame(rows, have)
+            folder = self._fetch_dir()
+            keep_until_end(self.engine.spark, folder)
+            df = self._scan(list(self._fetched(files, folder).values()), self.engine.fs, columns)
         else:
-            df = self._scan(files, self.engine.storage).drop("__silt_file")
+            df = self._scan(files, self.engine.storage, columns)
         return df.select(*[(F.col(quoted(f.column)) if f.column in df.columns else F.lit(None).cast(f.spark_type)).alias(f.column) for f in self.schema.fields])
 
     def lookup(self, **key) -> DataFrame:
-        """The rows with the key's values; only its partition is read where the key determines it."""
+        """The rows with the key's values. Where the key determines the partition, only its manifest and files are read."""
         missing = [c for c in self.schema.pk if c not in key]
         if missing:
             raise ValueError(f"no value for {', '.join(missing)}")
-        files = self.active()
         if {r.column for r in self.schema.rules} <= set(self.schema.pk):
             d = part_dir_of(self.schema, key)
-            files = {d: files.get(d, [])}
-        out = self._full_rows([f for fs in files.values() for f in fs])
+            held = {d: M.active(self.engine.storage, self._full(d))}
+        else:
+            held = self._manifests()
+        out = self._full_rows(held)
         for c in self.schema.pk:
             out = out.where(F.col(quoted(c)) == F.lit(key[c]))
         return out
@@ -482,8 +529,7 @@ class Table:
         """Finishes interrupted commits of every partition, with pending files or without; how many there are."""
         dirs = list(self.active())
         with self.engine.locked(self._full(d) for d in dirs):
-            for d in dirs:
-                M.recover(self.engine.storage, self._full(d), self._delete_input)
+            self.engine.each(lambda d: M.recover(self.engine.storage, self._full(d), self._delete_input), dirs)
         return len(dirs)
 
     def vacuum(self) -> None:

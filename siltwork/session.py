@@ -72,6 +72,11 @@ def release(*frames: DataFrame | None) -> None:
         _written.remove((spark, path))
 
 
+def keep_until_end(spark: SparkSession, path: str) -> None:
+    """Has a folder deleted when the driver ends: frames read from it may be used until then."""
+    _written.append((spark, path))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of any file system, with all in it; a missing one is no error."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

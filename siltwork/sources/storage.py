@@ -7,12 +7,14 @@ engine names them, under its root; ``KeyMap`` maps them to keys of an object sto
 
 from __future__ import annotations
 
+import errno
 import json
 import os
 import posixpath
 import shutil
 import tempfile
 import threading
+from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 from typing import Protocol
@@ -62,6 +64,15 @@ def sync_dir(path: str) -> None:
         os.close(fd)
 
 
+def _tried(write: Callable[[], None]) -> None:
+    for left in reversed(range(TRIES)):
+        try:
+            return write()
+        except FileNotFoundError:
+            if not left:
+                raise
+
+
 def make_dirs(path: str) -> None:
     """Makes a folder and its parents, and makes their entries durable, topmost first."""
     missing = []
@@ -73,8 +84,14 @@ def make_dirs(path: str) -> None:
         sync_dir(os.path.dirname(p))
 
 
+TRIES = 3
+
+
 class LocalStorage:
-    """A folder of this machine or a shared mount."""
+    """A folder of this machine or a shared mount.
+
+    Writes are tried again if a cleaner takes an empty folder away between its making and its use.
+    """
 
     def list(self, prefix: str) -> list[Object]:
         out = []
@@ -96,6 +113,9 @@ class LocalStorage:
             raise NotFound(path) from e
 
     def write_json(self, path: str, value: dict) -> None:
+        _tried(lambda: self._write_json(path, value))
+
+    def _write_json(self, path: str, value: dict) -> None:
         folder = os.path.dirname(path)
         make_dirs(folder)
         fd, tmp = tempfile.mkstemp(prefix="." + os.path.basename(path), suffix=".tmp", dir=folder)
@@ -111,12 +131,17 @@ class LocalStorage:
         sync_dir(folder)
 
     def upload(self, local: str, path: str) -> None:
-        make_dirs(os.path.dirname(path))
         with open(local, "rb") as f:
             os.fsync(f.fileno())
+        _tried(lambda: self._move(local, path))
+
+    def _move(self, local: str, path: str) -> None:
+        make_dirs(os.path.dirname(path))
         try:
             os.replace(local, path)
-        except OSError:  # another file system
+        except OSError as e:
+            if e.errno != errno.EXDEV:
+                raise
             tmp = f"{path}.tmp"
             shutil.copyfile(local, tmp)
             os.replace(tmp, path)
@@ -242,6 +267,12 @@ class HadoopStorage:
         else:
             fs.copyFromLocalFile(True, True, source, where)
 
+    def copy_in(self, local: str, path: str) -> None:
+        """Copies a file of this machine to path."""
+        where, fs = self._at(path)
+        fs.mkdirs(where.getParent())
+        fs.copyFromLocalFile(False, True, self.spark._jvm.org.apache.hadoop.fs.Path(f"file://{os.path.abspath(local)}"), where)
+
     def download(self, path: str, local: str) -> None:
         where, fs = self._at(path)
         if not fs.exists(where):

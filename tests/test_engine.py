@@ -13,6 +13,7 @@ from siltwork.engine import Engine, MergeError, Options
 from siltwork.ingest import ImportOptions
 from siltwork.schema import table_schema
 from siltwork.sources import manifest as M
+from siltwork.sources import storage
 from siltwork.sources.storage import BucketStorage, HadoopStorage, KeyMap, LocalStorage, MemoryStorage, NotFound
 
 TOTAL = table_schema("area_row", {"id": (str, "pk"), "area": (str, "partition:area"), "total": (int, "sum")})
@@ -155,6 +156,71 @@ def test_bloom_options(spark, root, options, expected):
     assert bool(offset[0]) == expected and offset[1] == "ZSTD"
 
 
+def test_bloom_cap_counts_by_partition(spark, root):
+    """A partition whose files might be too large goes without filters; the others keep theirs."""
+    t = Engine(spark, root, options=Options(bloom_max_file_bytes=500_000)).register(table_schema("t", {"id": (str, "pk; bloom; partition:p=[0:1]"), "name": str}))
+    df = spark.range(20000).selectExpr("concat('a', sha2(cast(id as string), 256)) AS id", "sha2(cast(-id as string), 256) AS name")
+    t.import_df("s", df.union(spark.createDataFrame([("b1", "x"), ("c1", "y")], "id string, name string")))
+    assert t.merge() == 3
+    held = {d: duckdb.sql(f"SELECT bloom_filter_offset FROM parquet_metadata('{f[0]}') WHERE path_in_schema = 'id'").fetchall()[0][0] for d, f in t.active().items()}
+    assert held["p=a"] is None and held["p=b"] and held["p=c"]
+    assert t.read().count() == 20002
+
+
+def test_lookup_reads_one_manifest(spark, root):
+    st = MemoryStorage()
+    t = Engine(spark, root, storage=st).register(PARTS)
+    t.import_records("a", [{"id": f"{c}{c}{i}", "name": c} for c in "abcdefgh" for i in range(3)])
+    assert t.merge() > 8
+    st.calls.clear()
+    assert t.lookup(id="cc1").first().name == "c"
+    assert st.calls == {"read_json": 1, "download": 1}
+    st.calls.clear()
+    assert t.lookup(id="zz").count() == 0 and st.calls == {"read_json": 1, "list": 1}
+
+
+def test_manifests_know_the_columns(spark, root, monkeypatch):
+    t = Engine(spark, root).register(PARTS)
+    t.import_records("a", [{"id": f"{c}{c}", "name": c} for c in "abcd"])
+    t.merge()
+    assert {M.load(LocalStorage(), f"{t.main_dir}/{d}").columns for d in t.active()} != {""}
+    kept = {Path(f): Path(f).read_bytes() for fs in t.active().values() for f in fs}
+    for f, held in kept.items():
+        f.write_bytes(bytes(len(held)))  # footers can't be read, yet the frame is made
+    df = t.read()
+    assert df.columns == t.schema.columns
+    for f, held in kept.items():
+        f.write_bytes(held)
+    assert sorted(r.name for r in df.collect()) == list("abcd")
+    # files of another shape, whose manifest says nothing: footers decide
+    d = next(iter(t.active()))
+    old = M.load(LocalStorage(), f"{t.main_dir}/{d}")
+    LocalStorage().write_json(f"{t.main_dir}/{d}/{M.MANIFEST}", M.Manifest(old.version, old.active_files, old.last_commit).to_dict())
+    assert sorted(r.name for r in t.read().collect()) == list("abcd")
+
+
+@pytest.mark.parametrize("times, works", [(2, True), (3, False)])
+def test_folders_that_a_cleaner_takes_away(tmp_path, monkeypatch, times, works):
+    real, left = storage.make_dirs, [times]
+
+    def make_dirs(path):
+        real(path)
+        if left[0]:
+            left[0] -= 1
+            os.rmdir(path)
+
+    monkeypatch.setattr(storage, "make_dirs", make_dirs)
+    (tmp_path / "up").write_text("hello")
+    for write in (lambda: LocalStorage().write_json(f"{tmp_path}/a/x.json", {"v": 1}), lambda: LocalStorage().upload(f"{tmp_path}/up", f"{tmp_path}/b/f")):
+        left[0] = times
+        if works:
+            write()
+        else:
+            with pytest.raises(FileNotFoundError):
+                write()
+    assert not works or ((tmp_path / "b/f").read_text() == "hello" and LocalStorage().read_json(f"{tmp_path}/a/x.json") == {"v": 1})
+
+
 def test_odd_values_make_one_level_each(spark, root):
     t = Engine(spark, root).register(TOTAL)
     areas = ["../../../../escape", "hua/dong", "back\\slash", "pct%20", "华东", "", "a[b]*{c}?"]
@@ -305,6 +371,7 @@ def test_memory_storage_as_remote(spark, root):
     assert {r.id: r.name for r in t.read().collect()} == {"aa1": "z", "bb1": "y"}
     assert st.calls["upload"] == 3 and st.calls["download"] >= 1
     assert not [f for f in Path(root, "main").rglob("*.parquet")]
+    assert all("/fetch-" in f for f in t.read().inputFiles())  # read by executors, not by way of the driver's memory
 
 
 @pytest.mark.parametrize("make", [lambda spark: LocalStorage(), HadoopStorage])
