@@ -1,8 +1,9 @@
 """Per-key results where a few keys hold most rows: two-stage salted aggregation.
 
-1. Heavy keys are those with at least ``heavy_share`` of all rows, so there are at most
-   ``1 / heavy_share`` of them, whatever the data: that is the bound of what is
-   broadcast. They are counted exactly, with a map-side combine.
+1. Heavy keys are those with at least ``share`` of all rows. A sketch of bounded size finds
+   their hashes in one pass over the key, without a shuffle of keys: none is missed, a few
+   lighter ones may be among them, and at most ``1 / share`` numbers come to the driver.
+   They decide which rows are salted, and nothing else: results are exact in any case.
 2. Rows of heavy keys get a salt; rows of all other keys get salt 0. Partial results are
    computed by (key, salt), and then merged by the key.
 
@@ -16,6 +17,7 @@ columns may have any names: those used inside give way.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 SALT = "__silt_salt"
 HEAVY_SHARE = 0.005
+TRACKED = 8  # keys the sketch follows for each heavy one there can be
 SALTS = 64
 
 
@@ -85,21 +88,20 @@ def fresh(df: DataFrame, *bases: str) -> list[str]:
     return out
 
 
-def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame:
-    """(key, n) of the keys with at least ``share`` of all rows: 1 / share rows at most."""
-    counts = df.groupBy(F.col(f"`{key}`").alias("__silt_key")).agg(F.count(F.lit(1)).alias("__silt_n"))
-    rows = df.agg(F.count(F.lit(1)).alias("__silt_total")).scalar()  # reads no column
-    return counts.where(F.col("__silt_n") >= F.ceil(rows * F.lit(float(share))))
+def heavy_hashes(df: DataFrame, keys: list[Column], share: float = HEAVY_SHARE) -> list[int]:
+    """xxhash64 of the keys that hold at least ``share`` of all rows, and of some that nearly do; at most 1 / share + 1."""
+    most = math.ceil(1 / share) + 1
+    sketch = F.expr(f"approx_top_k(__silt_h, {most}, {TRACKED * most})")
+    top, rows = df.select(F.xxhash64(*keys).alias("__silt_h")).agg(sketch.alias("top"), F.count(F.lit(1)).alias("n")).first()
+    return [t[0] for t in top or [] if t[1] >= share * rows]
 
 
 def with_salt(df: DataFrame, key: str, salts: int = SALTS, share: float = HEAVY_SHARE, name: str = SALT) -> DataFrame:
     """df with a salt column: 0 for light keys, 0 <= salt < salts for heavy ones."""
-    held, flag = fresh(df, "key", "heavy")
-    heavy = heavy_keys(df, key, share).select(F.col("__silt_key").alias(held), F.lit(True).alias(flag))
+    heavy = heavy_hashes(df, [F.col(f"`{key}`")], share)
     row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and kind != "variant"])
-    salted = df.join(F.broadcast(heavy), F.col(f"`{key}`").eqNullSafe(F.col(held)), "left")
-    salt = F.when(F.col(flag), F.pmod(row, F.lit(salts))).otherwise(F.lit(0).cast("bigint"))
-    return salted.withColumn(name, salt).drop(held, flag)
+    salt = F.when(F.xxhash64(F.col(f"`{key}`")).isin(heavy), F.pmod(row, F.lit(salts))).otherwise(F.lit(0).cast("bigint"))
+    return df.withColumn(name, salt)
 
 
 def salted_aggregate(

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltwork.functions import jsonpatch
-from siltwork.operators.salted import fresh, heavy_keys
+from siltwork.operators.salted import fresh, heavy_hashes
 from siltwork.operators.strategies import aggregate, combine, holds_patches, only_incoming, quoted, union_lists
 from siltwork.schema import TableSchema
 
@@ -52,26 +52,18 @@ def preaggregate(schema: TableSchema, incoming: DataFrame, scope: Sequence[str]
         rows = rows.select(*[F.col(quoted(k)) for k in _keys(schema, scope)], *[F.col(quoted(f.column)) for f in fields])
     keys = [F.col(quoted(k)) for k in _keys(schema, scope)]
     gathers = any(f.type == "list" or holds_patches(f) for f in fields)
-    if skew == "auto":
-        skew = gathers and not _heavy(rows, _keys(schema, scope)).isEmpty()
-    if not skew:
+    heavy = heavy_hashes(rows, keys, HEAVY_SHARE) if skew is True or (skew == "auto" and gathers) else []
+    if not (heavy or skew is True):
         return rows.groupBy(*keys).agg(*[aggregate(f).alias(f.column) for f in fields]) if fields else rows.select(*keys).distinct()
-    return _in_two_stages(schema, rows, scope, fields)
+    return _in_two_stages(schema, rows, scope, fields, heavy)
 
 
-def _heavy(rows: DataFrame, keys: list[str]) -> DataFrame:
-    one = F.xxhash64(*[F.col(quoted(k)) for k in keys])
-    return heavy_keys(rows.select(one.alias("__silt_k")), "__silt_k", HEAVY_SHARE)
-
-
-def _in_two_stages(schema: TableSchema, rows: DataFrame, scope: Sequence[str], fields: list) -> DataFrame:
+def _in_two_stages(schema: TableSchema, rows: DataFrame, scope: Sequence[str], fields: list, heavy: list[int]) -> DataFrame:
     names = _keys(schema, scope)
     keys = [F.col(quoted(k)) for k in names]
-    key, held, flag, salt = fresh(rows, "k", "key", "heavy", "salt")
-    heavy = _heavy(rows, names).select(F.col("__silt_key").alias(held), F.lit(True).alias(flag))
-    hashed = rows.withColumn(key, F.xxhash64(*keys)).join(F.broadcast(heavy), F.col(key) == F.col(held), "left")
+    (salt,) = fresh(rows, "salt")
     row = F.xxhash64(*[F.col(quoted(c)) for c in rows.columns])
-    salted = hashed.withColumn(salt, F.when(F.col(flag), F.pmod(row, F.lit(SALTS))).otherwise(0))
+    salted = rows.withColumn(salt, F.when(F.xxhash64(*keys).isin(heavy), F.pmod(row, F.lit(SALTS))).otherwise(0))
     split = [f for f in fields if not f.agg_expr and not holds_patches(f)]
     staged = salted.groupBy(*keys, salt).agg(F.lit(0).alias("__silt_any"), *[aggregate(f).alias(f.column) for f in split])
     again = [(union_lists(F.collect_list(quoted(f.column))) if f.strategy == "list_union" else aggregate(f)).alias(f.column) for f in split]
