@@ -7,11 +7,13 @@ Planning is SQL only and reads listings, never data:
 2. ``plan_groups``: the frozen listing in a fixed order, a running sum of bytes, and one
    output group for each interval of the target size.
 3. ``rewrite``: the records of the planned files are written group by group, and rows in
-   and out are reconciled by group; an unequal count raises before anything is published.
+   and out are counted by group.
+4. ``publish``: each partition's manifest takes the new files in place of those they were
+   written from. Groups whose counts differ raise before any partition is published.
 
-A partition's running sum is taken in two levels, within blocks of about ``BLOCK_FILES``
-files and then over the blocks' totals, so that a partition which holds a third of all
-files isn't sorted in one task.
+The running sum is taken in two levels, within ranges of about ``BLOCK_FILES`` files in
+path order and then over the ranges' totals, so that a partition which holds a third of
+all files isn't sorted in one task, and groups follow the path order at every size.
 
 Null or empty paths are no files. Repeated or differently spelled manifest entries count
 once. A manifest entry that is gone from the listing is no file. Null sizes count as 0
@@ -21,9 +23,21 @@ have any name.
 
 from __future__ import annotations
 
+import posixpath
+import re
+import time
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from itertools import groupby, islice
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltwork.session import cut
+from siltwork.sources import manifest
+from siltwork.sources.storage import Storage
+
 TARGET_BYTES = 128 * 1024 * 1024
 SMALL_BYTES = 1_048_576
 BLOCK_FILES = 10_000
@@ -95,20 +109,20 @@ def plan_groups(
     """(part_dir, file_path, size_bytes, n_rows, group_no) of the files worth rewriting.
 
     Those are live files below small_bytes in partitions with at least two of them.
-    group_no counts intervals of target_bytes in the running sum, from 0 in a partition.
+    group_no counts intervals of target_bytes in the running sum over the partition's paths,
+    from 0. The ranges are written down once: sampling them again could deal files otherwise.
     """
-    small = live.where(F.col("size_bytes") < small_bytes)
-    stats = small.groupBy("part_dir").agg(F.count(F.lit(1)).alias("n_small"))
-    sized = small.join(stats.where("n_small >= 2"), "part_dir").withColumn(
-        "block", F.pmod(F.xxhash64("file_path"), F.greatest(F.lit(1), F.ceil(F.col("n_small") / block_files)))
-    )
+    small = live.where(F.col("size_bytes") < small_bytes).select("part_dir", "file_path", "size_bytes", "n_rows")
+    ranges = max(1, -(-small.count() // block_files))
+    ranged = cut(small.repartitionByRange(ranges, "part_dir", "file_path").withColumn("block", F.spark_partition_id()))
     in_block = Window.partitionBy("part_dir", "block").orderBy("file_path").rowsBetween(Window.unboundedPreceding, 0)
-    running = sized.withColumn("upto", F.sum("size_bytes").over(in_block))
-    sums = sized.groupBy("part_dir", "block").agg(F.sum("size_bytes").alias("block_bytes"))
-    before = Window.partitionBy("part_dir").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("part_dir", "block", F.coalesce(F.sum("block_bytes").over(before), F.lit(0)).alias("ahead"))
+    running = ranged.withColumn("upto", F.sum("size_bytes").over(in_block))
+    sums = ranged.groupBy("part_dir", "block").agg(F.sum("size_bytes").alias("bytes"), F.count(F.lit(1)).alias("files"))
+    part = Window.partitionBy("part_dir")
+    before = part.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("part_dir", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("ahead"), F.sum("files").over(part).alias("n_small"))
     start = F.col("ahead") + F.col("upto") - F.col("size_bytes")
-    return running.join(offsets, ["part_dir", "block"]).select(
+    return running.join(offsets.where("n_small >= 2"), ["part_dir", "block"]).select(
         "part_dir", "file_path", "size_bytes", "n_rows", F.floor(start / target_bytes).cast("bigint").alias("group_no")
     )
 
@@ -124,7 +138,7 @@ def rewrite(rows: DataFrame, plan: DataFrame, out_dir: str) -> DataFrame:
     Each group is one file, __part_dir=<escaped part_dir>/__group_no=<n>/<file>: the exchange
     brings a group to one task, which begins a new file for each of its groups, however many
     it has. Counts are taken from the stored rows before, and from the written files after;
-    the caller publishes only if they agree, see ``reconciled``.
+    ``publish`` and ``checked`` raise if they differ.
     """
     spark = rows.sparkSession
     keys = ["part_dir", "group_no"]
@@ -141,3 +155,46 @@ def rewrite(rows: DataFrame, plan: DataFrame, out_dir: str) -> DataFrame:
 def reconciled(report: DataFrame) -> bool:
     """Whether every group's rows came out as often as they went in."""
     return report.where("rows_in <> rows_out").isEmpty()
+
+
+def checked(report: DataFrame) -> DataFrame:
+    """The report of a rewrite, if it lost or doubled nothing; else an error."""
+    if not reconciled(report):
+        raise ValueError("consolidation: rows written differ from rows read")
+    return report
+
+
+def publish(storage: Storage, root: str, plan: DataFrame, report: DataFrame, out_dir: str, workers: int = 10) -> int:
+    """Puts the groups written to out_dir in place of the planned files; the number of partitions published.
+
+    root is where file paths and part_dirs begin. Each partition has one commit: its
+    manifest lists the new files and those active ones that weren't planned, and its commit
+    record the inc files that were. A partition that isn't reached stays as it was. The plan
+    comes to the driver partition by partition, as paths.
+    """
+    checked(report)
+    written: dict[str, list[str]] = {}
+    for o in storage.list(out_dir):
+        found = re.search(r"/__part_dir=([^/]+)/__group_no=(\d+)/[^/]+\.parquet$", o.path)
+        if found:
+            written.setdefault(unquote(found[1]), []).append(o.path)
+
+    def one(part: tuple[str, set[str]]) -> int:
+        directory, planned = part
+        main = f"{root}/{directory}"
+        active = [posixpath.relpath(p, main) for p in manifest.active_files(storage, main)]
+        kept = [a for a in active if posixpath.normpath(f"{directory}/{a}") not in planned]
+        new = []
+        for o in sorted(written[directory]):
+            new.append(f"files/merged_{int(time.time() * 1000)}_{uuid.uuid4().hex[:8]}.parquet")
+            storage.upload(o, f"{main}/{new[-1]}")
+        manifest.commit(storage, main, kept + new, sorted(p for p in planned if "/inc/" in f"/{p}"), lambda p: storage.delete(f"{root}/{p}"))
+        return 1
+
+    rows = plan.select("part_dir", "file_path").orderBy("part_dir").toLocalIterator()
+    parts = ((d, {r.file_path for r in files}) for d, files in groupby(rows, key=lambda r: r.part_dir))
+    done = 0
+    with ThreadPoolExecutor(workers) as pool:
+        while some := list(islice(parts, 10 * workers)):
+            done += sum(pool.map(one, some))
+    return done

@@ -1,11 +1,18 @@
+import os
+import posixpath
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from siltwork.operators import consolidate as C
 from siltwork.operators import salted as S
 from siltwork.queries import pipeline
+from siltwork.session import cut
+from siltwork.sources import manifest
+from siltwork.sources.storage import LocalStorage
 
 
 def plain(rows):
@@ -33,7 +40,10 @@ def test_salted_empty_and_bound(spark):
     none = spark.createDataFrame([], "id string, v int")
     assert S.salted_aggregate(none, "id", [S.count_rows("n")]).collect() == []
     df = spark.range(1000).select((F.col("id") % 10).alias("k"))
-    assert S.heavy_keys(df, "k", 0.1).count() == 10 and S.heavy_keys(df, "k", 0.11).count() == 0
+    assert len(S.heavy_hashes(df, [F.col("k")], 0.1)) == 10 and S.heavy_hashes(df, [F.col("k")], 0.11) == []
+    skewed = spark.range(200_000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.col("id").cast("string")).alias("k"))
+    heavy = S.heavy_hashes(skewed, [F.col("k")])  # among very many light keys
+    assert {r[0] for r in spark.sql("SELECT xxhash64('hot') UNION SELECT xxhash64(CAST(NULL AS STRING))").collect()} <= set(heavy) and len(heavy) <= 201
     salted = S.with_salt(df.withColumn("row", F.monotonically_increasing_id()), "k", 16, 0.1)
     assert salted.groupBy("k", S.SALT).count().agg(F.max("count")).first()[0] < 30
 
@@ -70,13 +80,17 @@ def test_live_files(spark):
 def test_groups_follow_the_running_sum(spark):
     stored = [(f"{MAIN}/files/{i:03d}.parquet", (i * 37) % 100, 1) for i in range(60)] + [(f"{MAIN}/files/big.parquet", 10**7, 1)]
     s, m, c = tables(spark, stored, [p.removeprefix(MAIN + "/") for p, _, _ in stored])
-    for block in (10_000, 7):
+    groups = []
+    for block in (10_000, 7, 1):
         plan = C.plan_groups(C.live_files(s, m, c), target_bytes=200, small_bytes=1000, block_files=block).collect()
         assert len(plan) == 60 and len({r.file_path for r in plan}) == 60
         sums = {}
         for r in plan:
             sums[r.group_no] = sums.get(r.group_no, 0) + r.size_bytes
         assert all(v < 200 + 100 for v in sums.values()) and sum(sums.values()) == sum(n for _, n, _ in stored[:-1])
+        groups.append({r.file_path: r.group_no for r in plan})
+    assert groups[0] == groups[1] == groups[2]
+    assert [groups[0][p] for p, _, _ in stored[:-1]] == sorted(groups[0].values())
     assert C.plan_groups(C.live_files(s.limit(0), m, c)).count() == 0
 
 
@@ -107,6 +121,55 @@ def test_rewrite_gives_each_group_a_file_of_its_own(spark, tmp_path):
     assert held.count() == held.select("at").distinct().count() == held.select("part_dir", "group_no").distinct().count() == 30
 
 
+def test_found_comes_from_the_grouping(spark):
+    found = pipeline.p3_found(spark, "/root/testdata/sf0.001")
+    assert "Window" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def store(spark, root):
+    """A store of two partitions with many small files of rows, and its tables; (rows, stored, manifests, commits)."""
+    st, rows, k = LocalStorage(), [], 0
+    for part in ("p=a/b=0", "p=b%2F/b=1"):
+        main, inc = f"r1/main/t/{part}", f"r1/inc/t/feed/{part}"
+        active = [f"files/{i}.parquet" for i in range(5)]
+        for p in [*(f"{main}/{a}" for a in active), f"{main}/files/stale.parquet", *(f"{inc}/{i}.parquet" for i in range(4))]:
+            os.makedirs(os.path.dirname(f"{root}/{p}"), exist_ok=True)
+            pq.write_table(pa.table({"row_id": [k, k + 1, k + 1], "id": ["x", "y", "y"]}), f"{root}/{p}")
+            rows += [(k, p), (k + 1, p), (k + 1, p)]
+            k += 2
+        st.write_json(f"{root}/{main}/_manifest.json", {"version": 3, "active_files": active, "last_commit": ""})
+    stored = [(posixpath.relpath(o.path, root), o.size, None) for o in st.list(root) if o.path.endswith(".parquet")]
+    ms = [(posixpath.relpath(posixpath.dirname(o.path), root), st.read_json(o.path)) for o in st.list(root) if o.path.endswith("_manifest.json")]
+    return (
+        spark.createDataFrame(rows, "row_id long, file_path string"),
+        spark.createDataFrame(stored, "file_path string, size_bytes long, n_rows long"),
+        spark.createDataFrame([(d, 3, m["active_files"], m["last_commit"] or None) for d, m in ms], "part_dir string, version long, active_files array<string>, last_commit string"),
+        spark.createDataFrame([], "part_dir string, tx_id string, input_files array<string>"),
+    )
+
+
+def test_publish(spark, tmp_path):
+    root, out = str(tmp_path / "store"), str(tmp_path / "out")
+    rows, stored, manifests, commits = store(spark, root)
+    live = C.live_files(stored, manifests, commits)
+    want = sorted(r.row_id for r in rows.join(live, "file_path").collect())
+    plan = cut(C.plan_groups(live, target_bytes=3 * stored.agg(F.max("size_bytes")).first()[0]))
+    report = cut(C.rewrite(rows, plan, out))
+    with pytest.raises(ValueError, match="rows"):
+        C.publish(LocalStorage(), root, plan, report.withColumn("rows_out", F.lit(0)), out)
+    before = sorted(o.path for o in LocalStorage().list(root))
+    assert C.publish(LocalStorage(), root, plan, report, out) == 2
+    after = [o.path for o in LocalStorage().list(root) if o.path.endswith(".parquet")]
+    assert len(after) == report.count() < len(before) and all("/files/merged_" in p for p in after)
+    for part in ("r1/main/t/p=a/b=0", "r1/main/t/p=b%2F/b=1"):
+        m = manifest.load(LocalStorage(), f"{root}/{part}")
+        assert m.version == 4 and sorted(f"{root}/{part}/{a}" for a in m.active_files) == [p for p in after if p.startswith(f"{root}/{part}/")]
+    back = spark.read.parquet(*after)
+    assert sorted(r.row_id for r in back.collect()) == want
+    held = back.select(F.input_file_name().alias("f"), F.regexp_extract("file_path", "p=[^/]+", 0).alias("p")).distinct()
+    assert held.count() == len(after)  # no file holds two partitions
+
+
 def test_compacted_raises_on_lost_rows(spark, monkeypatch):
     lossy = lambda *a, f=C.rewrite: f(*a).withColumn("rows_out", F.col("rows_out") - 1)
     monkeypatch.setattr(C, "rewrite", lossy)
