@@ -17,33 +17,14 @@ from siltwork.functions import coerce, jsonpatch, partition
 from siltwork.ingest import normalise
 from siltwork.operators.strategies import aggregate
 from siltwork.plans import compact
+from siltwork.queries.registry import Registry
 from siltwork.schema import PartitionRule, TableSchema, table_schema
 from siltwork.session import cut, remove, shared_dir, table
 from siltwork.sources import records
 from siltwork.sources.jsonl import jsonl_records
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its name, with its SQL."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def queries() -> dict:
-    return dict(QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+_registry = Registry()
+query, queries, oracle_sql = _registry.query, _registry.queries, _registry.oracle_sql
 
 
 def _seconds(c: str) -> Column:
@@ -126,9 +107,9 @@ def _one(strategy: str, kind: object = str, extra: str = "") -> TableSchema:
     return table_schema("t", {"k": (int, "pk"), "v": (kind, f"{strategy}{extra}")})
 
 
-@query("SELECT user_id AS k, max(event_type) AS v FROM events WHERE user_id <> 0 GROUP BY 1")
+@query("SELECT user_id AS k, max(event_type) AS v FROM events GROUP BY 1")
 def agg_coalesce(spark: SparkSession, d: str) -> DataFrame:
-    return compact.plan(_one("coalesce"), _events(spark, d).select(F.col("user_id").alias("k"), F.col("event_type").alias("v")).where("k <> 0"))
+    return compact.plan(_one("coalesce"), _events(spark, d).select(F.col("user_id").alias("k"), F.col("event_type").alias("v")))
 
 
 @query("SELECT user_id AS k, max(props) AS v FROM events GROUP BY 1")
@@ -226,17 +207,20 @@ def merge_first_publish(spark: SparkSession, d: str) -> DataFrame:
     return compact.plan(_one("sum", int), rows)
 
 
+# Which orders exist before: all of some customers, none of others, and of the rest those with an even key.
+_OLD = "CASE k % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE key % 2 = 0 END"
+
+
 def _merged(spark: SparkSession, d: str, strategy: str, v: Column, kind: object = int) -> DataFrame:
     schema = _one(strategy, kind)
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("k"), v.alias("v"))
-    incoming, existing = _split(rows)
-    return compact.plan(schema, incoming.where("k % 3 <> 0").drop("key"), _existing(schema, existing.where("k % 5 <> 0").drop("key")))
+    incoming, existing = rows.where(f"NOT ({_OLD})"), rows.where(_OLD)
+    return compact.plan(schema, incoming.drop("key"), _existing(schema, existing.drop("key")))
 
 
 def _merge_sql(v: str, agg: str, combined: str) -> str:
-    side = f"SELECT o_custkey AS k, {agg} AS v FROM (SELECT *, {v} AS v FROM orders)"
-    return f"""WITH s AS ({side} WHERE o_orderkey % 2 = 1 AND o_custkey % 3 <> 0 GROUP BY 1),
-        t AS ({side} WHERE o_orderkey % 2 = 0 AND o_custkey % 5 <> 0 GROUP BY 1)
+    side = f"SELECT k, {agg} AS v FROM (SELECT o_orderkey AS key, o_custkey AS k, {v} AS v FROM orders)"
+    return f"""WITH s AS ({side} WHERE NOT ({_OLD}) GROUP BY 1), t AS ({side} WHERE {_OLD} GROUP BY 1)
         SELECT coalesce(s.k, t.k) AS k, {combined} AS v FROM s FULL OUTER JOIN t ON s.k = t.k"""
 
 
@@ -327,15 +311,16 @@ def merge_composite_pk(spark: SparkSession, d: str) -> DataFrame:
     return compact.plan(schema, incoming.drop("l_suppkey"), _existing(schema, existing.drop("l_suppkey")))
 
 
-@query("""WITH s AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_custkey % 2 = 1 GROUP BY 1)
-    SELECT coalesce(s.k, c_custkey) AS k, c_name AS name, s.n IS NULL AS only_existing, c_name IS NULL AS only_incoming,
-      coalesce(s.n, 0) AS orders FROM s FULL OUTER JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON s.k = c_custkey""")
+@query("""WITH s AS (SELECT ps AS k, count(*) AS n FROM (SELECT l_partkey + 7 AS ps FROM lineitem) GROUP BY 1)
+    SELECT coalesce(s.k, p_partkey) AS k, p_name AS name, s.n IS NULL AS only_existing, p_name IS NULL AS only_incoming,
+      coalesce(s.n, 0) AS lines FROM s FULL OUTER JOIN part ON s.k = p_partkey""")
 def merge_unmatched_both_sides(spark: SparkSession, d: str) -> DataFrame:
-    schema = table_schema("t", {"k": (int, "pk"), "name": str, "orders": (int, "sum")})
-    incoming = table(spark, d, "orders").where("o_custkey % 2 = 1").select(F.col("o_custkey").alias("k"), F.lit(1).cast("bigint").alias("orders"))
-    existing = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.lit(0).cast("bigint").alias("orders"))
+    """Keys moved by seven: the first parts have no lines, and the last lines no part."""
+    schema = table_schema("t", {"k": (int, "pk"), "name": str, "lines": (int, "sum")})
+    incoming = table(spark, d, "lineitem").select((F.col("l_partkey") + 7).alias("k"), F.lit(1).cast("bigint").alias("lines"))
+    existing = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.lit(0).cast("bigint").alias("lines"))
     out = compact.plan(schema, incoming, existing)
-    return out.select("k", "name", (F.col("orders") == 0).alias("only_existing"), F.col("name").isNull().alias("only_incoming"), "orders")
+    return out.select("k", "name", (F.col("lines") == 0).alias("only_existing"), F.col("name").isNull().alias("only_incoming"), "lines")
 
 
 @query("""WITH s AS (SELECT 'n=' || (s_nationkey % 4) AS part, s_suppkey % 10 AS k, CAST(sum(round(s_acctbal * 100)) AS BIGINT) AS v FROM supplier WHERE s_suppkey % 2 = 1 GROUP BY 1, 2),
@@ -439,12 +424,12 @@ def part_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "partitioned_row").where("id IS NOT NULL").select("id", b(16).alias("b16"), b(65536).alias("b65536")).distinct()
 
 
-@query("SELECT coalesce(region, '') AS region, 'area=' || coalesce(region, '') AS dir, count(*) AS n FROM partitioned_row WHERE coalesce(region, '') NOT SIMILAR TO '.*[%/\\\\].*' GROUP BY 1")
+@query("""SELECT coalesce(region, '') AS region, 'area=' || replace(replace(replace(coalesce(region, ''), '%', '%25'), '/', '%2F'), chr(92), '%5C') AS dir,
+    count(*) AS n FROM partitioned_row GROUP BY 1, 2""")
 def part_direct(spark: SparkSession, d: str) -> DataFrame:
     schema = table_schema("t", {"id": (str, "pk"), "region": (str, "partition:area")})
-    rows = table(spark, d, "partitioned_row").select(F.col("region"), partition.part_dir(schema).alias("dir"))
-    plain = rows.select(F.coalesce("region", F.lit("")).alias("region"), "dir").where(r"NOT region RLIKE '[%/\\\\]'")
-    return plain.groupBy("region", "dir").agg(F.count(F.lit(1)).alias("n"))
+    rows = table(spark, d, "partitioned_row").select(F.coalesce("region", F.lit("")).alias("region"), partition.part_dir(schema).alias("dir"))
+    return rows.groupBy("region", "dir").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT file_path, replace(replace(replace(replace(file_path, '%', '%25'), '/', '%2F'), chr(92), '%5C'), chr(10), '%0A') AS encoded FROM stored_file""")
@@ -631,14 +616,17 @@ def company_merge(spark: SparkSession, d: str) -> DataFrame:
     return out.drop("source")
 
 
-@query("""SELECT id, n AS name FROM (
-      SELECT id, unnest(json_keys(source)) AS n FROM company WHERE id <> '' AND source <> ''
-      UNION SELECT id, unnest(json_keys(source)) FROM company_main WHERE source <> '') GROUP BY 1, 2""")
+# A batch's patches are folded in the order of their text, and what they fold to is laid over the existing object.
+@query("""WITH m AS (SELECT id, source, unnest(json_keys(source)) AS name FROM company WHERE id <> '' AND source <> ''),
+      s AS (SELECT id, name, arg_max(CAST(json_extract_string(source, '$."' || name || '".seen') AS BIGINT), source) AS seen FROM m GROUP BY 1, 2),
+      o AS (SELECT id, source, unnest(json_keys(source)) AS name FROM company_main WHERE source <> ''),
+      t AS (SELECT id, name, CAST(json_extract_string(source, '$."' || name || '".seen') AS BIGINT) AS seen FROM o)
+    SELECT coalesce(s.id, t.id) AS id, coalesce(s.name, t.name) AS name, CASE WHEN s.id IS NULL THEN t.seen ELSE s.seen END AS seen
+    FROM s FULL OUTER JOIN t ON s.id = t.id AND s.name = t.name""")
 def company_sources(spark: SparkSession, d: str) -> DataFrame:
-    """The members of each id's merged source object."""
+    """The members of each id's merged source object, with their values."""
     schema = table_schema("t", {"id": (str, "pk"), "source": (dict, "json_merge")})
     incoming = normalise(schema, table(spark, d, "company").select("id", "source"))
     out = compact.plan(schema, incoming, table(spark, d, "company_main").select("id", "source"))
-    return out.select("id", F.explode(F.json_object_keys("source")).alias("name"))
-
-
+    members = out.select("id", F.explode(F.from_json("source", "map<string,struct<seen:string>>")).alias("name", "held"))
+    return members.select("id", "name", F.col("held.seen").cast("bigint").alias("seen"))

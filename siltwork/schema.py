@@ -21,6 +21,7 @@ import re
 import typing
 from dataclasses import dataclass, field
 
+import regex
 from pyspark.sql import types as T
 
 STRATEGIES = ("coalesce", "overwrite", "list_union", "json_merge", "max", "min", "sum")
@@ -98,11 +99,7 @@ class TableSchema:
 
 def snake_case(name: str) -> str:
     """CompanyName to company_name, HTTPServer to http_server, ID to id."""
-    out = []
-    for i, ch in enumerate(name):
-        starts_word = i > 0 and (name[i - 1].islower() or (i + 1 < len(name) and name[i + 1].islower()))
-        out.append("_" + ch if ch.isupper() and starts_word else ch)
-    return "".join(out).lower().replace("__", "_")
+    return regex.sub(r"(?<=\p{Ll})\p{Lu}|(?<=.)\p{Lu}(?=\p{Ll})", r"_\g<0>", name).lower().replace("__", "_")
 
 
 def _split_rules(text: str) -> list[str]:
