@@ -127,3 +127,18 @@ def salted_count_distinct(df: DataFrame, key: str, value: str, name: str) -> Dat
     pairs = df.select(F.col(f"`{key}`").alias("__silt_key"), F.col(f"`{value}`").alias("__silt_value")).distinct()
     out = pairs.groupBy("__silt_key").agg(F.count("__silt_value").alias("__silt_n"))
     return out.select(F.col("__silt_key").alias(key), F.col("__silt_n").alias(name))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, by: Column, heavy: list[int], salts: int = SALTS) -> DataFrame:
+    """left joined with right on ``key``, the rows of keys whose xxhash64 is heavy dealt to several tasks.
+
+    by: what a heavy key's left rows are dealt by; its right rows are repeated, once for each
+    salt. Equal to a plain inner join; null keys meet nothing.
+    """
+    if not heavy:
+        return left.join(right, key)
+    is_heavy = F.xxhash64(F.col(f"`{key}`")).isin(heavy)
+    dealt = left.withColumn(SALT, F.when(is_heavy, F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(F.lit(0).cast("bigint")))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    repeated = right.withColumn(SALT, F.explode(F.when(is_heavy, every).otherwise(F.array(F.lit(0).cast("bigint")))))
+    return dealt.join(repeated, [key, SALT]).drop(SALT)

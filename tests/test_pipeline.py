@@ -48,6 +48,17 @@ def test_salted_empty_and_bound(spark):
     assert salted.groupBy("k", S.SALT).count().agg(F.max("count")).first()[0] < 30
 
 
+def test_salted_join_equals_plain(spark):
+    left = spark.createDataFrame([(k % 3 and "hot" or f"k{k % 7}", k) for k in range(200)] + [(None, 0)], "k string, a long")
+    right = spark.createDataFrame([("hot", b) for b in range(5)] + [("k3", 9), ("k9", 1), (None, 2)], "k string, b long")
+    heavy = S.heavy_hashes(left, [F.col("k")], 0.5)
+    assert len(heavy) == 1
+    want = sorted(map(tuple, left.join(right, "k").collect()))
+    for h in (heavy, []):
+        assert sorted(map(tuple, S.salted_join(left, right, "k", F.col("a"), h, 8).collect())) == want
+    assert S.salted_join(left.limit(0), right, "k", F.col("a"), heavy).count() == 0
+
+
 def test_count_distinct(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", None), (None, "z")], "k string, v string")
     assert {r.k: r.n for r in S.salted_count_distinct(df, "k", "v", "n").collect()} == {"a": 2, "b": 0, None: 1}
