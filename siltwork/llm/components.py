@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps.
 
-Each step groups the edges by a vertex with a map-side minimum; edges stay distributed, and
-the lineage is cut in every round. The rounds needed grow with the logarithm of the size of
+Each step groups the edges by a vertex with a map-side minimum; edges stay distributed, those
+of a vertex with a large share of them too, and the lineage is cut in every round. The rounds needed grow with the logarithm of the size of
 the largest component.
 """
 
@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltwork.operators.salted import heavy_hashes, salted_join
 from siltwork.session import cut, release
 
 MOST_ROUNDS = 50
+HUB_SHARE = 0.01
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -22,7 +24,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    near = both.join(low, "u")
+    hubs = heavy_hashes(both, [F.col("u")], HUB_SHARE)
+    near = salted_join(both, low, "u", F.col("v"), hubs)
     if large:
         moved = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -2,9 +2,10 @@
 
 1. Canonical form. A name becomes tokens without case, accents, markup and look-alike
    digits. Legal forms fall away. Tokens that occur in many names (*common words*: trades,
-   places, given names) are brought to one spelling: abbreviations and nicknames by table,
-   typing errors by a look-up of near common words. Rare tokens stay as typed. Names with the
-   same canonical form are one node from here on.
+   places, given names) are brought to one spelling: abbreviations and nicknames as learned
+   from names of one id that differ in nothing else (``learn``), and by a table of usual ones
+   for words too rare to learn; typing errors by a look-up of near common words. Rare tokens
+   stay as typed. Names with the same canonical form are one node from here on.
 2. Candidates. Within blocks of nodes that agree in their common words, a prefix-filtered
    join on the q-grams of the rare tokens, rarest first. A prefix is as long as the typing
    errors that verification accepts can break grams, and one more (``most_broken``), so that
@@ -27,7 +28,7 @@ import html
 import math
 import unicodedata
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -38,14 +39,22 @@ from pyspark.sql import functions as F
 
 from siltwork.llm.components import components
 from siltwork.llm.survivor import name_lines
+from siltwork.operators.salted import heavy_hashes, salted_join
 from siltwork.session import cut, release
 
 Q = 3
 GRAM_BUCKETS = 1 << 16
 MIN_SIMILARITY = 0.8
+HOT_SHARE = 0.0005  # of all grams
+LARGE_SHARE = 0.01  # of all linked ids
 LONG_WORD = 7  # letters from which a word may hold two typing errors
 COMMON_SHARE = 0.0004
 COMMON_LEAST = 6
+SHORT_SHARE = 0.00004
+SHORT_LEAST = 2
+MOST_GROUPS = 0.5  # of a short form's groups, those with the word that it stands for
+ALTERNATE_SHARE = 0.02  # of a short form's names, those that are also written out
+GIVEN_SHARE = 0.003  # of a given name's names, those that are also cut to its letter
 
 # Words of legal forms, lower case and without accents and points.
 LEGAL = frozenset(
@@ -174,7 +183,35 @@ def _spelled(words) -> dict[str, str]:
 
 _LEGAL, _JOINING, _SUFFIXES, _GIVEN = (frozenset(_spelled(x)) for x in (LEGAL, JOINING, SUFFIXES, GIVEN))
 _LONG_LEGAL = frozenset(f for f in _LEGAL if len(f) >= 6)
-_EXPAND = {tokens(k)[0]: tokens(v)[0] for k, v in {**ABBREVIATIONS, **NICKNAMES}.items()}
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """Short forms with what they stand for, and which of those are given names."""
+
+    short: dict[str, str]
+    given: frozenset[str]
+
+    @cached_property
+    def trades(self) -> frozenset[str]:
+        """Words with short forms that are no given names: who has one is no person."""
+        return frozenset(v for v in self.short.values() if v not in self.given) - _SUFFIXES
+
+    @cached_property
+    def initials(self) -> dict[str, tuple[str, ...]]:
+        """What a given name could be cut to, by way of its short forms too."""
+        out = {g: {g[0]} for g in self.given}
+        for k, v in self.short.items():
+            if v in out:
+                out[v].add(k[0])
+        return {g: tuple(sorted(x)) for g, x in out.items()}
+
+    def with_usual(self, usual: Lexicon) -> Lexicon:
+        """This lexicon, and of the other one what it doesn't say otherwise."""
+        return Lexicon({**usual.short, **self.short}, self.given | usual.given)
+
+
+USUAL = Lexicon({tokens(k)[0]: tokens(v)[0] for k, v in {**ABBREVIATIONS, **NICKNAMES}.items()}, _GIVEN)
 
 
 @dataclass(frozen=True)
@@ -195,8 +232,9 @@ class Canonical:
 class Canon:
     """Brings names to canonical forms, given the common words and how many names each occurs in."""
 
-    def __init__(self, common: dict[str, int]):
-        fixed = set(_EXPAND.values()) | _GIVEN | _SUFFIXES
+    def __init__(self, common: dict[str, int], lexicon: Lexicon = USUAL):
+        self.lexicon = lexicon
+        fixed = set(lexicon.short.values()) | lexicon.given | _SUFFIXES
         words = {w: n for w, n in common.items() if len(w) > 1 and not w.isdigit() and w not in _LEGAL and w not in _JOINING}
         self.count = {w: words.get(w, 0) for w in set(words) | fixed}
         self.by_length: dict[int, list[tuple[int, str]]] = {}
@@ -225,8 +263,9 @@ class Canon:
         """The canonical spelling of a token, in parts if it holds a common word; common parts begin with '='."""
         if t in _LEGAL or t in _JOINING:
             return ()
-        if t in _EXPAND:
-            return ("=" + _EXPAND[t],)
+        short = self.lexicon.short
+        if t in short:
+            return ("=" + short[t],)
         if t.isdigit():
             return ("=#" + (t.lstrip("0") or "0"),)
         if len(t) == 1:
@@ -234,7 +273,7 @@ class Canon:
         if len(t) >= 4:
             near = self._near(t, 8 * self.count.get(t, 1))
             if near:
-                return ("=" + _EXPAND.get(near, near),)
+                return ("=" + short.get(near, near),)
             if len(t) >= 6 and _is_near(t, _LONG_LEGAL):
                 return ()
         if t in self.count:
@@ -256,25 +295,20 @@ class Canon:
         common = [p[1:] for p in parts if p.startswith("=")]
         letters = [p for p in parts if len(p) == 1]
         rare = tuple(sorted(p for p in parts if not p.startswith("=") and len(p) > 1))
-        given = [w for w in common if w in _GIVEN]
-        others = sorted(w for w in common if w not in _GIVEN)
+        lexicon = self.lexicon
+        given = [w for w in common if w in lexicon.given]
+        others = sorted(w for w in common if w not in lexicon.given)
         if not rare and not common:
             return None
-        person = bool(given) or (bool(letters) and not [w for w in others if not w.startswith("#") and w in _TRADES])
+        person = bool(given) or (bool(letters) and not [w for w in others if w in lexicon.trades])
         if not person:
             return Canonical("|".join(others), "", (), "", rare)
         first, rest = (given[0], given[1:]) if given else ("", [])
-        initials = _INITIALS.get(first, (first[0],)) if first else (letters[0],)
+        initials = lexicon.initials[first] if first else (letters[0],)
         middle = "".join(sorted(letters if first else letters[1:]))
         return Canonical("|".join(sorted(others + rest)), first, initials, middle, rare)
 
 
-_INITIALS = {
-    tokens(g)[0]: tuple(sorted({g[0], *(k[0] for k, v in NICKNAMES.items() if v == g)})) for g in GIVEN
-}
-_TRADES = frozenset(_EXPAND[tokens(k)[0]] for k in ABBREVIATIONS) - _SUFFIXES
-
-
 @lru_cache(100_000)
 def _letters(w: str) -> int:
     """The kinds of letters of a word as bits."""
@@ -315,10 +349,32 @@ def bucket_of(gram: str) -> int:
     return crc32(gram.encode()) % GRAM_BUCKETS
 
 
+def _grams(nodes: DataFrame, *others: Column) -> DataFrame:
+    """(others, g): each gram of each rare token."""
+    word = nodes.where("rare <> ''").select(*others, F.explode(F.split("rare", " ")).alias("w")).withColumn("p", F.concat(F.lit("^"), "w", F.lit("$"))).drop("w")
+    gram = F.transform(F.sequence(F.lit(1), F.length("p") - (Q - 1)), lambda i: F.substring(F.col("p"), i, F.lit(Q)))
+    return word.withColumn("g", F.explode(gram)).drop("p")
+
+
+def letters_of(letters: Column) -> Column:
+    """The letters by which a node is keyed, one a row; a firm has one empty one."""
+    return F.explode(F.when(letters == "", F.array(F.lit(""))).otherwise(F.split(letters, "")))
+
+
+def join_key(block: Column, letter: Column, key: Column) -> Column:
+    return F.xxhash64(F.xxhash64(block), letter, key)
+
+
+def hot_keys(nodes: DataFrame) -> list[int]:
+    """Hashes of join keys under which many nodes lie, whichever of their grams are in a prefix; at most 1 / HOT_SHARE + 1."""
+    size = F.size(F.split("rare", " ")).cast("string").alias("size")
+    keyed = _grams(nodes, F.col("block"), letters_of(F.col("letters")).alias("letter"), size)
+    return heavy_hashes(keyed.select(join_key(F.col("block"), F.col("letter"), F.concat_ws(" ", "size", "g")).alias("key")), [F.col("key")], HOT_SHARE)
+
+
 def gram_counts(nodes: DataFrame) -> np.ndarray:
     """How often the grams of all nodes' rare tokens fall into each of GRAM_BUCKETS buckets, which is what bounds it."""
-    word = nodes.where("rare <> ''").select(F.explode(F.split("rare", " ")).alias("w")).select(F.concat(F.lit("^"), "w", F.lit("$")).alias("p"))
-    gram = word.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("p") - (Q - 1)), lambda i: F.substring(F.col("p"), i, F.lit(Q)))).alias("g"))
+    gram = _grams(nodes)
     counts = np.zeros(GRAM_BUCKETS, dtype=np.int64)
     for b, n in gram.groupBy(F.pmod(F.crc32("g"), F.lit(GRAM_BUCKETS)).alias("b")).count().collect():
         counts[b] = n
@@ -405,21 +461,69 @@ def usable_names(*tables: DataFrame) -> DataFrame:
     return lines.select("id", "name").mapInPandas(split, "id string, tokens string")
 
 
-def common_words(names: DataFrame) -> dict[str, int]:
-    """Words in at least COMMON_SHARE of the names, with their counts.
+def word_counts(names: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
+    """(common, frequent): words in at least COMMON_SHARE and SHORT_SHARE of the names, with their counts.
 
-    There are at most (words in a name) / COMMON_SHARE of them, whatever the data.
+    There are at most (words in a name) / share of them, whatever the data.
     """
     words = names.select(F.explode(F.array_distinct(F.split("tokens", " "))).alias("w"))
-    counts = words.groupBy("w").count()
-    return {r[0]: r[1] for r in counts.where(F.col("count") >= max(COMMON_LEAST, COMMON_SHARE * names.count())).collect()}
+    total = names.count()
+    held = words.groupBy("w").count().where(F.col("count") >= max(SHORT_LEAST, SHORT_SHARE * total)).collect()
+    frequent = {r[0]: r[1] for r in held}
+    return {w: n for w, n in frequent.items() if n >= max(COMMON_LEAST, COMMON_SHARE * total)}, frequent
+
+
+def learn(names: DataFrame, common: dict[str, int], frequent: dict[str, int]) -> Lexicon:
+    """Short forms and given names, from how names that are alike but for one word differ.
 
+    Names of one id that agree in all other words spell the same thing in two ways; in each
+    such group all words stand for the most frequent one, so no pairs are made. A word is a
+    short form if it is rarer than its partner, has it in most of its groups, and isn't a
+    mistyped spelling of it. A common word is a given name if it is found cut to its first
+    letter: in names, of whatever ids, that agree in all other words, an uncommon one among them.
+    """
+    schema = "id string, rest string, certain boolean, w string, n bigint"
 
-def forms_of(names: DataFrame, common: dict[str, int]) -> DataFrame:
+    def holes(batches):
+        for pdf in batches:
+            out = []
+            for i, s in zip(pdf["id"], pdf["tokens"]):
+                words = sorted(t for t in s.split() if t not in _LEGAL and t not in _JOINING)
+                uncommon = sum(len(t) > 1 and t not in common and not t.isdigit() for t in words)
+                for k, w in enumerate(words):
+                    n = frequent.get(w, 0)
+                    if len(words) > 1 and not w.isdigit() and (n or len(w) == 1):
+                        certain = uncommon > (len(w) > 1 and w not in common)
+                        out.append((i, " ".join(words[:k] + words[k + 1 :]), certain, w, 0 if len(w) == 1 else n))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    rows = cut(names.mapInPandas(holes, schema).select(F.xxhash64("id", "rest").alias("own"), F.xxhash64("rest").alias("any"), "certain", "w", "n"))
+    fillers = F.collect_set(F.struct("n", "w"))  # of frequent words, which are bounded
+    own = rows.where("n > 0").groupBy("own").agg(fillers.alias("f")).where("size(f) > 1")
+    pairs = own.select(F.array_max("f")["w"].alias("long"), F.explode("f.w").alias("w")).where("w <> long").groupBy("w", "long").agg(F.count(F.lit(1)).alias("n"))
+    best = pairs.groupBy("w").agg(F.max(F.struct("n", "long")).alias("b"), F.sum("n").alias("groups"))
+    short = {}
+    for r in best.where(F.col("b.n") >= MOST_GROUPS * F.col("groups")).collect():  # at most one for each frequent word
+        w, y, n = r["w"], r["b"]["long"], r["b"]["n"]
+        if y in common and frequent[w] < frequent[y] and n >= ALTERNATE_SHARE * frequent[w] and typing_distance(w, y, 2) > (2 if min(len(w), len(y)) >= 8 else 1):
+            short[w] = y
+    letters = rows.where("certain").groupBy("any").agg(fillers.alias("f")).where("array_min(f).n = 0 AND array_max(f).n > 0")
+    letter = F.explode(F.transform(F.filter("f", lambda x: x["n"] == 0), lambda x: x["w"])).alias("letter")
+    cut_to = letters.select("f", letter).select(F.array_max(F.filter("f", lambda x: (x["n"] > 0) & x["w"].startswith(F.col("letter"))))["w"].alias("w"))
+    found = cut_to.where("w IS NOT NULL").groupBy("w").count().collect()  # at most one for each frequent word
+    count: dict[str, int] = {}
+    for r in found:
+        y = short.get(r["w"], r["w"])
+        count[y] = count.get(y, 0) + r["count"]
+    release(rows)
+    return Lexicon({k: short.get(v, v) for k, v in short.items()}, frozenset(w for w, n in count.items() if w in common and n >= GIVEN_SHARE * common[w]))
+
+
+def forms_of(names: DataFrame, common: dict[str, int], lexicon: Lexicon = USUAL) -> DataFrame:
     """(id, node, block, given, letters, middle, rare) of each name; node is the hash of the canonical form."""
 
     def canon(batches):
-        made = Canon(common)
+        made = Canon(common, lexicon)
         for pdf in batches:
             rows = [
                 (i, f.block, f.given, "".join(f.letters), f.middle, " ".join(f.rare))
@@ -447,13 +551,11 @@ def similar_nodes(nodes: DataFrame) -> DataFrame:
             k, t, i = zip(*(x for m in made for x in m)) if made else ((), (), ())
             yield pd.DataFrame({"node": pdf["node"].to_numpy()[at], "block": pdf["block"].to_numpy()[at], "letters": pdf["letters"].to_numpy()[at], "k": k, "token": t, "at": i})
 
-    letter = F.explode(F.when(F.col("letters") == "", F.array(F.lit(""))).otherwise(F.split("letters", "")))
-    person = named.select("node", F.xxhash64("block").alias("block"), "letters", "rare").mapInPandas(
-        keys, "node bigint, block bigint, letters string, k string, token string, at int"
-    )
-    keyed = person.select("node", "block", letter.alias("letter"), "k", "token", "at").select(F.xxhash64("block", "letter", "k").alias("key"), "node", "token", "at")
+    person = named.select("node", "block", "letters", "rare").mapInPandas(keys, "node bigint, block string, letters string, k string, token string, at int")
+    lettered = person.withColumn("letter", letters_of(F.col("letters")))
+    keyed = lettered.select(join_key(F.col("block"), F.col("letter"), F.col("k")).alias("key"), "node", "token", "at")
     side = lambda s: keyed.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "token", "at")])
-    met = side("a").join(side("b"), "key").where(F.col("a_node") < F.col("b_node"))
+    met = salted_join(side("a"), side("b"), "key", F.col("a_node"), hot_keys(nodes)).where(F.col("a_node") < F.col("b_node"))
     met = met.where(may_be_alike(F.col("a_token"), F.col("b_token"), F.col("a_at"), F.col("b_at"))).select("a_node", "b_node").distinct()
     of = lambda s: named.select(*[F.col(c).alias(f"{s}_{c}") for c in ("node", "given", "middle", "rare")])
     given_ok = (F.col("a_given") == F.col("b_given")) | (F.col("a_given") == "") | (F.col("b_given") == "")
@@ -488,10 +590,11 @@ def accepted(pairs: DataFrame) -> DataFrame:
     return strong.unionByName(weak.join(one, "short", "left_semi").select(F.col("short").alias("a"), F.col("full").alias("b")))
 
 
-def _linked(*tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _linked(*tables: DataFrame, usual: Lexicon = USUAL) -> tuple[DataFrame, DataFrame]:
     """(spoken, found): (id, node) of all ids with a usable name, and (vertex, component) of those that are linked."""
     names = cut(usable_names(*tables))
-    forms = cut(forms_of(names, common_words(names)))
+    common, frequent = word_counts(names)
+    forms = cut(forms_of(names, common, learn(names, common, frequent).with_usual(usual)))
     release(names)
     # a given name says more than an initial: an id that has one doesn't speak through its initials
     short = (F.col("given") == "") & (F.col("letters") != "")
@@ -500,30 +603,36 @@ def _linked(*tables: DataFrame) -> tuple[DataFrame, DataFrame]:
     spoken = cut(forms.where(~short).select("id", "node").unionByName(alone))
     nodes = cut(forms.drop("id").distinct())
     release(forms)
-    pairs = accepted(cut(similar_nodes(nodes)))
+    similar = cut(similar_nodes(nodes))
+    release(nodes)
     leader = cut(spoken.groupBy("node").agg(F.min("id").alias("leader")))
     same = spoken.join(leader, "node").where("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v"))
     first = leader.select(F.col("node").alias("a"), F.col("leader").alias("u"))
     second = leader.select(F.col("node").alias("b"), F.col("leader").alias("v"))
-    near = pairs.join(first, "a").join(second, "b").where("u <> v").select("u", "v")
-    return spoken, components(same.unionByName(near))
+    near = accepted(similar).join(first, "a").join(second, "b").where("u <> v").select("u", "v")
+    found = components(same.unionByName(near))
+    release(similar, leader)
+    return spoken, found
 
 
-def groups(*tables: DataFrame) -> DataFrame:
+def groups(*tables: DataFrame, usual: Lexicon = USUAL) -> DataFrame:
     """(id, group_id) of every id with a usable name; group_id is the smallest id of the group."""
-    spoken, found = _linked(*tables)
+    spoken, found = _linked(*tables, usual=usual)
     return spoken.select("id").distinct().join(found, F.col("id") == F.col("vertex"), "left").select(
         "id", F.coalesce("component", "id").alias("group_id")
     )
 
 
-def linked(*tables: DataFrame) -> DataFrame:
+def linked(*tables: DataFrame, usual: Lexicon = USUAL) -> DataFrame:
     """groups without the ids that are alone in theirs."""
-    return _linked(*tables)[1].select(F.col("vertex").alias("id"), F.col("component").alias("group_id"))
+    spoken, found = _linked(*tables, usual=usual)
+    release(spoken)
+    return found.select(F.col("vertex").alias("id"), F.col("component").alias("group_id"))
 
 
 def pairs_of(grouped: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b, of all ids in a group: the form that TESTDATA.md asks for."""
+    """(id_a, id_b), id_a < id_b, of all ids in a group: the form that TESTDATA.md asks for. A large group is dealt to several tasks."""
     a = grouped.select("group_id", F.col("id").alias("id_a"))
     b = grouped.select("group_id", F.col("id").alias("id_b"))
-    return a.join(b, "group_id").where("id_a < id_b").select("id_a", "id_b")
+    heavy = heavy_hashes(a, [F.col("group_id")], LARGE_SHARE)
+    return salted_join(a, b, "group_id", F.col("id_a"), heavy).where("id_a < id_b").select("id_a", "id_b")
