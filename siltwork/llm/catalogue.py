@@ -18,9 +18,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return names.pairs_of(names.linked(table(spark, d, "company"), table(spark, d, "company_main")))
 
 
-def _seen(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _seen(spark: SparkSession, d: str, bits: int = seen.BITS) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, d, "company").select("obs_id", "id", "arrived_at")
-    return seen.seen_before(rows, table(spark, d, "company_main").select("id"), "id", "obs_id", "arrived_at")
+    return seen.seen_before(rows, table(spark, d, "company_main").select("id"), "id", "obs_id", "arrived_at", bits=bits)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +28,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_error_rates(spark: SparkSession, d: str) -> DataFrame:
-    return seen.error_report(_seen(spark, d)[1])
+    """The rates of the filters that p4_found probes, and of narrow ones over the same keys, whose errors can be counted."""
+    return seen.error_report(_seen(spark, d)[1]).unionByName(seen.error_report(_seen(spark, d, seen.MEASURED_BITS)[1]))
+
+
+def p4_rates_hold(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the errors counted of narrow filters fit their stated rate, within five standard deviations."""
+    off = F.abs(F.col("wrong") - F.col("asked") * F.col("stated_rate")) <= 5 * F.sqrt(F.col("asked") * F.col("stated_rate"))
+    return seen.error_report(_seen(spark, d, seen.MEASURED_BITS)[1]).agg(F.coalesce(F.min(off), F.lit(True)).alias("fits"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,6 +58,23 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p6_packed(spark, d), table(spark, d, "pack_container"))
 
 
+def p6_held(spark: SparkSession, d: str) -> DataFrame:
+    """For each kind of container: containers over capacity, texts split though they fit, texts whose tokens aren't all there, and texts."""
+    kinds = table(spark, d, "pack_container")
+    sizes = cut(packing.token_sizes(table(spark, d, "documents")))
+    pieces = cut(packing.packed(sizes, kinds))
+    capacity = kinds.select("container_kind", "capacity_tokens")
+    bins = pieces.groupBy("container_kind", "shard", "bin").agg(F.sum("n_tokens").alias("n")).join(F.broadcast(capacity), "container_kind")  # settings
+    over = bins.groupBy("container_kind").agg(F.count(F.when(F.col("n") > F.col("capacity_tokens"), 1)).alias("over"))
+    docs = pieces.groupBy("container_kind", "doc_id").agg(F.sum("n_tokens").alias("held"), F.count(F.lit(1)).alias("parts"))
+    checked = docs.join(sizes, "doc_id", "left").join(F.broadcast(capacity), "container_kind")
+    needless = F.col("parts") > F.ceil(F.col("n_tokens") / F.col("capacity_tokens"))
+    by_kind = checked.groupBy("container_kind").agg(
+        F.count(F.when(needless, 1)).alias("split"), F.count(F.when(~F.col("held").eqNullSafe(F.col("n_tokens")), 1)).alias("torn"), F.count(F.lit(1)).alias("texts")
+    )
+    return over.join(by_kind, "container_kind")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id").distinct()
 
@@ -80,7 +104,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = (p2_found, p2_groups, p4_found, p4_error_rates, p5_found, p5_fused, p5_sources, p6_packed, p6_fill, p7_found, p7_items, p8_found, p8_profile)
+QUERIES = (p2_found, p2_groups, p4_found, p4_error_rates, p4_rates_hold, p5_found, p5_fused, p5_sources, p6_packed, p6_fill, p6_held, p7_found, p7_items, p8_found, p8_profile)
 
 
 def queries() -> dict:
@@ -94,6 +118,9 @@ _STAND = ", ".join(f"'{s}'" for s in survivor.STAND_INS)
 def oracle_sql() -> dict[str, str]:
     usable = lambda c: f"CASE WHEN {c} BETWEEN {survivor.USABLE_FROM} AND {survivor.USABLE_TO} THEN {c} END"
     return {
+        "p4_rates_hold": "SELECT true AS fits",
+        "p6_held": """SELECT container_kind, 0 AS over, 0 AS split, 0 AS torn, (SELECT count(*) FROM documents WHERE text <> '') AS texts
+            FROM pack_container WHERE capacity_tokens >= 1""",
         "p4_found": """SELECT obs_id FROM (SELECT obs_id, id, row_number() OVER (PARTITION BY id ORDER BY arrived_at, obs_id) AS k
             FROM company WHERE id <> '') WHERE k > 1 OR id IN (SELECT id FROM company_main WHERE id <> '')""",
         "p5_found": f"""

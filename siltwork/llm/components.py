@@ -15,16 +15,17 @@ from siltwork.session import cut, release
 
 MOST_ROUNDS = 50
 HUB_SHARE = 0.01
+FEW_EDGES = 1_000_000  # up to which no vertex has so many that one task couldn't take them
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, hubs: bool) -> DataFrame:
     """One step: every neighbour (larger ones, or smaller ones and the vertex) is linked to the smallest in reach."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    hubs = heavy_hashes(both, [F.col("u")], HUB_SHARE)
+    hubs = heavy_hashes(both, [F.col("u")], HUB_SHARE) if hubs else []
     near = salted_join(both, low, "u", F.col("v"), hubs)
     if large:
         moved = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -44,7 +45,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(vertex, component) of every vertex on an edge (u, v); component is the smallest vertex. Null ends are no vertices."""
     edges = cut(edges.where("u <> v").select("u", "v").distinct())
     for _ in range(MOST_ROUNDS):
-        before, edges = edges, cut(_star(_star(edges, True), False))
+        hubs = edges.count() > FEW_EDGES
+        before, edges = edges, cut(_star(_star(edges, True, hubs), False, hubs))
         release(before)
         if _settled(edges):
             break

@@ -136,18 +136,28 @@ def typing_distance(a: str, b: str, most: int = 2) -> int:
         if len(off) == 2:
             i, j = off
             return 1 if j == i + 1 and a[i] == b[j] and a[j] == b[i] else most + 1
-    before, row = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        older, before, row = before, row, [i]
-        for j, y in enumerate(b, 1):
-            cost = 0 if x == y else 1 if (x, y) in NEAR else 3
-            d = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + cost)
-            if older is not None and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, older[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return most + 1
-    return min(row[-1], most + 1)
+    far, m = most + 1, len(b)
+    before, row = None, list(range(m + 1))
+    for i, x in enumerate(a, 1):  # cells further than ``most`` from the diagonal hold more errors than that
+        older, before, row = before, row, [far] * (m + 1)
+        if i <= most:
+            row[0] = i
+        least = row[0]
+        for j in range(max(1, i - most), min(m, i + most) + 1):
+            y = b[j - 1]
+            d = before[j - 1] + (0 if x == y else 1 if (x, y) in NEAR else 3)
+            if before[j] < d:
+                d = before[j] + 1
+            if row[j - 1] < d:
+                d = row[j - 1] + 1
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and older[j - 2] + 1 < d:
+                d = older[j - 2] + 1
+            row[j] = d
+            if d < least:
+                least = d
+        if least > most:
+            return far
+    return min(row[-1], far)
 
 
 def plain_text(text: str) -> str:
@@ -237,11 +247,12 @@ class Canon:
         fixed = set(lexicon.short.values()) | lexicon.given | _SUFFIXES
         words = {w: n for w, n in common.items() if len(w) > 1 and not w.isdigit() and w not in _LEGAL and w not in _JOINING}
         self.count = {w: words.get(w, 0) for w in set(words) | fixed}
-        self.by_length: dict[int, list[tuple[int, str]]] = {}
+        near: dict[int, list[str]] = {}
         for w in sorted(self.count):
             if len(w) >= 4:
                 for n in range(len(w) - 2, len(w) + 3):
-                    self.by_length.setdefault(n, []).append((_letters(w), w))
+                    near.setdefault(n, []).append(w)
+        self.by_length = {n: (ws, np.array([_letters(w) for w in ws], dtype=np.uint64)) for n, ws in near.items()}
         self.word = lru_cache(200_000)(self._word)
 
     def _near(self, t: str, least: int) -> str | None:
@@ -250,9 +261,13 @@ class Canon:
         One typing error is allowed, two in words of eight letters or more. Two errors
         change at most four kinds of letters, which spares most words the comparison.
         """
-        mine, best = _letters(t), None
-        for letters, w in self.by_length.get(len(t), ()):
-            if (letters ^ mine).bit_count() <= 4 and w != t and self.count[w] >= least:
+        words, letters = self.by_length.get(len(t), ((), None))
+        if not words:
+            return None
+        best = None
+        for i in np.flatnonzero(np.bitwise_count(letters ^ np.uint64(_letters(t))) <= 4).tolist():
+            w = words[i]
+            if w != t and self.count[w] >= least:
                 most = 2 if min(len(t), len(w)) >= 8 else 1
                 d = typing_distance(t, w, most)
                 if d <= most and (best is None or (d, -self.count[w], w) < best):
@@ -311,10 +326,10 @@ class Canon:
 
 @lru_cache(100_000)
 def _letters(w: str) -> int:
-    """The kinds of letters of a word as bits."""
+    """The kinds of letters of a word as bits; kinds may share one."""
     out = 0
     for ch in w:
-        out |= 1 << (ord(ch) & 63)
+        out |= 1 << (ord(ch) & 31)
     return out
 
 
@@ -381,7 +396,18 @@ def gram_counts(nodes: DataFrame) -> np.ndarray:
     return counts
 
 
-def prefix(t: str, counts: np.ndarray) -> list[tuple[str, int]]:
+class Ranks(dict):
+    """Places of grams in the common order, rarest first, worked out as they are asked for."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts.tolist()
+
+    def __missing__(self, g: str) -> tuple[int, str]:
+        self[g] = out = (self.counts[bucket_of(g)], g)
+        return out
+
+
+def prefix(t: str, ranks: Ranks) -> list[tuple[str, int]]:
     """(gram, position) of the rarest grams of a token: one more than typing errors break.
 
     Two tokens that are at least MIN_SIMILARITY alike by typing distance share one of them,
@@ -391,13 +417,13 @@ def prefix(t: str, counts: np.ndarray) -> list[tuple[str, int]]:
     padded, k = f"^{t}$", most_broken(len(t)) + 1
     if k == 1:  # too short to be mistyped
         return []
-    order = sorted((counts[bucket_of(g)], g, i) for i in range(len(t)) for g in (padded[i : i + Q],))
-    while k < len(order) and order[k][1] == order[k - 1][1]:
+    order = sorted((ranks[padded[i : i + Q]], i) for i in range(len(t)))
+    while k < len(order) and order[k][0] == order[k - 1][0]:
         k += 1
-    return [(g, i) for _, g, i in order[:k]]
+    return [(r[1], i) for r, i in order[:k]]
 
 
-def keys_of(rare: list[str], counts: np.ndarray) -> list[tuple[str, str, int]]:
+def keys_of(rare: list[str], ranks: Ranks) -> list[tuple[str, str, int]]:
     """(key, token, position) of a node: two nodes that ``similarity`` accepts share a key, see ``may_be_alike``.
 
     Names of equally many tokens have a pair of tokens that is at least as alike as the
@@ -407,14 +433,20 @@ def keys_of(rare: list[str], counts: np.ndarray) -> list[tuple[str, str, int]]:
     out = [("= " + "".join(rare).replace("rn", "m"), "", -1)]
     if len(rare) > 1:
         out += {(f"{len(rare)}= " + t.replace("rn", "m"), "", -1) for t in rare}
-    return out + [(f"{len(rare)} {g}", t, i) for t in dict.fromkeys(rare) for g, i in prefix(t, counts)]
+    return out + [(f"{len(rare)} {g}", t, i) for t in dict.fromkeys(rare) for g, i in prefix(t, ranks)]
 
 
-def may_be_alike(a: Column, b: Column, at_a: Column, at_b: Column) -> Column:
-    """Whether tokens that share a gram at these positions can be alike: exact bounds, a swap being two plain edits."""
-    longer, apart = F.greatest(F.length(a), F.length(b)), F.abs(F.length(a) - F.length(b))
-    edits = F.levenshtein(a, b, 4)  # -1 for more
-    return (at_a < 0) | ((F.abs(at_a - at_b) <= 2) & (apart <= 2) & (edits >= 0) & ((edits <= 2) | (longer >= 10)))
+def may_be_alike(a: str, b: str) -> Column:
+    """Whether tokens that share a gram can be alike, of columns with these prefixes: exact bounds.
+
+    An error shifts by one place, changes two kinds of letters, and is two plain edits, as a swap is.
+    """
+    of = lambda c: (F.col(a + c), F.col(b + c))
+    (s, t), (i, j), (x, y) = of("token"), of("at"), of("kinds")
+    longer = F.greatest(F.length(s), F.length(t))
+    edits = F.levenshtein(s, t, 4)  # -1 for more
+    near = (F.abs(i - j) <= 2) & (F.abs(F.length(s) - F.length(t)) <= 2) & (F.bit_count(x.bitwiseXOR(y)) <= F.when(longer >= 10, 4).otherwise(2))
+    return (i < 0) | (near & (edits >= 0) & ((edits <= 2) | (longer >= 10)))
 
 
 def similarity(a: list[str], b: list[str], wa: list[float], wb: list[float]) -> float:
@@ -477,46 +509,57 @@ def learn(names: DataFrame, common: dict[str, int], frequent: dict[str, int]) ->
     """Short forms and given names, from how names that are alike but for one word differ.
 
     Names of one id that agree in all other words spell the same thing in two ways; in each
-    such group all words stand for the most frequent one, so no pairs are made. A word is a
+    such group the least frequent word stands for the most frequent one, so no pairs are made. A word is a
     short form if it is rarer than its partner, has it in most of its groups, and isn't a
     mistyped spelling of it. A common word is a given name if it is found cut to its first
     letter: in names, of whatever ids, that agree in all other words, an uncommon one among them.
     """
-    schema = "id string, rest string, certain boolean, w string, n bigint"
+    order = sorted(frequent, key=lambda w: (-frequent[w], w))
+    number = {w: i for i, w in enumerate(order)}
+    schema = "id string, rest string, certain boolean, word bigint, letter bigint"
+
+    def letter_of(w: str) -> int:
+        return ord(w[0]) & 31
 
     def holes(batches):
         for pdf in batches:
             out = []
             for i, s in zip(pdf["id"], pdf["tokens"]):
                 words = sorted(t for t in s.split() if t not in _LEGAL and t not in _JOINING)
+                if len(words) < 2:
+                    continue
                 uncommon = sum(len(t) > 1 and t not in common and not t.isdigit() for t in words)
                 for k, w in enumerate(words):
-                    n = frequent.get(w, 0)
-                    if len(words) > 1 and not w.isdigit() and (n or len(w) == 1):
-                        certain = uncommon > (len(w) > 1 and w not in common)
-                        out.append((i, " ".join(words[:k] + words[k + 1 :]), certain, w, 0 if len(w) == 1 else n))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    rows = cut(names.mapInPandas(holes, schema).select(F.xxhash64("id", "rest").alias("own"), F.xxhash64("rest").alias("any"), "certain", "w", "n"))
-    fillers = F.collect_set(F.struct("n", "w"))  # of frequent words, which are bounded
-    own = rows.where("n > 0").groupBy("own").agg(fillers.alias("f")).where("size(f) > 1")
-    pairs = own.select(F.array_max("f")["w"].alias("long"), F.explode("f.w").alias("w")).where("w <> long").groupBy("w", "long").agg(F.count(F.lit(1)).alias("n"))
-    best = pairs.groupBy("w").agg(F.max(F.struct("n", "long")).alias("b"), F.sum("n").alias("groups"))
-    short = {}
-    for r in best.where(F.col("b.n") >= MOST_GROUPS * F.col("groups")).collect():  # at most one for each frequent word
-        w, y, n = r["w"], r["b"]["long"], r["b"]["n"]
-        if y in common and frequent[w] < frequent[y] and n >= ALTERNATE_SHARE * frequent[w] and typing_distance(w, y, 2) > (2 if min(len(w), len(y)) >= 8 else 1):
-            short[w] = y
-    letters = rows.where("certain").groupBy("any").agg(fillers.alias("f")).where("array_min(f).n = 0 AND array_max(f).n > 0")
-    letter = F.explode(F.transform(F.filter("f", lambda x: x["n"] == 0), lambda x: x["w"])).alias("letter")
-    cut_to = letters.select("f", letter).select(F.array_max(F.filter("f", lambda x: (x["n"] > 0) & x["w"].startswith(F.col("letter"))))["w"].alias("w"))
-    found = cut_to.where("w IS NOT NULL").groupBy("w").count().collect()  # at most one for each frequent word
-    count: dict[str, int] = {}
-    for r in found:
-        y = short.get(r["w"], r["w"])
-        count[y] = count.get(y, 0) + r["count"]
-    release(rows)
-    return Lexicon({k: short.get(v, v) for k, v in short.items()}, frozenset(w for w, n in count.items() if w in common and n >= GIVEN_SHARE * common[w]))
+                    rest = " ".join(words[:k] + words[k + 1 :])
+                    if len(w) == 1:
+                        if uncommon and w.isalpha():
+                            out.append((i, rest, True, None, 1 << letter_of(w)))
+                    elif w in number and not w.isdigit():
+                        out.append((i, rest, uncommon > (w not in common), number[w] * 32 + letter_of(w), 0))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]).astype({"word": "Int64"})
+
+    # a group is the names of an id, or of all ids, that agree in all words but one; words go by number, most frequent first
+    own, any_ = F.struct(F.lit(True).alias("own"), F.xxhash64("id", "rest").alias("key")), F.struct(F.lit(False).alias("own"), F.xxhash64("rest").alias("key"))
+    keyed = names.mapInPandas(holes, schema).select(F.explode(F.when(F.col("certain"), F.array(own, any_)).otherwise(F.array(own))).alias("g"), "word", "letter")
+    groups = keyed.groupBy("g.own", "g.key").agg(F.min("word").alias("top"), F.max("word").alias("low"), F.bit_or("letter").alias("letters"))
+    cut_short = F.col("letters").bitwiseAND(F.expr("shiftleft(1L, CAST(top & 31 AS INT))")) != 0
+    said = groups.where(F.when(F.col("own"), F.col("low") > F.col("top")).otherwise(cut_short))
+    pairs = said.groupBy(F.when(F.col("own"), F.col("low")).otherwise(F.lit(-1) - F.col("top")).alias("w"), "top").agg(F.count(F.lit(1)).alias("n"))
+    best = pairs.groupBy("w").agg(F.max(F.struct("n", "top")).alias("b"), F.sum("n").alias("groups")).select("w", "b.n", "b.top", "groups")
+    short, count = {}, {}
+    for r in best.collect():  # at most two for each frequent word
+        y = order[r.top // 32]
+        if r.w < 0:
+            count[y] = r.n
+            continue
+        w = order[r.w // 32]
+        if y in common and frequent[w] < frequent[y] and r.n >= max(ALTERNATE_SHARE * frequent[w], MOST_GROUPS * r.groups):
+            if typing_distance(w, y, 2) > (2 if min(len(w), len(y)) >= 8 else 1):
+                short[w] = y
+    for w, y in short.items():
+        if w in count:
+            count[y] = count.get(y, 0) + count[w]
+    return Lexicon({k: short.get(v, v) for k, v in short.items()}, frozenset(w for w, n in count.items() if w in common and w not in short and n >= GIVEN_SHARE * common[w]))
 
 
 def forms_of(names: DataFrame, common: dict[str, int], lexicon: Lexicon = USUAL) -> DataFrame:
@@ -545,18 +588,20 @@ def similar_nodes(nodes: DataFrame) -> DataFrame:
     counts = gram_counts(nodes)
 
     def keys(batches):
+        ranks = Ranks(counts)
         for pdf in batches:
-            made = [keys_of(r.split(), counts) for r in pdf["rare"]]
+            made = [keys_of(r.split(), ranks) for r in pdf["rare"]]
             at = np.repeat(np.arange(len(pdf)), [len(m) for m in made])
             k, t, i = zip(*(x for m in made for x in m)) if made else ((), (), ())
-            yield pd.DataFrame({"node": pdf["node"].to_numpy()[at], "block": pdf["block"].to_numpy()[at], "letters": pdf["letters"].to_numpy()[at], "k": k, "token": t, "at": i})
+            kinds = [_letters(w) for w in t]
+            yield pd.DataFrame({"node": pdf["node"].to_numpy()[at], "block": pdf["block"].to_numpy()[at], "letters": pdf["letters"].to_numpy()[at], "k": k, "token": t, "kinds": kinds, "at": i})
 
-    person = named.select("node", "block", "letters", "rare").mapInPandas(keys, "node bigint, block string, letters string, k string, token string, at int")
+    person = named.select("node", "block", "letters", "rare").mapInPandas(keys, "node bigint, block string, letters string, k string, token string, kinds bigint, at int")
     lettered = person.withColumn("letter", letters_of(F.col("letters")))
-    keyed = lettered.select(join_key(F.col("block"), F.col("letter"), F.col("k")).alias("key"), "node", "token", "at")
-    side = lambda s: keyed.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "token", "at")])
+    keyed = lettered.select(join_key(F.col("block"), F.col("letter"), F.col("k")).alias("key"), "node", "token", "kinds", "at")
+    side = lambda s: keyed.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "token", "kinds", "at")])
     met = salted_join(side("a"), side("b"), "key", F.col("a_node"), hot_keys(nodes)).where(F.col("a_node") < F.col("b_node"))
-    met = met.where(may_be_alike(F.col("a_token"), F.col("b_token"), F.col("a_at"), F.col("b_at"))).select("a_node", "b_node").distinct()
+    met = met.where(may_be_alike("a_", "b_")).select("a_node", "b_node").distinct()
     of = lambda s: named.select(*[F.col(c).alias(f"{s}_{c}") for c in ("node", "given", "middle", "rare")])
     given_ok = (F.col("a_given") == F.col("b_given")) | (F.col("a_given") == "") | (F.col("b_given") == "")
     middle_ok = (F.col("a_middle") == F.col("b_middle")) | (F.col("a_middle") == "") | (F.col("b_middle") == "")

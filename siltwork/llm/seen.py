@@ -8,8 +8,11 @@ negatives and a false positive rate of 2^-bits a filter. Each sealed batch (a
 of rows of one key.
 
 An arriving row is seen if a filter of an earlier generation has its key, or if its key
-occurred earlier within its own, still open batch; that part is exact. The rate of wrong
-answers compounds over the generations probed: 1 - (1 - 2^-bits)^g.
+occurred earlier within its own, still open batch. Within a batch keys are compared as they
+are, which is exact. Filters know keys by a 64-bit hash: a new key is taken for a seen one if
+a filter errs, or if its hash is that of one of the n earlier keys. So the rate of wrong
+answers compounds over the generations probed: 1 - (1 - 2^-bits)^g (1 - 2^-64)^n. A seen
+key is always found.
 
 Null and empty keys are no keys: never stored, never seen. Repeated rows count as rows
 that arrive one after the other. Rows without arrival time arrive last. Empty tables give
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 
 from siltwork.session import cut
 
-BITS = 32
+BITS = 24
+MEASURED_BITS = 8  # so few that errors can be counted
 SHARD_KEYS = 50_000
 SLOTS_A_KEY = 1.23
 FILTER_SCHEMA = "generation int, shard int, seed bigint, segment int, n_keys bigint, bits int, slots binary"
@@ -51,7 +55,7 @@ def _places(keys: np.ndarray, seed: int, segment: int, bits: int) -> tuple[np.nd
 
 
 def build_filter(keys: np.ndarray, bits: int = BITS) -> tuple[int, int, np.ndarray]:
-    """(seed, segment, slots) of a filter over distinct 64-bit keys, by peeling in rounds.
+    """(seed, segment, slots) of a filter over distinct 64-bit keys, by peeling in rounds; bits is 8, 16, 24 or 32.
 
     A round takes all slots that hold one remaining key. The keys of a round don't share
     their chosen slots, so a round is assigned at once, last round first.
@@ -81,19 +85,21 @@ def build_filter(keys: np.ndarray, bits: int = BITS) -> tuple[int, int, np.ndarr
             for who, at in reversed(rounds):
                 a, b, c = slots[:, who]
                 table[at] = prints[who] ^ table[a] ^ table[b] ^ table[c]
-            return seed, segment, table.astype(f"<u{bits // 8}")
+            return seed, segment, table.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : bits // 8]
     raise RuntimeError("no seed peels these keys: they aren't distinct")
 
 
 def probe_filter(keys: np.ndarray, seed: int, segment: int, bits: int, slots: bytes) -> np.ndarray:
-    table = np.frombuffer(slots, dtype=f"<u{bits // 8}")
+    wide = np.zeros((3 * segment, 8), dtype=np.uint8)
+    wide[:, : bits // 8] = np.frombuffer(slots, dtype=np.uint8).reshape(3 * segment, -1)
+    table = wide.view("<u8").ravel()
     (a, b, c), prints = _places(keys, seed, segment, bits)
-    return (table[a] ^ table[b] ^ table[c]).astype(np.uint64) == prints
+    return table[a] ^ table[b] ^ table[c] == prints
 
 
-def error_rate(generations: int, bits: int = BITS) -> float:
-    """The rate of wrong answers for a new key after so many generations."""
-    return float(-np.expm1(generations * np.log1p(-(2.0**-bits))))
+def error_rate(generations: int, bits: int = BITS, keys: int = 0) -> float:
+    """The rate of wrong answers for a new key after so many generations of so many keys together."""
+    return float(-np.expm1(generations * np.log1p(-(2.0**-bits)) + keys * np.log1p(-(2.0**-64))))
 
 
 def key_hash(key: Column) -> Column:
@@ -153,15 +159,15 @@ def seen_before(
     that holds a third of all rows costs no more than another. All rows with a key are
     found but the first of the batch in which no earlier filter has it; row_id is unique.
     """
-    known = rows.where((F.col(key) != "")).select(F.col(row_id).alias("row_id"), F.col(arrived).alias("arrived"), key_hash(F.col(key)).alias("h"))
+    known = rows.where((F.col(key) != "")).select(F.col(row_id).alias("row_id"), F.col(arrived).alias("arrived"), F.col(key).alias("key"))
     batched = generations(known, "arrived", n_batches)
     first = F.min(F.struct(F.col("arrived").isNull(), F.col("arrived"), F.col("row_id"))).getField("row_id")
-    lines = cut(batched.groupBy("generation", "h").agg(first.alias("first_row")))
+    lines = cut(batched.groupBy("generation", "key").agg(first.alias("first_row")).select("generation", key_hash(F.col("key")).alias("h"), "first_row"))
     sealed = earlier.where(F.col(key) != "").select(F.lit(0).alias("generation"), key_hash(F.col(key)).alias("h"))
     keys = lines.select("generation", "h").unionByName(sealed)
     shards = max(1, -(-keys.count() // SHARD_KEYS))
     filters = cut(build_filters(keys, shards, bits))
-    fresh = probe(lines, filters, shards).where("n_hits = 0").join(lines, ["generation", "h"])
+    fresh = probe(lines.select("generation", "h").distinct(), filters, shards).where("n_hits = 0").join(lines, ["generation", "h"])
     found = known.select("row_id").join(fresh.select(F.col("first_row").alias("row_id")), "row_id", "left_anti")
     return found.select(F.col("row_id").alias(row_id)), filters
 
@@ -169,6 +175,8 @@ def seen_before(
 def error_report(filters: DataFrame, trials: int = 4) -> DataFrame:
     """For each generation: keys, bits a key, stated rates, and the rate measured with keys that aren't stored.
 
+    The rate of filters of MEASURED_BITS can be told from 0 with few keys; that of wider ones follows the same law.
+
     Absent keys are drawn for each filter: as many as trials x its keys, from a counter
     that is mixed; an absent key equals a stored one in 2^-64 of the cases.
     """
@@ -187,12 +195,14 @@ def error_report(filters: DataFrame, trials: int = 4) -> DataFrame:
     by = measured.groupBy("generation", "bits").agg(*[F.sum(c).alias(c) for c in ("n_keys", "n_bytes", "asked", "wrong")])
     upto = Window.orderBy("generation").rowsBetween(Window.unboundedPreceding, 0)  # one row for each generation
     single = F.pow(F.lit(2.0), -F.col("bits"))
+    hashes = F.sum("n_keys").over(upto) * F.log1p(F.lit(-(2.0**-64)))
     return by.select(
         "generation",
+        "bits",
         "n_keys",
         (F.col("n_bytes") * 8 / F.col("n_keys")).alias("bits_a_key"),
         single.alias("stated_rate"),
-        (-F.expm1(F.sum(F.log1p(-single)).over(upto))).alias("compounded_rate"),
+        (-F.expm1(F.sum(F.log1p(-single)).over(upto) + hashes)).alias("compounded_rate"),
         (F.col("wrong") / F.col("asked")).alias("measured_rate"),
         "asked",
         "wrong",
