@@ -126,8 +126,7 @@ FIRST_ACCURACY = 0.8
 FALSE_VALUES = 20.0  # how many false values an item may have
 COPY_RATE = 0.8  # the share of its values that a copier copies
 COPY_PRIOR = 0.1
-MAX_SOURCES = 62
-MAX_FIELDS = 16
+MODEL_NUMBERS = 20_000_000  # fields x sources squared, the size of the model itself: 2,236 sources of 4 fields
 
 
 def claims(company: DataFrame) -> DataFrame:
@@ -148,17 +147,16 @@ def _vote_weights(accuracy: np.ndarray) -> np.ndarray:
     return np.log(FALSE_VALUES * a / (1 - a))
 
 
-def _scores(masks: np.ndarray, accuracy: np.ndarray, copied: np.ndarray) -> np.ndarray:
-    """Sum of votes by value. A source's vote counts in so far as it doesn't copy a better one that says the same."""
-    weight, order = _vote_weights(accuracy), np.argsort(-accuracy, kind="stable")
-    says = (masks[:, None] >> np.arange(len(accuracy))[None, :]) & 1
-    total = np.zeros(len(masks))
-    for k, s in enumerate(order):
-        own = np.ones(len(masks))
-        for better in order[:k]:
-            own *= np.where(says[:, better] == 1, 1 - COPY_RATE * copied[s, better], 1.0)
-        total += says[:, s] * weight[s] * own
-    return total
+def _score(says: np.ndarray, accuracy: np.ndarray, copied: np.ndarray) -> float:
+    """The votes of sources that say the same. One's vote counts in so far as it doesn't copy a better one of them."""
+    says = says[np.argsort(-accuracy[says], kind="stable")]
+    alone = np.tril(1 - COPY_RATE * copied[np.ix_(says, says)], -1)
+    alone[np.triu_indices(len(says))] = 1
+    return float((_vote_weights(accuracy[says]) * alone.prod(axis=1)).sum())
+
+
+def _numbers(says: str) -> np.ndarray:
+    return np.array(says.split(","), dtype=np.int64)
 
 
 def _dependence(same_true: np.ndarray, same_false: np.ndarray, differ: np.ndarray, accuracy: np.ndarray) -> np.ndarray:
@@ -188,10 +186,12 @@ def _blind_dependence(agree: np.ndarray, differ: np.ndarray, accuracy: float) ->
 
 
 class Fusion:
-    """The fitted model and the values: ``values`` has (id, field_no, value, mask).
+    """The fitted model and the values: ``values`` has (id, field_no, value, says), says the numbers of the sources that say it.
 
     accuracy[f, s] is that of source s in field f, copied[f, s, t] the probability that s and
     t depend on each other there: a source may be right about names and wrong about dates.
+    Dependence has no direction: of two sources that depend on each other, the less accurate
+    one's votes are discounted.
     """
 
     def __init__(self, fields: list[str], sources: list[str], values: DataFrame):
@@ -199,26 +199,29 @@ class Fusion:
         self.accuracy = np.full((len(fields), len(sources)), FIRST_ACCURACY)
         self.copied = np.zeros((len(fields), len(sources), len(sources)))
 
+    def scorer(self):
+        """A function of (field number, says) that gives the votes."""
+        accuracy, copied, known = self.accuracy, self.copied, {}
+
+        def score(f: int, says: str) -> float:
+            if (f, says) not in known:
+                known[f, says] = min(_score(_numbers(says), accuracy[f], copied[f]), 300.0)
+            return known[f, says]
+
+        return score
+
     def posteriors(self) -> DataFrame:
-        """(id, field_no, value, mask, posterior), the posterior against the item's other values and unseen false ones."""
-        accuracy, copied = self.accuracy, self.copied
+        """(id, field_no, value, posterior), the posterior against the item's other values and unseen false ones."""
+        score = self.scorer()
 
         @F.pandas_udf("double")
-        def score(field_no: pd.Series, mask: pd.Series) -> pd.Series:
-            out = np.zeros(len(mask))
-            for f in range(len(accuracy)):
-                at = np.flatnonzero(field_no.to_numpy() == f)
-                if len(at):
-                    seen, back = np.unique(mask.to_numpy()[at], return_inverse=True)
-                    out[at] = _scores(seen, accuracy[f], copied[f])[back]
-            return pd.Series(out)
-
-        scored = self.values.withColumn("weight", F.exp(F.least(score("field_no", "mask"), F.lit(300.0))))
+        def weigh(field_no: pd.Series, says: pd.Series) -> pd.Series:
+            return pd.Series([np.exp(score(f, s)) for f, s in zip(field_no, says)], dtype="float64")
+
+        scored = self.values.withColumn("weight", weigh("field_no", "says"))
         total = scored.groupBy("id", "field_no").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n_values"))
         unseen = F.greatest(F.lit(FALSE_VALUES) + 1 - F.col("n_values"), F.lit(0.0))
-        return scored.join(total, ["id", "field_no"]).select(
-            "id", "field_no", "value", "mask", (F.col("weight") / (F.col("total") + unseen)).alias("posterior")
-        )
+        return scored.join(total, ["id", "field_no"]).select("id", "field_no", "value", (F.col("weight") / (F.col("total") + unseen)).alias("posterior"))
 
     def survivors(self) -> DataFrame:
         """(id, field_name, value, posterior): the most probable value of each field."""
@@ -241,28 +244,30 @@ class Fusion:
 def fuse(made: DataFrame, rounds: int = ROUNDS) -> Fusion:
     """Fits a Fusion to claims (id, field_name, value, src).
 
-    Sources that say the same value of an item become bits of one mask, so pairs of
-    sources are counted in one aggregate and never built from rows. The model is at most
-    MAX_FIELDS times MAX_SOURCES numbers and their squares; more of either raise.
+    What an item's values weigh depends on nothing but which sources say each of them. So
+    items are brought to the list of their values' sets of sources, with how many values
+    each set has, and equal lists are counted: the rounds run over distinct lists, and
+    shuffle nothing but sums of pairs of sources. A list is as long as the item has
+    different sets of sources, however many values or rows it has. The model is of the
+    square of the sources; one of more than MODEL_NUMBERS numbers is refused.
     """
-    fields, sources = [
-        [r[0] for r in made.select(c).distinct().orderBy(c).limit(most + 1).collect()] for c, most in (("field_name", MAX_FIELDS), ("src", MAX_SOURCES))
-    ]
-    if len(sources) > MAX_SOURCES or len(fields) > MAX_FIELDS:
-        raise ValueError(f"fusion takes at most {MAX_SOURCES} sources and {MAX_FIELDS} fields")
+    fields, sources = [[r[0] for r in made.select(c).distinct().orderBy(c).limit(int(MODEL_NUMBERS**0.5) + 1).collect()] for c in ("field_name", "src")]
     n = len(sources)
-    bit, number = F.lit(0).cast("bigint"), F.lit(0)
-    for i, s in enumerate(sources):
-        bit = F.when(F.col("src") == s, F.lit(1 << i).cast("bigint")).otherwise(bit)
-    for i, f in enumerate(fields):
-        number = F.when(F.col("field_name") == f, F.lit(i)).otherwise(number)
-    values = cut(made.groupBy("id", number.alias("field_no"), "value").agg(F.bit_or(bit).alias("mask")))
+    if len(fields) * n * n > MODEL_NUMBERS:
+        raise ValueError(f"a model of {len(fields)} fields and {n} sources has more than {MODEL_NUMBERS} numbers")
+    spark = made.sparkSession
+    numbers = [spark.createDataFrame(list(enumerate(x)), f"{no} int, {c} string") for x, no, c in ((fields, "field_no", "field_name"), (sources, "src_no", "src"))]
+    numbered = made.join(F.broadcast(numbers[0]), "field_name").join(F.broadcast(numbers[1]), "src")  # at most MODEL_NUMBERS rows, mostly a handful
+    says = F.array_join(F.array_sort(F.collect_set("src_no")).cast("array<string>"), ",")
+    values = cut(numbered.groupBy("id", "field_no", "value").agg(says.alias("says")))
     model = Fusion(fields, sources, values)
-    items = values.groupBy("id", "field_no").agg(F.bit_or("mask").alias("mask"))
-    together = _pair_counts(items.groupBy("field_no", "mask").agg(F.count(F.lit(1)).cast("double").alias("w")), len(fields), n, "w")[0]
+    classes = values.groupBy("id", "field_no", "says").agg(F.count(F.lit(1)).alias("n"))
+    lists = classes.groupBy("id", "field_no").agg(F.array_sort(F.collect_list(F.struct("says", "n"))).alias("held"))
+    items = cut(lists.groupBy("field_no", F.col("held.says").alias("says"), F.col("held.n").alias("n")).agg(F.count(F.lit(1)).alias("items")))
+    together = None
     for k in range(rounds if n else 0):
-        by_mask = model.posteriors().groupBy("field_no", "mask").agg(F.sum("posterior").alias("true"), F.count(F.lit(1)).cast("double").alias("all"))
-        true, every = _pair_counts(by_mask, len(fields), n, "true", "all")
+        true, every, met = _pair_sums(items, model, together is None)
+        together = met if together is None else together
         for f in range(len(fields)):
             differ = np.clip(together[f] - every[f], 0, None)
             if not k:  # copies must be discounted before they can make their source look right
@@ -273,21 +278,34 @@ def fuse(made: DataFrame, rounds: int = ROUNDS) -> Fusion:
     return model
 
 
-def _pair_counts(by_mask: DataFrame, fields: int, n: int, *weights: str) -> list[np.ndarray]:
-    """For each weight, its sums over the masks that hold both bits, by field and pair of bits; the masks stay distributed."""
+def _pair_sums(items: DataFrame, model: Fusion, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By field and pair of sources: the true values that both say, all that both say, and (if first) the items of which both say something."""
+    shape = model.copied.shape
+    score = model.scorer()
 
     def pairs(batches):
+        sums: dict[tuple[int, int], np.ndarray] = {}
+
+        def add(k: int, f: int, says: np.ndarray, w: float) -> None:
+            if (k, f) not in sums:
+                sums[k, f] = np.zeros(shape[1:])
+            sums[k, f][np.ix_(says, says)] += w
+
         for pdf in batches:
-            says = ((pdf["mask"].to_numpy()[:, None] >> np.arange(n)[None, :]) & 1).astype(float)
-            for f in range(fields):
-                at = np.flatnonzero(pdf["field_no"].to_numpy() == f)
-                for k, w in enumerate(weights):
-                    sums = (says[at] * pdf[w].to_numpy()[at, None]).T @ says[at]
-                    i, j = np.nonzero(sums)
-                    yield pd.DataFrame({"k": k, "f": f, "i": i, "j": j, "s": sums[i, j]})
-
-    out = [np.zeros((fields, n, n)) for _ in weights]
-    sums = by_mask.mapInPandas(pairs, "k int, f int, i int, j int, s double").groupBy("k", "f", "i", "j").agg(F.sum("s").alias("s"))
-    for r in sums.collect():  # at most weights x MAX_FIELDS x MAX_SOURCES squared
-        out[r.k][r.f, r.i, r.j] = r.s
-    return out
+            for f, says, n, many in zip(pdf["field_no"], pdf["says"], pdf["n"], pdf["items"]):
+                weight = np.exp([score(f, s) for s in says])
+                total = float((weight * n).sum()) + max(FALSE_VALUES + 1 - float(sum(n)), 0.0)
+                sets = [_numbers(s) for s in says]
+                for s, w, c in zip(sets, weight, n):
+                    add(0, f, s, many * c * w / total)
+                    add(1, f, s, many * c)
+                if first:
+                    add(2, f, np.unique(np.concatenate(sets)), many)
+        for (k, f), s in sums.items():
+            i, j = np.nonzero(s)
+            yield pd.DataFrame({"k": k, "f": f, "i": i, "j": j, "s": s[i, j]})
+
+    out = np.zeros((3, *shape))
+    for r in items.mapInPandas(pairs, "k int, f int, i int, j int, s double").groupBy("k", "f", "i", "j").agg(F.sum("s").alias("s")).toLocalIterator():
+        out[r.k, r.f, r.i, r.j] = r.s
+    return out[0], out[1], out[2]
