@@ -34,6 +34,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ from siltwork.session import cut, release
 Q = 3
 GRAM_BUCKETS = 1 << 16
 MIN_SIMILARITY = 0.8
-HOT_SHARE = 0.0005  # of all grams
+HOT_SHARE = 0.002  # of all grams
 LARGE_SHARE = 0.01  # of all linked ids
 LONG_WORD = 7  # letters from which a word may hold two typing errors
 COMMON_SHARE = 0.0004
@@ -376,15 +377,21 @@ def letters_of(letters: Column) -> Column:
     return F.explode(F.when(letters == "", F.array(F.lit(""))).otherwise(F.split(letters, "")))
 
 
-def join_key(block: Column, letter: Column, key: Column) -> Column:
-    return F.xxhash64(F.xxhash64(block), letter, key)
+def join_key(letter: str, key: str) -> Column:
+    return F.xxhash64("block", letter, key)
 
 
-def hot_keys(nodes: DataFrame) -> list[int]:
-    """Hashes of join keys under which many nodes lie, whichever of their grams are in a prefix; at most 1 / HOT_SHARE + 1."""
-    size = F.size(F.split("rare", " ")).cast("string").alias("size")
-    keyed = _grams(nodes, F.col("block"), letters_of(F.col("letters")).alias("letter"), size)
-    return heavy_hashes(keyed.select(join_key(F.col("block"), F.col("letter"), F.concat_ws(" ", "size", "g")).alias("key")), [F.col("key")], HOT_SHARE)
+def hot_keys(nodes: DataFrame, n_grams: int) -> list[int]:
+    """Hashes of join keys under which at least HOT_SHARE of the grams may lie, whichever are in a prefix; at most 1 / HOT_SHARE + 1.
+
+    No more nodes lie under a key than there are in its block, so blocks are looked at first.
+    """
+    blocks = nodes.where("rare <> ''").select(F.xxhash64("block").alias("block"), letters_of(F.col("letters")).alias("letter"), F.size(F.split("rare", " ")).alias("n"), "rare")
+    largest = blocks.groupBy("block", "letter").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest < HOT_SHARE * n_grams:
+        return []
+    keyed = _grams(blocks, F.col("block"), F.col("letter"), F.col("n"))
+    return heavy_hashes(keyed.withColumn("k", F.concat_ws(" ", "n", "g")).select(join_key("letter", "k").alias("key")), [F.col("key")], HOT_SHARE)
 
 
 def gram_counts(nodes: DataFrame) -> np.ndarray:
@@ -423,17 +430,44 @@ def prefix(t: str, ranks: Ranks) -> list[tuple[str, int]]:
     return [(r[1], i) for r, i in order[:k]]
 
 
-def keys_of(rare: list[str], ranks: Ranks) -> list[tuple[str, str, int]]:
-    """(key, token, position) of a node: two nodes that ``similarity`` accepts share a key, see ``may_be_alike``.
+def plain_keys(tokens: Column, n: Column) -> Column:
+    """Keys by which names meet without a gram: the joined name, and of names of several tokens each of these.
+
+    m typed as rn counts as one error however often, so words meet with m written for rn.
+    """
+    plain = lambda c: F.replace(c, F.lit("rn"), F.lit("m"))
+    joined = F.array(F.concat(F.lit("= "), plain(F.array_join(tokens, ""))))
+    return F.when(n == 1, joined).otherwise(F.concat(joined, F.transform(tokens, lambda t: F.concat(n.cast("string"), F.lit("= "), plain(t)))))
+
+
+def kinds_of(token: Column) -> Column:
+    """The kinds of letters of a token as bits; kinds may share one."""
+    bits = F.transform(F.split(token, ""), lambda c: F.call_function("shiftleft", F.lit(1), F.ascii(c).bitwiseAND(F.lit(31))))
+    return F.aggregate(bits, F.lit(0), lambda a, x: a.bitwiseOR(x))
+
+
+def keyed_nodes(nodes: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(key, node, token, kinds, at): two nodes that ``similarity`` accepts share a key, see ``may_be_alike``.
 
     Names of equally many tokens have a pair of tokens that is at least as alike as the
-    names on average. Others must be the same when joined. m typed as rn counts as one
-    error however often, so words also meet with m written for rn, without a position.
+    names on average, and meet by a gram of their prefixes; others must be the same when
+    joined. A person's node is keyed by each of its letters.
     """
-    out = [("= " + "".join(rare).replace("rn", "m"), "", -1)]
-    if len(rare) > 1:
-        out += {(f"{len(rare)}= " + t.replace("rn", "m"), "", -1) for t in rare}
-    return out + [(f"{len(rare)} {g}", t, i) for t in dict.fromkeys(rare) for g, i in prefix(t, ranks)]
+
+    @F.pandas_udf("array<string>")
+    def grams(words: pd.Series) -> pd.Series:
+        ranks = Ranks(counts)
+        return pd.Series([[f"{g}{i}" for g, i in prefix(t, ranks)] for t in words], dtype=object)
+
+    split = F.split("rare", " ")
+    named = nodes.where("rare <> ''").select("node", F.xxhash64("block").alias("block"), "letters", split.alias("words"), F.size(split).alias("n"))
+    words = named.select("node", "block", "letters", "n", F.explode(F.array_distinct("words")).alias("token"))
+    # the outer explode keeps Spark from asking for the grams a second time, to see whether there are any
+    held = words.select("*", grams("token").alias("grams"), kinds_of(F.col("token")).alias("kinds")).withColumn("g", F.explode_outer("grams")).where("g IS NOT NULL")
+    by_gram = held.select("node", "block", "letters", "token", "kinds", F.concat_ws(" ", "n", F.substring("g", 1, Q)).alias("k"), F.substring("g", Q + 1, 9).cast("int").alias("at"))
+    plain = named.select("node", "block", "letters", F.lit("").alias("token"), F.lit(0).alias("kinds"), F.explode(plain_keys(F.col("words"), F.col("n"))).alias("k"), F.lit(-1).alias("at"))
+    lettered = by_gram.unionByName(plain).withColumn("letter", letters_of(F.col("letters")))
+    return lettered.select(join_key("letter", "k").alias("key"), "node", "token", "kinds", "at")
 
 
 def may_be_alike(a: str, b: str) -> Column:
@@ -516,11 +550,14 @@ def learn(names: DataFrame, common: dict[str, int], frequent: dict[str, int]) ->
     """
     order = sorted(frequent, key=lambda w: (-frequent[w], w))
     number = {w: i for i, w in enumerate(order)}
-    schema = "id string, rest string, certain boolean, word bigint, letter bigint"
+    schema = "own bigint, every bigint, certain boolean, word bigint, letter bigint"
 
     def letter_of(w: str) -> int:
         return ord(w[0]) & 31
 
+    def digest(text: str) -> int:
+        return xxhash.xxh3_64_intdigest(text) - 2**63
+
     def holes(batches):
         for pdf in batches:
             out = []
@@ -530,16 +567,17 @@ def learn(names: DataFrame, common: dict[str, int], frequent: dict[str, int]) ->
                     continue
                 uncommon = sum(len(t) > 1 and t not in common and not t.isdigit() for t in words)
                 for k, w in enumerate(words):
-                    rest = " ".join(words[:k] + words[k + 1 :])
-                    if len(w) == 1:
-                        if uncommon and w.isalpha():
-                            out.append((i, rest, True, None, 1 << letter_of(w)))
-                    elif w in number and not w.isdigit():
-                        out.append((i, rest, uncommon > (w not in common), number[w] * 32 + letter_of(w), 0))
+                    if len(w) == 1 and uncommon and w.isalpha() or len(w) > 1 and w in number and not w.isdigit():
+                        rest = " ".join(words[:k] + words[k + 1 :])
+                        if len(w) == 1:
+                            said = True, None, 1 << letter_of(w)
+                        else:
+                            said = uncommon > (w not in common), number[w] * 32 + letter_of(w), 0
+                        out.append((digest(f"{i}\n{rest}"), digest(rest), *said))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]).astype({"word": "Int64"})
 
     # a group is the names of an id, or of all ids, that agree in all words but one; words go by number, most frequent first
-    own, any_ = F.struct(F.lit(True).alias("own"), F.xxhash64("id", "rest").alias("key")), F.struct(F.lit(False).alias("own"), F.xxhash64("rest").alias("key"))
+    own, any_ = (F.struct(F.lit(c == "own").alias("own"), F.col(c).alias("key")) for c in ("own", "every"))
     keyed = names.mapInPandas(holes, schema).select(F.explode(F.when(F.col("certain"), F.array(own, any_)).otherwise(F.array(own))).alias("g"), "word", "letter")
     groups = keyed.groupBy("g.own", "g.key").agg(F.min("word").alias("top"), F.max("word").alias("low"), F.bit_or("letter").alias("letters"))
     cut_short = F.col("letters").bitwiseAND(F.expr("shiftleft(1L, CAST(top & 31 AS INT))")) != 0
@@ -581,26 +619,15 @@ def forms_of(names: DataFrame, common: dict[str, int], lexicon: Lexicon = USUAL)
 def similar_nodes(nodes: DataFrame) -> DataFrame:
     """(a, b, weak, a_given, b_given) of node pairs that name the same; weak: one has an initial for the other's given name.
 
-    nodes: forms, distinct by node. A person's node is keyed by each of its letters.
+    nodes: forms, distinct by node.
     """
 
     named = nodes.where("rare <> ''")
     counts = gram_counts(nodes)
 
-    def keys(batches):
-        ranks = Ranks(counts)
-        for pdf in batches:
-            made = [keys_of(r.split(), ranks) for r in pdf["rare"]]
-            at = np.repeat(np.arange(len(pdf)), [len(m) for m in made])
-            k, t, i = zip(*(x for m in made for x in m)) if made else ((), (), ())
-            kinds = [_letters(w) for w in t]
-            yield pd.DataFrame({"node": pdf["node"].to_numpy()[at], "block": pdf["block"].to_numpy()[at], "letters": pdf["letters"].to_numpy()[at], "k": k, "token": t, "kinds": kinds, "at": i})
-
-    person = named.select("node", "block", "letters", "rare").mapInPandas(keys, "node bigint, block string, letters string, k string, token string, kinds bigint, at int")
-    lettered = person.withColumn("letter", letters_of(F.col("letters")))
-    keyed = lettered.select(join_key(F.col("block"), F.col("letter"), F.col("k")).alias("key"), "node", "token", "kinds", "at")
+    keyed = keyed_nodes(nodes, counts)
     side = lambda s: keyed.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "token", "kinds", "at")])
-    met = salted_join(side("a"), side("b"), "key", F.col("a_node"), hot_keys(nodes)).where(F.col("a_node") < F.col("b_node"))
+    met = salted_join(side("a"), side("b"), "key", F.col("a_node"), hot_keys(nodes, int(counts.sum()))).where(F.col("a_node") < F.col("b_node"))
     met = met.where(may_be_alike("a_", "b_")).select("a_node", "b_node").distinct()
     of = lambda s: named.select(*[F.col(c).alias(f"{s}_{c}") for c in ("node", "given", "middle", "rare")])
     given_ok = (F.col("a_given") == F.col("b_given")) | (F.col("a_given") == "") | (F.col("b_given") == "")
