@@ -268,25 +268,28 @@ class Table:
 
     def _run(self, dirs: list[str], job: Callable[[list[str]], int]) -> int:
         """One job over all directories; if it fails, one for each of them, with all errors together."""
+        left = dirs
         try:
             return job(dirs)
         except (M.CommittedWithCleanupError, SchemaError):
             raise
         except Exception as e:
+            if isinstance(e, MergeError):  # the other partitions are published, and mustn't be merged again
+                left = [d for d in dirs if d in e.errors]
             if len(dirs) == 1:
-                raise MergeError({dirs[0]: e}) from e
-            self.engine.log.warning("merge of %s failed as one job, going on by partition: %s", self.schema.name, str(e).split("\n")[0])
+                raise e if isinstance(e, MergeError) else MergeError({dirs[0]: e}) from e
+            self.engine.log.warning("merge of %s failed for %d partitions, going on one by one: %s", self.schema.name, len(left), str(e).split("\n")[0])
         errors: dict[str, Exception] = {}
 
         def one(d: str) -> int:
             try:
                 return job([d])
             except Exception as e:
-                errors[d] = e
+                errors[d] = e.errors[d] if isinstance(e, MergeError) else e
                 return 0
 
         with ThreadPoolExecutor(self.engine.options.workers) as pool:
-            done = sum(pool.map(one, dirs))
+            done = len(dirs) - len(left) + sum(pool.map(one, left))
         if errors:
             raise MergeError(errors)
         return done
@@ -320,8 +323,19 @@ class Table:
                 incoming = lambda chosen: self._pending_rows([o for d in chosen for o in consumed[d]])
             if not dirs:
                 return 0
+            errors: dict[str, Exception] = {}
+            cleanup: list[Exception] = []
             for some, bloom in self._by_bloom(dirs, sizes):
-                self._publish(some, bloom, incoming, consumed)
+                try:
+                    self._publish(some, bloom, incoming, consumed, errors, cleanup)
+                except SchemaError:
+                    raise
+                except Exception as e:
+                    errors |= {d: e for d in some}
+            if errors:
+                raise MergeError(errors)
+            if cleanup:
+                raise cleanup[0]
         return len(dirs)
 
     def _by_bloom(self, dirs: list[str], sizes: dict[str, list[Object]]) -> list[tuple[list[str], bool]]:
@@ -338,8 +352,10 @@ class Table:
                 large.add(d)
         return [(some, bloom) for some, bloom in (([d for d in dirs if d not in large], True), (sorted(large), False)) if some]
 
-    def _publish(self, dirs: list[str], bloom: bool, incoming: Callable[[list[str]], DataFrame], consumed: dict[str, list[Object]]) -> None:
-        """Merges directories by one job, and commits each of them."""
+    def _publish(
+        self, dirs: list[str], bloom: bool, incoming: Callable[[list[str]], DataFrame], consumed: dict[str, list[Object]], errors: dict, cleanup: list
+    ) -> None:
+        """Merges directories by one job, and commits each of them. Those that can't be committed go to errors."""
         st = self.engine.storage
         active = dict(zip(dirs, self.engine.each(lambda d: M.active(st, self._full(d)), dirs)))
         old, new = [d for d in dirs if active[d][0]], [d for d in dirs if not active[d][0]]
@@ -352,23 +368,23 @@ class Table:
                 merged = merged.unionByName(both) if merged is not None else both
             staged = self._write(merged, path, bloom)
             columns = merged.drop(PART_DIR).schema.json()
-            failed: list[Exception] = []
 
             def one(d: str) -> None:
                 names = []
-                for o in staged.get(_part_id(d), []):
-                    names.append(f"files/merged_{int(time.time() * 1000)}_{uuid.uuid4().hex[:8]}.parquet")
-                    st.upload(o.path, f"{self._full(d)}/{names[-1]}")
                 used = [posixpath.relpath(o.path, self.engine.root) if "://" not in o.path else o.path for o in consumed.get(d, [])]
                 try:
+                    for o in staged.get(_part_id(d), []):
+                        names.append(f"files/merged_{int(time.time() * 1000)}_{uuid.uuid4().hex[:8]}.parquet")
+                        st.upload(o.path, f"{self._full(d)}/{names[-1]}")
                     M.commit(st, self._full(d), names, used, self._delete_input, columns=columns)
                 except M.CommittedWithCleanupError as e:
-                    failed.append(e)
+                    cleanup.append(e)
+                except Exception as e:
+                    errors[d] = e
+                    return
                 self.engine.log.info("merged %s/%s: %d files", self.schema.name, d, len(names))
 
             self.engine.each(one, dirs)
-            if failed:
-                raise failed[0]
 
     def _write(self, merged: DataFrame, path: str, bloom: bool) -> dict[str, list]:
         """Stages the merged rows and checks that the files hold as many as were written."""

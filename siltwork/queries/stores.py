@@ -477,8 +477,12 @@ def coerce_list(spark: SparkSession, d: str) -> DataFrame:
 # --- readers -----------------------------------------------------------------------------------------------
 
 
-def _workbook(sheets: dict[str, list[list[str]]]) -> bytes:
-    """A workbook with inline texts."""
+def _workbook(sheets: dict[str, list[list]], formats: tuple[str, ...] = ()) -> bytes:
+    """A workbook with inline texts, and numbers given as (number of the format, from 1; number)."""
+
+    def cell(v) -> str:
+        return f'<c s="{v[0]}"><v>{v[1]}</v></c>' if isinstance(v, tuple) else f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+
     main, out = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', io.BytesIO()
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     with zipfile.ZipFile(out, "w") as z:
@@ -487,11 +491,25 @@ def _workbook(sheets: dict[str, list[list[str]]]) -> bytes:
         targets = "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(1, len(names) + 1))
         z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{targets}</Relationships>')
         for i, n in enumerate(names, 1):
-            rows = "".join(f'<row r="{r}">' + "".join(f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>' for v in row) + "</row>" for r, row in enumerate(sheets[n], 1))
+            rows = "".join(f'<row r="{r}">' + "".join(map(cell, row)) + "</row>" for r, row in enumerate(sheets[n], 1))
             z.writestr(f"xl/worksheets/s{i}.xml", f"<worksheet {main}><sheetData>{rows}</sheetData></worksheet>")
+        codes = "".join(f'<numFmt numFmtId="{164 + i}" formatCode="{escape(c)}"/>' for i, c in enumerate(formats))
+        used = "<xf/>" + "".join(f'<xf numFmtId="{164 + i}"/>' for i in range(len(formats)))
+        z.writestr("xl/styles.xml", f"<styleSheet {main}><numFmts>{codes}</numFmts><cellXfs>{used}</cellXfs></styleSheet>")
     return out.getvalue()
 
 
+def _read_book(spark: SparkSession, book: bytes, options: records.ReadOptions) -> DataFrame:
+    path = f"{shared_dir(spark)}/book-{uuid.uuid4().hex}.xlsx"
+    with tempfile.NamedTemporaryFile(suffix=".xlsx") as f:
+        f.write(book)
+        f.flush()
+        HadoopStorage(spark).copy_in(f.name, path)
+    out = cut(read_excel(spark, path, options))
+    remove(spark, path)
+    return out
+
+
 @query("""SELECT s_suppkey::VARCHAR AS id, s_name AS name, [s_phone, 'n' || s_nationkey] AS contacts, CASE WHEN s_suppkey % 3 = 0 THEN 'n' || s_nationkey ELSE s_phone END AS first
     FROM (SELECT *, 'p' || s_suppkey AS s_phone FROM supplier)""")
 def reader_excel(spark: SparkSession, d: str) -> DataFrame:
@@ -499,15 +517,29 @@ def reader_excel(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey").collect()
     cells = [[str(r.s_suppkey), f" {r.s_name} ", f"p{r.s_suppkey}", f"n{r.s_nationkey}", "N/A" if r.s_suppkey % 3 == 0 else f"p{r.s_suppkey}"] for r in rows]
     book = _workbook({"cover": [["nothing here"]], "data": [["title"], [], ["id", " name ", "phone", "nation", "maybe"], *cells]})
-    path = f"{shared_dir(spark)}/book-{uuid.uuid4().hex}.xlsx"
-    with tempfile.NamedTemporaryFile(suffix=".xlsx") as f:
-        f.write(book)
-        f.flush()
-        HadoopStorage(spark).copy_in(f.name, path)
     fields = {"id": "id", "name": "name", "contacts": "phone & nation", "first": "maybe | nation"}
-    out = cut(read_excel(spark, path, records.ReadOptions(fields=fields, null=("N/A",), header=3, sheet="data")))
-    remove(spark, path)
-    return out
+    return _read_book(spark, book, records.ReadOptions(fields=fields, null=("N/A",), header=3, sheet="data"))
+
+
+@query("""SELECT s_suppkey::VARCHAR AS id, strftime(DATE '1899-12-30' + CAST(45000 + s_suppkey AS INTEGER), '%Y-%m-%d') AS day, format('{:,.2f}', s_acctbal) AS balance,
+    (s_suppkey % 100) || '%' AS share, lpad(CAST(s_suppkey % 24 AS VARCHAR), 2, '0') || ':30' AS hour FROM supplier""")
+def reader_excel_formats(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers and dates come as the sheet shows them."""
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_acctbal").collect()
+    cells = [[str(r.s_suppkey), (1, 45000 + r.s_suppkey), (2, repr(float(r.s_acctbal))), (3, (r.s_suppkey % 100) / 100), (4, repr((r.s_suppkey % 24 + 0.5) / 24))] for r in rows]
+    book = _workbook({"data": [["id", "day", "balance", "share", "hour"], *cells]}, ("yyyy\\-mm\\-dd", "#,##0.00", "0%", "hh:mm"))
+    return _read_book(spark, book, records.ReadOptions(fields={c: c for c in ("id", "day", "balance", "share", "hour")}, header=1))
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS id, '2' AS many, CASE WHEN event_id % 3 = 2 THEN event_type END AS two, 'first' AS wild, '["first","' || event_type || '"]' AS kinds,
+    CASE WHEN event_id % 3 > 0 THEN '["' || event_type || '"]' ELSE '[]' END AS later FROM events""")
+def reader_jsonl_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Paths with lengths, queries and wildcards."""
+    e = F.col("event_id")
+    items = F.array(F.struct(F.lit(0).cast("bigint").alias("n"), F.lit("first").alias("kind")), F.struct((e % 3).alias("n"), F.col("event_type").alias("kind")))
+    fields = {"id": "id", "many": "items.#", "two": "items.#(n==2).kind", "wild": "it?m*.0.kind", "kinds": "items.#.kind", "later": "items.#(n>0)#.kind"}
+    lines = table(spark, d, "events").select(F.to_json(F.struct(e.alias("id"), items.alias("items"))).alias("value"))
+    return jsonl_records(lines, records.ReadOptions(fields=fields))
 
 
 def _documents(spark: SparkSession, d: str) -> tuple[DataFrame, Callable[[str], Column]]:

@@ -1,9 +1,9 @@
 """Spreadsheets (.xlsx) as records, read with the standard library.
 
-Cells come as texts: shared, inline and formula texts, numbers as written without a needless
-fraction, booleans as TRUE or FALSE. Number and date formats aren't applied: a date is its
-serial number. A sheet is one part, read by one task: sheets are bounded by their format
-(1,048,576 rows).
+Cells come as texts, as a reader of the sheet sees them: shared, inline and formula texts,
+numbers and dates in their cell's format, otherwise as written without a needless fraction,
+booleans as TRUE or FALSE. A sheet is one part, read by one task: sheets are bounded by their
+format (1,048,576 rows).
 """
 
 from __future__ import annotations
@@ -12,12 +12,14 @@ import io
 import posixpath
 import re
 import zipfile
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltwork.sources.cellformat import BUILT_IN, shown
 from siltwork.sources.records import ReadOptions, project
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -41,17 +43,46 @@ def column_number(ref: str) -> int:
     return n - 1
 
 
-def _cell(cell, shared: list[str]) -> str:
+@dataclass(frozen=True)
+class Book:
+    """What cells refer to: shared texts, the formats of their styles, and the day from which dates count."""
+
+    shared: list[str]
+    formats: list[str]
+    date1904: bool
+
+
+def read_book(book: zipfile.ZipFile) -> Book:
+    shared, formats = [], []
+    names = book.namelist()
+    if "xl/sharedStrings.xml" in names:
+        shared = [_texts(s) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
+    if "xl/styles.xml" in names:
+        styles = ElementTree.fromstring(book.read("xl/styles.xml"))
+        own = {int(n.get("numFmtId")): n.get("formatCode") or "" for n in styles.iter(f"{_MAIN}numFmt")}
+        used = styles.find(f"{_MAIN}cellXfs")
+        for xf in used if used is not None else ():
+            n = int(xf.get("numFmtId") or 0)
+            formats.append(own.get(n) or BUILT_IN.get(n, "General"))
+    about = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{_MAIN}workbookPr")
+    return Book(shared, formats, about is not None and about.get("date1904") in ("1", "true"))
+
+
+def _cell(cell, book: Book) -> str:
     kind, value = cell.get("t", "n"), cell.find(f"{_MAIN}v")
     if kind == "inlineStr":
         return _texts(cell)
     text = value.text if value is not None and value.text else ""
     if kind == "s":
-        return shared[int(text)] if text else ""
+        return book.shared[int(text)] if text else ""
     if kind == "b":
         return "TRUE" if text == "1" else "FALSE"
-    if kind == "n" and re.fullmatch(r"-?\d+\.0+", text):
-        return text.split(".")[0]
+    if kind == "n" and text:
+        style = int(cell.get("s") or 0)
+        if style < len(book.formats) and book.formats[style].lower() != "general":
+            return shown(text, book.formats[style], book.date1904)
+        if re.fullmatch(r"-?\d+\.0+", text):
+            return text.split(".")[0]
     return text
 
 
@@ -76,9 +107,7 @@ def sheet_rows(data: bytes, sheet: str = "") -> list[list[str]]:
         raise ExcelError("the workbook has no sheets")
     if sheet and sheet not in names:
         raise ExcelError(f"there is no sheet {sheet!r}")
-    shared = []
-    if "xl/sharedStrings.xml" in book.namelist():
-        shared = [_texts(s) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
+    held = read_book(book)
     rows: list[list[str]] = []
     with book.open(names[sheet or next(iter(names))]) as part:
         for _, node in ElementTree.iterparse(part):
@@ -91,7 +120,7 @@ def sheet_rows(data: bytes, sheet: str = "") -> list[list[str]]:
             for cell in node.iter(f"{_MAIN}c"):
                 k = column_number(cell.get("r")) if cell.get("r") else len(row)
                 row += [""] * (k - len(row))
-                row.append(_cell(cell, shared))
+                row.append(_cell(cell, held))
             rows.append(row)
             node.clear()
     return rows

@@ -1,7 +1,8 @@
 """JSON lines as records, split and projected by the executors.
 
-Paths are dotted: ``profile.name``, ``items.0.id``, with ``\\.`` for a point within a key and
-``#`` for every element of an array. Blank lines are skipped, invalid ones give nothing; a line
+Paths are dotted: ``profile.name``, ``items.0.id``, with ``\\.`` for a point within a key. Such
+paths stay in the JVM; those with wildcards, queries or modifiers (``functions/jsonquery.py``)
+are looked up by an Arrow function. Blank lines are skipped, invalid ones give nothing; a line
 beyond MAX_LINE bytes is an error.
 """
 
@@ -12,6 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltwork.functions.jsonquery import needs_query, query_column
 from siltwork.sources.records import ReadOptions, project
 
 MAX_LINE = 10 * 1024 * 1024
@@ -22,9 +24,7 @@ def json_path(path: str) -> str:
     out = "$"
     for part in re.split(r"(?<!\\)\.", path.strip()):
         key = part.replace("\\.", ".")
-        if key == "#":
-            out += "[*]"
-        elif key.isdigit():
+        if key.isdigit():
             out += f"[{key}]"
         else:
             out += "['" + key.replace("'", "\\'") + "']"
@@ -33,6 +33,8 @@ def json_path(path: str) -> str:
 
 def value_at(json: Column, path: str) -> Column:
     """The text of a path's value: null for JSON null, raw JSON for objects and arrays."""
+    if needs_query(path):
+        return query_column(json, path)
     plain, steps = json_path(path), [p for p in re.split(r"(?<!\\)\.", path.strip()) if p.isdigit()]
     found = F.get_json_object(json, plain)
     # digits may be a key of an object too

@@ -221,6 +221,24 @@ def test_folders_that_a_cleaner_takes_away(tmp_path, monkeypatch, times, works):
     assert not works or ((tmp_path / "b/f").read_text() == "hello" and LocalStorage().read_json(f"{tmp_path}/a/x.json") == {"v": 1})
 
 
+def test_partitions_that_fail_to_publish_are_tried_again_alone(spark, root):
+    """An upsert of which one partition can't be published at first: it is merged again, the others aren't."""
+    t = Engine(spark, root).register(table_schema("t", {"id": (str, "pk; partition:p=[0:1]"), "total": (int, "sum")}))
+    rows = [{"id": c, "total": 1} for c in "abcd"]
+    t.upsert(rows)
+    failed, write = [], t.engine.storage.write_json
+
+    def write_json(path, value):
+        if "/p=b/_manifest" in path and not failed:
+            failed.append(path)
+            raise OSError("no")
+        write(path, value)
+
+    t.engine.storage.write_json = write_json
+    assert t.upsert(rows) == 4 and len(failed) == 1
+    assert {(r.id, r.total) for r in t.read().collect()} == {(c, 2) for c in "abcd"}
+
+
 def test_odd_values_make_one_level_each(spark, root):
     t = Engine(spark, root).register(TOTAL)
     areas = ["../../../../escape", "hua/dong", "back\\slash", "pct%20", "华东", "", "a[b]*{c}?"]

@@ -7,9 +7,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltwork.functions import coerce
+from siltwork.functions import coerce, jsonquery
 from siltwork.ingest import normalise
 from siltwork.schema import table_schema
+from siltwork.sources import cellformat
 from siltwork.sources.excel import ExcelError, column_number, read_excel, sheet_rows
 from siltwork.sources.jsonl import json_path, read_jsonl
 from siltwork.sources.records import ReadOptions, Record, match_column
@@ -36,6 +37,7 @@ def text(ref, v):
 
 
 def sheet(header_row=1):
+    # The golden records of FIXTURES.md, section 5.
     names = ["id", " name ", "phone_a", "phone_b", "address_a", "address_b"]
     grid = [names, ["r1", "alpha", "111,222", "333", "", "west"], ["r2", "beta", "N/A", "444", "east", "west"]]
     return [(header_row + k, [text("ABCDEF"[i] + str(header_row + k), v) for i, v in enumerate(g) if v]) for k, g in enumerate(grid)]
@@ -73,6 +75,7 @@ def test_excel_cells_and_errors(spark, tmp_path):
 
 
 def test_jsonl(spark, tmp_path):
+    # The golden lines of FIXTURES.md, section 5.
     lines = [
         {"items": [{"profile": {"name": "alpha"}, "alias": "", "contact": {"email": "a@example.com", "alt": "b@example.com"}}]},
         {"items": [{"profile": {"name": ""}, "alias": "beta", "contact": {"email": "N/A", "alt": "c@example.com"}}]},
@@ -139,3 +142,54 @@ def test_normalise(spark):
     assert [tuple(r) for r in normalise(s, df).collect()] == [("a", 7, ["x"], '{"k":1}'), ("b", None, None, "{}")]
     with pytest.raises(ValueError):
         normalise(s, df.drop("id"))
+
+
+FORMATTED = [
+    ("45000", "mm-dd-yy", "03-15-23"), ("45000.5", "m/d/yy h:mm", "3/15/23 12:00"), ("0.256", "0.00%", "25.60%"), ("0.255", "0%", "26%"), ("1234567.891", "#,##0.00", "1,234,567.89"),
+    ("-1234.5", "#,##0.00;(#,##0.00)", "(1,234.50)"), ("1234.5", "0.00E+00", "1.23E+03"), ("9.999", "0.00E+00", "1.00E+01"), ("0.75", "h:mm AM/PM", "6:00 PM"), ("1.5", "[h]:mm:ss", "36:00:00"),
+    ("45000", "yyyy-mm-dd", "2023-03-15"), ("45000.123456", 'yyyy"-"mm\\-dd hh:mm:ss', "2023-03-15 02:57:47"), ("45000", "dddd, mmmm d", "Wednesday, March 15"), ("45000", "[$-409]d/m/yyyy;@", "15/3/2023"),
+    ("0.0005", "mm:ss.0", "00:43.2"), ("3", '0" pcs"', "3 pcs"), ("5", "000", "005"), ("-5", "0.0", "-5.0"), ("0", '0;-0;"zero"', "zero"), ("12.5", '"$"#,##0.00', "$12.50"), ("0.5", "#.##", ".5"),
+    ("1234567", "#,##0,", "1,235"), ("3", "General", "3"), ("12", "@", "12"), ("x", "0.00", "x"), ("1e400", "yyyy", "1e400"),
+]
+
+
+@pytest.mark.parametrize("text, code, want", FORMATTED)
+def test_cell_formats(text, code, want):
+    assert cellformat.shown(text, code) == want
+
+
+def test_dates_since_1904():
+    assert cellformat.shown("0", "yyyy-mm-dd", True) == "1904-01-01"
+
+
+def test_formatted_cells_of_a_workbook(spark, tmp_path):
+    rows = [(1, [text("A1", "day"), text("B1", "share"), text("C1", "plain")]), (2, ['<c r="A2" s="1"><v>45000</v></c>', '<c r="B2" s="2"><v>0.5</v></c>', '<c r="C2"><v>7.0</v></c>'])]
+    path = workbook(tmp_path / "b.xlsx", {"s": rows})
+    with zipfile.ZipFile(path, "a") as z:
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{MAIN}"><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd"/></numFmts><cellXfs><xf/><xf numFmtId="164"/><xf numFmtId="9"/></cellXfs></styleSheet>')
+    got = read_excel(spark, path, ReadOptions(fields={"d": "day", "s": "share", "p": "plain"}, header=1)).first()
+    assert tuple(got) == ("2023-03-15", "50%", "7")
+
+
+SHELF = '{"shop": {"books": [{"t": "Ash", "p": 5, "tags": ["a", "b"]}, {"t": "Birch", "p": 12.5, "in": true}, {"t": "Cedar", "p": 12, "tags": []}], "open": null}, "a.b": {"k*": 1}, "raw": "{\\"x\\": [1]}"}'
+PATHS = [
+    ("shop.books.#", "3"), ("shop.books.#.t", '["Ash","Birch","Cedar"]'), ("shop.books.#.in", "[true]"), ("shop.b*.0.t", "Ash"), ("sh?p.books.2.p", "12"), ("sh?.books", None),
+    ('shop.books.#(t=="Birch").p', "12.5"), ("shop.books.#(p>5)#.t", '["Birch","Cedar"]'), ('shop.books.#(t%"*e*")#.t', '["Cedar"]'), ('shop.books.#(t!%"*e*").t', "Ash"), ("shop.books.#(in).t", "Birch"),
+    ("shop.books.#(p>99).t", None), ("shop.books.#(p>99)#.t", "[]"), ("shop.books.0.tags.#(==b)", "b"), ("shop.books.@reverse.0.t", "Cedar"), ("shop.@keys", '["books","open"]'),
+    ("shop.books.#.tags.@flatten", '[["a","b"],[]]'), ("raw.@fromstr.x.0", "1"), ("shop.open.@this", None), (r"a\.b.k\*", "1"), ("shop.books.9.@this", None), ("shop.books.#(p!=5)#.p", "[12.5,12]"), ("@this.shop.books.#(p<=5)#", '[{"t":"Ash","p":5,"tags":["a","b"]}]'),
+    ("shop.books.@nothing", None),
+]
+
+
+@pytest.mark.parametrize("path, want", PATHS)
+def test_paths_with_wildcards_queries_and_modifiers(path, want):
+    assert jsonquery.text_at(SHELF, path) == want
+    assert jsonquery.text_at(None, path) is None and jsonquery.text_at("{bad", path) is None
+
+
+def test_queries_in_fields_of_lines(spark, tmp_path):
+    p = tmp_path / "f.jsonl"
+    p.write_text(SHELF + "\n{}\n")
+    fields = {"n": "shop.books.#", "cheap": "shop.books.#(p<6).t", "wild": "sh*.books.1.t", "plain": "shop.books.0.t"}
+    assert [tuple(r) for r in read_jsonl(spark, str(p), ReadOptions(fields=fields)).collect()] == [("3", "Ash", "Birch", "Ash")]
+    assert [r.t for r in read_jsonl(spark, str(p), ReadOptions(fields={"t": "t"}, root="shop.books.#(p>5)#")).collect()] == ["Birch", "Cedar"]

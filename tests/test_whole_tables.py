@@ -1,4 +1,4 @@
-"""Operators over whole tables, with the rows that a registered query and its SQL leave out."""
+"""Operators over whole tables against SQL, beside the registered queries."""
 
 import duckdb
 import pytest
