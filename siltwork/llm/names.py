@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from siltwork.llm.components import components
 from siltwork.llm.survivor import name_lines
 from siltwork.operators.salted import heavy_hashes, salted_join
-from siltwork.session import cut, release
+from siltwork.session import by_merge, cut, release
 
 Q = 3
 GRAM_BUCKETS = 1 << 16
@@ -632,12 +632,12 @@ def similar_nodes(nodes: DataFrame) -> DataFrame:
     of = lambda s: named.select(*[F.col(c).alias(f"{s}_{c}") for c in ("node", "given", "middle", "rare")])
     given_ok = (F.col("a_given") == F.col("b_given")) | (F.col("a_given") == "") | (F.col("b_given") == "")
     middle_ok = (F.col("a_middle") == F.col("b_middle")) | (F.col("a_middle") == "") | (F.col("b_middle") == "")
-    close = met.join(of("a"), "a_node").join(of("b"), "b_node").where(given_ok & middle_ok)
+    close = met.join(by_merge(of("a")), "a_node").join(by_merge(of("b")), "b_node").where(given_ok & middle_ok)
     close = close.select(*[F.col(f"{s}_{c}") for s in "ab" for c in ("node", "given", "rare")])
     # a single token's weight falls out of the similarity; only names of several need the words' frequencies
     parts = nodes.where("rare LIKE '% %'").select("node", F.posexplode(F.split("rare", " ")).alias("k", "w"))
     every = nodes.select(F.explode(F.split("rare", " ")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    weights = parts.join(every, "w").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("k", "df"))).alias("s"))
+    weights = parts.join(by_merge(every), "w").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("k", "df"))).alias("s"))
     weight = lambda s: weights.select(F.col("node").alias(f"{s}_node"), F.col("s.df").alias(f"{s}_df"))
     total = nodes.count()
 
@@ -646,7 +646,7 @@ def similar_nodes(nodes: DataFrame) -> DataFrame:
         idf = lambda df: [1.0] if df is None else [math.log((total + 1) / n) for n in df]
         return pd.Series([similarity(x.split(), y.split(), idf(u), idf(v)) for x, y, u, v in zip(a, b, da, db)], dtype="float64")
 
-    both = close.join(weight("a"), "a_node", "left").join(weight("b"), "b_node", "left")
+    both = close.join(by_merge(weight("a")), "a_node", "left").join(by_merge(weight("b")), "b_node", "left")
     weak = (F.col("a_given") != F.col("b_given")).alias("weak")
     return both.where(verify("a_rare", "b_rare", "a_df", "b_df") >= MIN_SIMILARITY).select(
         F.col("a_node").alias("a"), F.col("b_node").alias("b"), weak, "a_given", "b_given"
@@ -659,7 +659,7 @@ def accepted(pairs: DataFrame) -> DataFrame:
     initial = F.when(F.col("a_given") == "", F.col("a")).otherwise(F.col("b"))
     weak = pairs.where("weak").select(initial.alias("short"), F.when(F.col("a_given") == "", F.col("b")).otherwise(F.col("a")).alias("full"), F.concat("a_given", "b_given").alias("given"))
     one = weak.groupBy("short").agg(F.min("given").alias("lo"), F.max("given").alias("hi")).where("lo = hi").select("short")
-    return strong.unionByName(weak.join(one, "short", "left_semi").select(F.col("short").alias("a"), F.col("full").alias("b")))
+    return strong.unionByName(weak.join(by_merge(one), "short", "left_semi").select(F.col("short").alias("a"), F.col("full").alias("b")))
 
 
 def _linked(*tables: DataFrame, usual: Lexicon = USUAL) -> tuple[DataFrame, DataFrame]:
@@ -671,17 +671,17 @@ def _linked(*tables: DataFrame, usual: Lexicon = USUAL) -> tuple[DataFrame, Data
     # a given name says more than an initial: an id that has one doesn't speak through its initials
     short = (F.col("given") == "") & (F.col("letters") != "")
     full = forms.where("given <> ''").select("id").distinct()
-    alone = forms.where(short).select("id", "node").join(full, "id", "left_anti")
+    alone = forms.where(short).select("id", "node").join(by_merge(full), "id", "left_anti")
     spoken = cut(forms.where(~short).select("id", "node").unionByName(alone))
     nodes = cut(forms.drop("id").distinct())
     release(forms)
     similar = cut(similar_nodes(nodes))
     release(nodes)
     leader = cut(spoken.groupBy("node").agg(F.min("id").alias("leader")))
-    same = spoken.join(leader, "node").where("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v"))
+    same = spoken.join(by_merge(leader), "node").where("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v"))
     first = leader.select(F.col("node").alias("a"), F.col("leader").alias("u"))
     second = leader.select(F.col("node").alias("b"), F.col("leader").alias("v"))
-    near = accepted(similar).join(first, "a").join(second, "b").where("u <> v").select("u", "v")
+    near = accepted(similar).join(by_merge(first), "a").join(by_merge(second), "b").where("u <> v").select("u", "v")
     found = components(same.unionByName(near))
     release(similar, leader)
     return spoken, found
@@ -690,7 +690,7 @@ def _linked(*tables: DataFrame, usual: Lexicon = USUAL) -> tuple[DataFrame, Data
 def groups(*tables: DataFrame, usual: Lexicon = USUAL) -> DataFrame:
     """(id, group_id) of every id with a usable name; group_id is the smallest id of the group."""
     spoken, found = _linked(*tables, usual=usual)
-    return spoken.select("id").distinct().join(found, F.col("id") == F.col("vertex"), "left").select(
+    return spoken.select("id").distinct().join(by_merge(found), F.col("id") == F.col("vertex"), "left").select(
         "id", F.coalesce("component", "id").alias("group_id")
     )
 

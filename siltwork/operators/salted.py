@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltwork.session import by_merge
+
 SALT = "__silt_salt"
 HEAVY_SHARE = 0.005
 TRACKED = 8  # keys the sketch follows for each heavy one there can be
@@ -133,12 +135,12 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, by: Column, heavy:
     """left joined with right on ``key``, the rows of keys whose xxhash64 is heavy dealt to several tasks.
 
     by: what a heavy key's left rows are dealt by; its right rows are repeated, once for each
-    salt. Equal to a plain inner join; null keys meet nothing.
+    salt. Equal to a plain inner join; null keys meet nothing. Neither side is broadcast.
     """
     if not heavy:
-        return left.join(right, key)
+        return left.join(by_merge(right), key)
     is_heavy = F.xxhash64(F.col(f"`{key}`")).isin(heavy)
     dealt = left.withColumn(SALT, F.when(is_heavy, F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(F.lit(0).cast("bigint")))
     every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
     repeated = right.withColumn(SALT, F.explode(F.when(is_heavy, every).otherwise(F.array(F.lit(0).cast("bigint")))))
-    return dealt.join(repeated, [key, SALT]).drop(SALT)
+    return dealt.join(by_merge(repeated), [key, SALT]).drop(SALT)

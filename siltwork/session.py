@@ -72,6 +72,15 @@ def release(*frames: DataFrame | None) -> None:
         _written.remove((spark, path))
 
 
+def by_merge(df: DataFrame) -> DataFrame:
+    """df as a side of a join that sorts and merges, at whatever size Spark takes df to have.
+
+    Spark would broadcast a table of ``cut`` by the size of its files, and the driver hold
+    it whole: compressed columns of a few MB are hundreds of MB as a hash table of rows.
+    """
+    return df.hint("merge")
+
+
 def keep_until_end(spark: SparkSession, path: str) -> None:
     """Has a folder deleted when the driver ends: frames read from it may be used until then."""
     _written.append((spark, path))

@@ -499,6 +499,25 @@ def test_groups_need_no_tables_of_words(spark):
     assert len(full & bare) >= 0.9 * len(full) and len(bare - full) <= 0.01 * len(full)
 
 
+@pytest.mark.parametrize("name", ["p2_found", "p2_groups"])
+def test_variant_names_broadcast_no_table(spark, monkeypatch, name):
+    """The driver holds no side of a join, however small Spark takes its files to be."""
+    from siltwork.llm import components as module
+
+    plans, cut = [], names.cut
+
+    def seen_cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    for m in (names, module):
+        monkeypatch.setattr(m, "cut", seen_cut)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    plans.append(catalogue.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 5
+    assert [p for p in plans if "Broadcast" in p] == []
+
+
 @settings(max_examples=10, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 14), st.integers(0, 14)), max_size=25))
 def test_components(spark, edges):
